@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["q_profile"]
+MODULES = ["q_profile", "q_quality"]
 
 
 def _load():

@@ -194,3 +194,27 @@ def vectors(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFrame:
 def vectors_sql(dims: int = 4) -> str:
     cols = ", ".join(f"cast(embedding[{i + 1}] as double) as x{i}" for i in range(dims))
     return f"select vec_id, label, {cols} from embeddings"
+
+
+def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact-style columns derived from customer rows: an e-mail, a
+    formatted phone number, a name and a segment (personal-data checks)."""
+    c = read_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    email = F.when(k % 9 == 0, F.lit("unknown")).otherwise(
+        F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.com")))
+    phone = F.concat(F.lit("+"), (F.col("c_nationkey") + 10).cast("string"), F.lit(" "),
+                     F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("-"),
+                     F.lpad((k * 7 % 10000).cast("string"), 4, "0"))
+    return c.select(k.alias("row_id"), F.col("c_name").alias("name"), email.alias("email"),
+                    phone.alias("phone"), F.col("c_mktsegment").alias("segment"))
+
+
+CONTACTS_SQL = """
+select c_custkey as row_id, c_name as name,
+  case when c_custkey % 9 = 0 then 'unknown' else concat(lower(replace(c_name, '#', '.')), '@example.com') end as email,
+  concat('+', cast(c_nationkey + 10 as varchar), ' ', lpad(cast(c_custkey % 1000 as varchar), 3, '0'), '-',
+         lpad(cast(c_custkey * 7 % 10000 as varchar), 4, '0')) as phone,
+  c_mktsegment as segment
+from customer
+"""
