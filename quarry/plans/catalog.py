@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["q_profile", "q_quality"]
+MODULES = ["q_profile", "q_quality", "q_clean"]
 
 
 def _load():
