@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["q_profile", "q_quality", "q_clean"]
+MODULES = ["q_profile", "q_quality", "q_clean", "q_stats"]
 
 
 def _load():
@@ -25,7 +25,10 @@ def all_oracles():
 
 
 def flagship(spark, sf_dir):
+    """SURVEY 7.1 slice: dirty orders -> replayable clean chain -> one-way
+    ANOVA of order price by market segment (plus the group table)."""
     _load()
-    from ..operators import profile as P
-    from .fixtures import dirty_orders
-    return P.profile(dirty_orders(spark, sf_dir))
+    from ..operators.stats import compare_groups
+    from .q_clean import cleaned_orders
+    df, _ops = cleaned_orders(spark, sf_dir)
+    return compare_groups(df, "price", "segment", "anova")
