@@ -70,7 +70,7 @@ def pubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
     j = (o.join(c, o.o_custkey == c.c_custkey)
          .join(li, li.l_orderkey == o.o_orderkey)
          .join(s, li.l_suppkey == s.s_suppkey)
@@ -82,10 +82,12 @@ def pubs(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.array_sort(F.collect_set("n_name")).alias("countries"),
                  F.array_sort(F.collect_set(F.lower("p_brand"))).alias("keywords"),
                  F.array_sort(F.collect_set(ref)).alias("refs"),
-                 F.sum("l_quantity").cast("bigint").alias("citations"))
+                 F.sum("l_quantity").cast("bigint").alias("citations"),
+                 F.concat_ws(" ", F.slice(F.array_sort(F.collect_set("p_name")), 1, 3)).alias("title"))
             .select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").cast("int").alias("year"),
                     F.col("c_mktsegment").alias("source"), "authors", "countries", "keywords", "refs",
-                    "citations", F.concat(F.lit("10.1000/"), F.col("o_orderkey").cast("string")).alias("doi")))
+                    "citations", F.concat(F.lit("10.1000/"), F.col("o_orderkey").cast("string")).alias("doi"),
+                    "title"))
 
 
 PUBS_SQL = """
@@ -96,7 +98,8 @@ select o_orderkey as doc_id, cast(year(o_orderdate) as int) as year,
   list_sort(list(distinct lower(p_brand))) as keywords,
   list_sort(list(distinct concat('10.1000/', cast((l_partkey*7) % 1500 as VARCHAR)))) as refs,
   cast(sum(l_quantity) as bigint) as citations,
-  concat('10.1000/', cast(o_orderkey as VARCHAR)) as doi
+  concat('10.1000/', cast(o_orderkey as VARCHAR)) as doi,
+  array_to_string(list_slice(list_sort(list(distinct p_name)), 1, 3), ' ') as title
 from orders join customer on o_custkey=c_custkey
   join lineitem on l_orderkey=o_orderkey join supplier on l_suppkey=s_suppkey
   join nation on s_nationkey=n_nationkey join part on l_partkey=p_partkey
