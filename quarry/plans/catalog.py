@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["q_profile", "q_quality", "q_clean", "q_stats", "q_biblio"]
+MODULES = ["q_profile", "q_quality", "q_clean", "q_stats", "q_biblio", "q_eval"]
 
 
 def _load():
