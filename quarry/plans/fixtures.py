@@ -221,3 +221,18 @@ select c_custkey as row_id, c_name as name,
   c_mktsegment as segment
 from customer
 """
+
+
+def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order: price, customer balance, line statistics and a
+    binary target (urgent/high priority) plus the status class."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority",
+                                                   "o_orderstatus")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    li = (read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+          .agg(F.count(F.lit(1)).alias("n_lines"), F.avg("l_discount").alias("avg_discount"),
+               F.avg("l_quantity").alias("avg_quantity")))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(li, o.o_orderkey == li.l_orderkey)
+    return j.select("o_orderkey", "o_totalprice", "c_acctbal", F.col("n_lines").cast("double").alias("n_lines"),
+                    "avg_discount", "avg_quantity", "c_mktsegment", "o_orderstatus",
+                    F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").cast("string").alias("urgent"))
