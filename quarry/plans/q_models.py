@@ -173,3 +173,83 @@ def q_sil(spark, sf):
 @register("cluster_pca_view")
 def q_pca_view(spark, sf):
     return rounded(K.pca_view(vectors(spark, sf, 8), XS, "vec_id", 2000))
+
+
+# ---- explanations and model utilities ---------------------------------------------------------
+
+def _split_features(spark, sf):
+    from ..operators.prep import split
+    d = split(order_features(spark, sf), "o_orderkey", 0.2, 42, "urgent")
+    return d.where(F.col("__split__") == "train"), d.where(F.col("__split__") == "test")
+
+
+@register("explain_native_importance")
+def q_native(spark, sf):
+    from ..operators import explain as X
+    tr, _ = _split_features(spark, sf)
+    model, _ = X.fit_model(tr, FEATS, "urgent", "random_forest")
+    return rounded(spark.createDataFrame(X.native_importance(model, FEATS), "feature string, share double"))
+
+
+@register("explain_linear_shap")
+def q_shap(spark, sf):
+    from ..operators import explain as X
+    tr, te = _split_features(spark, sf)
+    model, _ = X.fit_model(tr, FEATS, "urgent", "logistic")
+    return rounded(X.linear_shap(te, tr, FEATS, list(model.coefficients.toArray())))
+
+
+@register("explain_partial_dependence")
+def q_pdp(spark, sf):
+    from ..operators import explain as X
+    tr, te = _split_features(spark, sf)
+    model, _ = X.fit_model(tr, FEATS, "urgent", "random_forest")
+    return rounded(X.partial_dependence(model, te, FEATS, "o_totalprice", "o_orderkey"))
+
+
+@register("explain_permutation_importance")
+def q_perm(spark, sf):
+    from ..operators import explain as X
+    tr, te = _split_features(spark, sf)
+    model, classes = X.fit_model(tr, FEATS, "urgent", "decision_tree")
+    return rounded(X.permutation_importance(model, te, FEATS, "urgent", "o_orderkey", classes, repeats=2))
+
+
+@register("model_grid_search")
+def q_grid(spark, sf):
+    from ..operators import explain as X
+    grid = [{"max_depth": d} for d in (2, 4, 6)]
+    return rounded(X.grid_search(order_features(spark, sf), FEATS, "urgent", "decision_tree", grid, "o_orderkey", 3))
+
+
+@register("model_learning_curve")
+def q_lc(spark, sf):
+    from ..operators import explain as X
+    return rounded(X.learning_curve(order_features(spark, sf), FEATS, "urgent", "naive_bayes", "o_orderkey"))
+
+
+@register("model_predict_table")
+def q_predict(spark, sf):
+    from ..operators import explain as X
+    from ..operators.prep import fit_prep
+    tr, te = _split_features(spark, sf)
+    state = fit_prep(tr, SCALE, "o_orderkey")
+    from ..operators.prep import transform
+    model, classes = X.fit_model(transform(state, tr), FEATS, "urgent", "logistic")
+    return X.predict_table(model, state, te, FEATS, classes, "o_orderkey")
+
+
+@register("prep_apply_plan_holdout")
+def q_apply_plan(spark, sf):
+    from ..operators import explain as X
+    rest, _valid = X.validation_holdout(order_features(spark, sf), "o_orderkey", 0.1, 42, "urgent")
+    out, _ = X.apply_plan(rest, SCALE, "o_orderkey", "urgent")
+    return rounded(out.groupBy("__split__").agg(F.count(F.lit(1)).alias("rows"),
+                                                  F.avg("o_totalprice").alias("mean_scaled_price")))
+
+
+@register("stat_normality_table")
+def q_normality(spark, sf):
+    from ..operators import explain as X
+    from .fixtures import survey
+    return rounded(X.normality_table(survey(spark, sf), ["pre", "post"], "grp"))
