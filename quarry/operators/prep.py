@@ -429,14 +429,14 @@ def word_tokens(text):
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN_RE})"), 1)
 
 
-def word_ngrams(df: DataFrame, key: str, text: str, n_max: int = 2) -> DataFrame:
-    """(key, term) for every 1..n_max-gram occurrence of the whole text."""
-    toks = df.select(q(key).alias("doc"), word_tokens(q(text)).alias("t"))
+def word_ngrams(df: DataFrame, key: str, text: str, n_max: int = 2, keep: list[str] | tuple = ()) -> DataFrame:
+    """(key, term[, keep...]) for every 1..n_max-gram occurrence of the whole text."""
+    toks = df.select(q(key).alias("doc"), *[q(c) for c in keep], word_tokens(q(text)).alias("t"))
     parts = []
     for n in range(1, n_max + 1):
         grams = F.transform(F.sequence(F.lit(0), F.size("t") - n),
                             lambda i: F.array_join(F.slice("t", i + 1, n), " "))
-        parts.append(toks.where(F.size("t") >= n).select("doc", F.explode(grams).alias("term")))
+        parts.append(toks.where(F.size("t") >= n).select("doc", *keep, F.explode(grams).alias("term")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -460,17 +460,22 @@ def char_wb_ngrams(df: DataFrame, key: str, text: str, n_min: int = 3, n_max: in
     return out
 
 
-def tfidf_fit(terms: DataFrame) -> DataFrame:
-    """idf = ln((1 + n) / (1 + df)) + 1 over the TRAIN documents (smooth idf)."""
-    n = terms.select("doc").distinct().count()
-    df_ = terms.select("doc", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df_.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
+def term_counts(terms: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
+    """(doc, term, tf[, keep...]) — one row per document and term (one shuffle)."""
+    return terms.groupBy("doc", "term", *keep).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_transform(terms: DataFrame, idf: DataFrame) -> DataFrame:
+def tfidf_fit(tf: DataFrame) -> DataFrame:
+    """idf = ln((1 + n) / (1 + df)) + 1 over the TRAIN documents (smooth idf);
+    ``tf`` holds one row per (doc, term), so df is a plain count per term."""
+    n = tf.select("doc").distinct().count()
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
+        "term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
+
+
+def tfidf_transform(tf: DataFrame, idf: DataFrame) -> DataFrame:
     """(doc, term, weight): sublinear tf 1 + ln(tf) times idf, L2-normalised
     per document; terms unseen at fit time are dropped."""
-    tf = terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     w = tf.join(idf, "term").select("doc", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))

@@ -207,17 +207,16 @@ select w.doc_id as doc, w.term, w.w / nr.norm as weight from w join nr on w.doc_
 def q_tfidf(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     s = R.split(docs, "doc_id", 0.2, 42)
-    terms = R.word_ngrams(s, "doc_id", "text", 2)
-    train_terms = R.word_ngrams(s.where(F.col("__split__") == "train"), "doc_id", "text", 2)
-    idf = R.tfidf_fit(train_terms)
-    return rounded(R.tfidf_transform(terms, idf))
+    tf = R.term_counts(R.word_ngrams(s, "doc_id", "text", 2, keep=["__split__"]), ["__split__"])
+    idf = R.tfidf_fit(tf.where(F.col("__split__") == "train"))
+    return rounded(R.tfidf_transform(tf.drop("__split__"), idf))
 
 
 @register("prep_tfidf_char_wb")
 def q_tfidf_char(spark, sf):
     docs = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    terms = R.char_wb_ngrams(docs, "doc_id", "text", 3, 5)
-    return rounded(R.tfidf_transform(terms, R.tfidf_fit(terms)))
+    tf = R.term_counts(R.char_wb_ngrams(docs, "doc_id", "text", 3, 5))
+    return rounded(R.tfidf_transform(tf, R.tfidf_fit(tf)))
 
 
 @register("prep_mutual_info")
