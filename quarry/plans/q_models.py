@@ -253,3 +253,37 @@ def q_normality(spark, sf):
     from ..operators import explain as X
     from .fixtures import survey
     return rounded(X.normality_table(survey(spark, sf), ["pre", "post"], "grp"))
+
+
+@register("prep_iterative_impute")
+def q_iter_impute(spark, sf):
+    """PRE-02 on order features with the balance of every 7th customer blanked."""
+    from ..operators import advanced as A
+    d = order_features(spark, sf).withColumn(
+        "c_acctbal", F.when(F.col("o_orderkey") % 7 == 0, None).otherwise(F.col("c_acctbal")))
+    cols = ["o_totalprice", "c_acctbal", "n_lines", "avg_quantity"]
+    st = A.iterative_impute(d, cols, max_iter=5)
+    return rounded(A.apply_iterative(st, d).select("o_orderkey", *cols))
+
+
+@register("prep_rfe")
+def q_rfe(spark, sf):
+    from ..operators import advanced as A
+    return A.rfe(order_features(spark, sf).withColumn("y", F.col("urgent").cast("int")), FEATS, "y", 2)
+
+
+@register("model_adaboost")
+def q_ada(spark, sf):
+    from ..operators import advanced as A
+    tr, te = _split_features(spark, sf)
+    ens, classes = A.adaboost(tr, FEATS, "urgent", 10)
+    pred = A.adaboost_predict(ens, classes, te, FEATS)
+    return M.classification_metrics(pred, "urgent", "prediction")
+
+
+@register("prep_isolation_forest")
+def q_iforest(spark, sf):
+    from ..operators import advanced as A
+    tr, _ = _split_features(spark, sf)
+    kept = A.remove_isolated(tr, FEATS, "o_orderkey", 0.05)
+    return kept.agg(F.count(F.lit(1)).alias("rows_kept"))
