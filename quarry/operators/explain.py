@@ -200,3 +200,47 @@ def normality_table(df: DataFrame, columns: list[str], by: str | None = None) ->
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+LIME_SAMPLES = 5000
+LIME_ALPHA = 1.0
+
+
+def lime(model, train: DataFrame, rows: DataFrame, features: list[str], key: str, samples: int = LIME_SAMPLES,
+         seed: int = 42) -> DataFrame:
+    """EXP-07: per explained row, ``samples`` perturbations that keep or
+    replace each feature (replacement = the train mean), scored by the model;
+    kernel sqrt(exp(-d^2 / w^2)) with w = 0.75 sqrt(p); weighted ridge
+    (alpha = 1) per row in ``applyInPandas``; returns coefficients and the
+    weighted R^2. Work grows with rows x samples, both parameters."""
+    import numpy as np
+    import pandas as pd
+    p = len(features)
+    means = train.agg(*[F.avg(q(f)).alias(f) for f in features]).first().asDict()
+    e = rows.select(q(key).alias("__row"), *[q(f).cast("double").alias(f) for f in features]).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("__s"))
+    keep = [(uniform(seed + i, F.col("__row"), F.col("__s")) < 0.5) | (F.col("__s") == 0) for i in range(p)]
+    e = e.select("__row", "__s", *[F.when(kp, F.col(f)).otherwise(F.lit(float(means[f]))).alias(f)
+                                   for kp, f in zip(keep, features)],
+                 *[kp.cast("double").alias(f"__z{i}") for i, kp in enumerate(keep)])
+    d = VectorAssembler(inputCols=features, outputCol="features").transform(e)
+    out = model.transform(d)
+    val = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+    scored = out.select("__row", *[f"__z{i}" for i in range(p)], val.alias("__y"))
+    width = 0.75 * np.sqrt(p)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = pdf[[f"__z{i}" for i in range(p)]].to_numpy()
+        y = pdf["__y"].to_numpy()
+        dist = np.sqrt(((1 - z) ** 2).sum(axis=1))
+        w = np.sqrt(np.exp(-(dist ** 2) / width ** 2))
+        xm = np.hstack([np.ones((len(z), 1)), z])
+        a = xm.T @ (xm * w[:, None]) + LIME_ALPHA * np.diag([0.0] + [1.0] * p)
+        beta = np.linalg.solve(a, xm.T @ (w * y))
+        fit = xm @ beta
+        ybar = (w * y).sum() / w.sum()
+        r2 = 1 - (w * (y - fit) ** 2).sum() / max((w * (y - ybar) ** 2).sum(), 1e-300)
+        return pd.DataFrame([{"row": pdf["__row"].iloc[0], "feature": f, "weight": float(b), "score": float(r2)}
+                             for f, b in zip(features, beta[1:])])
+    kt = rows.schema[key].dataType.simpleString()
+    return scored.groupBy("__row").applyInPandas(solve, f"row {kt}, feature string, weight double, score double")

@@ -216,3 +216,53 @@ def fold_summary(scores: DataFrame, by=("model", "metric"), value: str = "value"
     """EVL-07 / CHT-13: mean and sample sd across folds per (model, metric)."""
     return scores.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
                                    F.count(value).alias("folds"))
+
+
+def _metrics_from_counts(cells: list[tuple], positive=None) -> dict:
+    """Classification metrics from (actual, predicted, count) cells."""
+    labels = sorted({a for a, _, _ in cells} | {p for _, p, _ in cells})
+    m = {(a, p): 0 for a in labels for p in labels}
+    for a, p, c in cells:
+        m[(a, p)] += c
+    k, tot = len(labels), sum(m.values())
+    t = {a: sum(m[(a, b)] for b in labels) for a in labels}
+    pr = {b: sum(m[(a, b)] for a in labels) for b in labels}
+    tp = {a: m[(a, a)] for a in labels}
+
+    def div(x, y):
+        return x / y if y else 0.0
+    rec = {a: div(tp[a], t[a]) for a in labels}
+    prec = {a: div(tp[a], pr[a]) for a in labels}
+    f1 = {a: div(2 * prec[a] * rec[a], prec[a] + rec[a]) for a in labels}
+    if k == 2:
+        pos = positive if positive in labels else labels[1]
+        f = f1[pos]
+    else:
+        f = sum(f1.values()) / max(k, 1)
+    acc = div(sum(tp.values()), tot)
+    bal = sum(rec[a] for a in labels if t[a]) / max(1, sum(1 for a in labels if t[a]))
+    return {"accuracy": acc, "balanced_accuracy": bal, "f1": f}
+
+
+def grouped_classification_metrics(pred: DataFrame, by: list[str], actual: str = "label",
+                                   predicted: str = "prediction") -> dict:
+    """EVL-01 for many (model, fold) groups from ONE grouped count
+    (groups x classes^2 cells reach the driver)."""
+    cells = (pred.groupBy(*by, q(actual).cast("string").alias("a"), q(predicted).cast("string").alias("p"))
+             .agg(F.count(F.lit(1)).alias("c")).collect())
+    groups: dict = {}
+    for r in cells:
+        groups.setdefault(tuple(r[b] for b in by), []).append((r["a"], r["p"], int(r["c"])))
+    return {g: _metrics_from_counts(c) for g, c in groups.items()}
+
+
+def grouped_roc_auc(pred: DataFrame, by: list[str], label: str = "label", score: str = "p1", positive=1.0) -> dict:
+    """EVL-03 per group: rank-sum AUC with ranks computed within each group."""
+    d = pred.select(*by, (q(label) == F.lit(positive)).cast("long").alias("y"), q(score).cast("double").alias("s"))
+    t = d.where(F.col("s").isNotNull()).groupBy(*by, "s").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("npos"))
+    r = average_ranks(t.select(*by, "s", "n"), "s", by=by, weight="n")
+    a = (t.join(r.select(*by, "s", "avg_rank"), [*by, "s"])
+         .groupBy(*by).agg(F.sum(F.col("npos") * F.col("avg_rank")).alias("R"), F.sum("npos").alias("P"),
+                           F.sum(F.col("n") - F.col("npos")).alias("N")).collect())
+    return {tuple(x[b] for b in by): ((x["R"] - x["P"] * (x["P"] + 1) / 2) / (x["P"] * x["N"]) if x["P"] and x["N"]
+                                      else None) for x in a}

@@ -112,10 +112,12 @@ def cross_validate(df: DataFrame, features: list[str], target: str, models: list
                    stratify: bool = True) -> DataFrame:
     """MDL-18 + EVL-07: per model and fold the primary metrics; a failing
     model is reported, the run continues. Preprocessing (``plan``) is fitted
-    on each fold's training rows only."""
+    on each fold's training rows only. Models are fitted fold by fold; the
+    out-of-fold predictions of every (model, fold) are then scored together
+    with one grouped count and one grouped rank-AUC."""
     spark = df.sparkSession
     folded = assign_folds(df, key, k, seed, target if (stratify and task == "classification") else None).persist()
-    rows = []
+    rows, preds = [], []
     for name in models:
         for f in range(k):
             tr, te = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
@@ -123,24 +125,41 @@ def cross_validate(df: DataFrame, features: list[str], target: str, models: list
                 if plan:
                     st = fit_prep(tr, plan, key)
                     tr, te = transform(st, tr), transform(st, te)
-                pred = fit_predict(tr, te, features, target, name, task, key=key)
-                if task == "classification":
-                    mm = M.classification_metrics(pred, "label", "prediction").first()
-                    rows += [(name, f, "accuracy", float(mm["accuracy"])), (name, f, "f1", float(mm["f1"])),
-                             (name, f, "balanced_accuracy", float(mm["balanced_accuracy"]))]
-                    if "p1" in pred.columns:
-                        auc = M.roc_auc(pred, "label", "p1", 1.0).first()["roc_auc"]
-                        rows.append((name, f, "roc_auc", float(auc)))
-                else:
-                    mm = M.regression_metrics(pred, "label", "prediction", len(features)).first()
-                    rows += [(name, f, "r2", float(mm["r2"])), (name, f, "rmse", float(mm["rmse"])),
-                             (name, f, "mae", float(mm["mae"]))]
+                p = fit_predict(tr, te, features, target, name, task, key=key)
+                cols = ["label", "prediction"] + (["p1"] if "p1" in p.columns else [])
+                preds.append(p.select(F.lit(name).alias("model"), F.lit(f).alias("fold"), *cols)
+                             .withColumn("p1", F.col("p1") if "p1" in cols else F.lit(None).cast("double")))
             except Exception as e:  # noqa: BLE001 - one failing model must not end the run
                 rows.append((name, f, "error:" + type(e).__name__, None))
+    if preds:
+        allp = preds[0]
+        for p in preds[1:]:
+            allp = allp.unionByName(p)
+        allp = allp.persist()
+        if task == "classification":
+            for (name, f), mm in grouped_metrics(allp).items():
+                rows += [(name, int(f), m, float(v)) for m, v in mm.items()]
+            withp = allp.where(F.col("p1").isNotNull())
+            for (name, f), auc in M.grouped_roc_auc(withp, ["model", "fold"]).items():
+                if auc is not None:
+                    rows.append((name, int(f), "roc_auc", float(auc)))
+        else:
+            g = allp.groupBy("model", "fold").agg(
+                F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("mae"),
+                F.avg(F.pow(F.col("label") - F.col("prediction"), 2)).alias("mse"), F.var_pop("label").alias("vy"))
+            for r in g.collect():
+                rows += [(r["model"], int(r["fold"]), "r2", float(1 - r["mse"] / r["vy"]) if r["vy"] else None),
+                         (r["model"], int(r["fold"]), "rmse", float(r["mse"] ** 0.5)),
+                         (r["model"], int(r["fold"]), "mae", float(r["mae"]))]
+        allp.unpersist()
     folded.unpersist()
     return spark.createDataFrame(rows, "model string, fold int, metric string, value double")
 
 
+def grouped_metrics(allp: DataFrame) -> dict:
+    return M.grouped_classification_metrics(allp, ["model", "fold"])
+
+
 def rank_models(summary: DataFrame, metric: str, higher_is_better: bool = True) -> DataFrame:
     """SRT-04: order by primary mean (direction aware), then smaller sd, then
     name; flags models that beat the baseline."""

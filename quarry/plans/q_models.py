@@ -287,3 +287,13 @@ def q_iforest(spark, sf):
     tr, _ = _split_features(spark, sf)
     kept = A.remove_isolated(tr, FEATS, "o_orderkey", 0.05)
     return kept.agg(F.count(F.lit(1)).alias("rows_kept"))
+
+
+@register("explain_lime")
+def q_lime(spark, sf):
+    """LIME for the five test rows with the smallest md5 keys."""
+    from ..operators import explain as X
+    from ..operators.charts import sample_rows
+    tr, te = _split_features(spark, sf)
+    model, _ = X.fit_model(tr, FEATS, "urgent", "random_forest")
+    return rounded(X.lime(model, tr, sample_rows(te, "o_orderkey", 5), FEATS, "o_orderkey", 2000))
