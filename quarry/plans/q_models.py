@@ -297,3 +297,33 @@ def q_lime(spark, sf):
     tr, te = _split_features(spark, sf)
     model, _ = X.fit_model(tr, FEATS, "urgent", "random_forest")
     return rounded(X.lime(model, tr, sample_rows(te, "o_orderkey", 5), FEATS, "o_orderkey", 2000))
+
+
+def _knn_sql(k: int, dims: int = 4):
+    x = [f"x{i}" for i in range(dims)]
+    dist = " + ".join(f"power(v.{c} - g.{c}, 2)" for c in x)
+    return f"""with v as ({vectors_sql(dims)}),
+g as (select {', '.join(x)}, min(vec_id) as rk, count(*) as m from v group by {', '.join(x)}),
+d as (select v.vec_id as lk, g.rk, sqrt({dist}) as distance, g.m from v cross join g),
+o as (select *, row_number() over (partition by lk order by distance, rk) as rn,
+      coalesce(sum(m) over (partition by lk order by distance, rk rows between unbounded preceding and 1 preceding), 0)
+        as before from d)"""
+
+
+@register("knn_join_embeddings", sql_rounded(_knn_sql(5) + """
+select lk as vec_id, rk as neighbor_id, distance, cast(m as bigint) as multiplicity, cast(rn as integer) as rank
+from o where before < 5""", ["distance"]))
+def q_knn(spark, sf):
+    from ..operators.knn import knn_join
+    v = vectors(spark, sf, 4)
+    return rounded(knn_join(v, "vec_id", v.withColumnRenamed("vec_id", "neighbor_id"), "neighbor_id",
+                            XS[:4], 5, leaf_rows=64))
+
+
+@register("cluster_k_distance", sql_rounded(_knn_sql(5) + """,
+c as (select lk, distance, sum(m) over (partition by lk order by distance, rk rows between unbounded preceding
+      and current row) - 1 as cum from d)
+select lk as vec_id, min(distance) as k_distance from c where cum >= 4 group by lk""", ["k_distance"]))
+def q_kdist(spark, sf):
+    from ..operators.knn import k_distance
+    return rounded(k_distance(vectors(spark, sf, 4), "vec_id", XS[:4], 4))
