@@ -103,15 +103,20 @@ def _nearest(qx, qk, rx, rk, rm, k, radius=None):
 
 
 def knn_join(left: DataFrame, lkey: str, right: DataFrame, rkey: str, features: list[str], k: int = 5,
-             leaf_rows: int = LEAF_ROWS, seed: int = 42) -> DataFrame:
-    """(lkey, rkey, distance, multiplicity, rank): for each left row the
-    nearest distinct right points (ties by key) until their multiplicities
-    reach k. ``rkey`` is the smallest key among identical right points."""
+             leaf_rows: int = LEAF_ROWS, seed: int = 42, carry: list[str] | tuple = ()) -> DataFrame:
+    """(lkey, rkey, distance, multiplicity, rank[, carry...]): for each left
+    row the nearest distinct right points (ties by key) until their
+    multiplicities reach k. ``rkey`` is the smallest key among identical right
+    points; ``carry`` columns of the right side (labels, values) are kept, so
+    identical coordinates with different carried values stay apart."""
+    carry = list(carry)
     spark = left.sparkSession
     feats = [q(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)]
     xs = [f"__x{i}" for i in range(len(features))]
-    groups = (right.select(q(rkey).alias("__rk"), *feats).dropna()
-              .groupBy(*xs).agg(F.min("__rk").alias("__rk"), F.count(F.lit(1)).alias("__m")))
+    cs = [f"__c{i}" for i in range(len(carry))]
+    groups = (right.select(q(rkey).alias("__rk"), *feats, *[q(c).alias(n) for c, n in zip(carry, cs)])
+              .dropna(subset=xs).groupBy(*xs, *cs).agg(F.min("__rk").alias("__rk"), F.count(F.lit(1)).alias("__m")))
+    ctypes = [right.schema[c].dataType.simpleString() for c in carry]
     n_groups = groups.count()
     samp = (groups.withColumn("__h", md5key(seed, F.col("__rk"))).orderBy("__h").limit(SAMPLE)
             .select(*xs).toPandas().to_numpy(dtype=float))  # <= SAMPLE x d numbers
@@ -130,7 +135,9 @@ def knn_join(left: DataFrame, lkey: str, right: DataFrame, rkey: str, features:
                 yield pdf
         return df.mapInPandas(f, extra_schema + ", __leaf long")
 
-    gl = with_leaf(groups, f"{', '.join(x + ' double' for x in xs)}, __rk {rtype}, __m long")
+    ctype_sql = "".join(f", {n} {t}" for n, t in zip(cs, ctypes))
+    gl = with_leaf(groups.select(*xs, *cs, "__rk", "__m"),
+                   f"{', '.join(x + ' double' for x in xs)}{ctype_sql}, __rk {rtype}, __m long")
     ql = with_leaf(left.select(q(lkey).alias("__lk"), *feats).dropna(),
                    f"__lk {ltype}, {', '.join(x + ' double' for x in xs)}")
     schema = f"__lk {ltype}, __rk {rtype}, distance double, multiplicity long"
@@ -170,8 +177,13 @@ def knn_join(left: DataFrame, lkey: str, right: DataFrame, rkey: str, features:
     cut = (allc.withColumn("rank", F.row_number().over(w2))
            .withColumn("__before", F.sum("multiplicity").over(w2.rowsBetween(Window.unboundedPreceding, -1)))
            .where(F.coalesce(F.col("__before"), F.lit(0)) < k))
-    return cut.select(F.col("__lk").alias(lkey), F.col("__rk").alias(rkey), "distance", "multiplicity",
-                      F.col("rank").cast("int"))
+    out = cut.select(F.col("__lk").alias(lkey), F.col("__rk").alias(rkey), "distance", "multiplicity",
+                     F.col("rank").cast("int"), F.coalesce(F.col("__before"), F.lit(0)).alias("__before"))
+    if carry:  # carried values back by the (unique) group key
+        vals = groups.select(F.col("__rk").alias(rkey), *[F.col(n).alias(c) for c, n in zip(carry, cs)])
+        out = out.join(vals, rkey)
+    # multiplicity that counts toward the k neighbours (the last group may count in part)
+    return out.withColumn("weight", F.least(F.col("multiplicity"), F.lit(k) - F.col("__before"))).drop("__before")
 
 
 def k_distance(df: DataFrame, key: str, features: list[str], k: int = 4) -> DataFrame:
@@ -182,3 +194,72 @@ def k_distance(df: DataFrame, key: str, features: list[str], k: int = 4) -> Data
     c = nn.withColumn("__cum", F.sum("multiplicity").over(w) - 1)  # one copy is the point itself
     return (c.where(F.col("__cum") >= k).groupBy("__q").agg(F.min("distance").alias("k_distance"))
             .withColumnRenamed("__q", key))
+
+
+def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: str, train_key: str,
+                test_key: str, k: int = 5, task: str = "classification") -> DataFrame:
+    """MDL-04: uniform k-nearest-neighbour vote (ties to the smallest class)
+    or mean (regression) over exactly k training rows."""
+    nn = knn_join(test, test_key, train.withColumnRenamed(train_key, "__tk"), "__tk", features, k, carry=[label])
+    if task == "classification":
+        v = nn.groupBy(test_key, label).agg(F.sum("weight").alias("votes"))
+        w = Window.partitionBy(test_key).orderBy(F.desc("votes"), F.asc(label))  # <= k rows per key
+        return (v.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1)
+                .select(test_key, F.col(label).alias("prediction"), "votes"))
+    return nn.groupBy(test_key).agg((F.sum(F.col("weight") * F.col(label)) / F.sum("weight")).alias("prediction"))
+
+
+def knn_impute(train: DataFrame, df: DataFrame, features: list[str], column: str, key: str, k: int = 5) -> DataFrame:
+    """PRE-01 (re-aimed to complete feature coordinates): a missing ``column``
+    becomes the mean over the k nearest TRAIN rows that have it; rows with a
+    missing coordinate get the train mean."""
+    ref = train.where(q(column).isNotNull()).select(q(key).alias("__tk"), *[q(f) for f in features], q(column))
+    mean = ref.agg(F.avg(q(column))).first()[0]
+    todo = df.where(q(column).isNull())
+    complete = todo.dropna(subset=features)
+    nn = knn_join(complete, key, ref, "__tk", features, k, carry=[column])
+    fill = nn.groupBy(key).agg((F.sum(F.col("weight") * q(column)) / F.sum("weight")).alias("__fill"))
+    out = df.join(fill, key, "left")
+    return out.withColumn(column, F.coalesce(q(column), F.col("__fill"), F.lit(mean))).drop("__fill")
+
+
+def smote(df: DataFrame, features: list[str], label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """PRE-11: synthetic minority rows x + u (neighbour - x) inside each
+    minority class until it matches the largest class; neighbour and u come
+    from md5 keys (deterministic). Returns the original rows plus the new ones."""
+    from ..functions.columns import uniform
+    counts = {r[0]: int(r[1]) for r in df.groupBy(q(label).cast("string")).count().collect()}
+    top = max(counts.values())
+    parts = [df.select(q(key).cast("string").alias(key), *[q(f).cast("double").alias(f) for f in features],
+                       q(label).cast("string").alias(label))]
+    for cls, n in counts.items():
+        need = top - n
+        if need <= 0 or n < 2:
+            continue
+        members = df.where(q(label).cast("string") == cls)
+        kk = min(k, n - 1)
+        nn = knn_join(members.withColumnRenamed(key, "__q"), "__q", members.withColumnRenamed(key, "__n"), "__n",
+                      features, kk + 1)
+        nn = nn.where(F.col("__q") != F.col("__n"))
+        w = Window.partitionBy("__q").orderBy("distance", "__n")  # <= k + 1 rows per point
+        nn = nn.withColumn("__j", F.row_number().over(w) - 1)
+        per, extra = divmod(need, n)
+        base = members.select(q(key).alias("__q"), *[q(f).cast("double").alias(f) for f in features])
+        from .prep import class_ranks
+        ranked = class_ranks(base, "__q", seed).withColumn(
+            "__copies", F.lit(per) + F.when(F.col("__rank") <= extra, 1).otherwise(0)).where(F.col("__copies") > 0)
+        copies = ranked.select("*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__c"))
+        copies = copies.withColumn("__j", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(
+            "|", F.lit(str(seed)), F.col("__q").cast("string"), F.col("__c").cast("string"))), 1, 8), 16, 10)
+            .cast("long"), F.lit(kk))).withColumn("__u", uniform(seed + 1, F.col("__q"), F.col("__c")))
+        pick = copies.join(nn.select("__q", "__j", "__n"), ["__q", "__j"])
+        nb = members.select(q(key).alias("__n"), *[q(f).cast("double").alias(f"__nb_{f}") for f in features])
+        syn = pick.join(nb, "__n").select(
+            F.concat(F.lit("smote-"), F.col("__q").cast("string"), F.lit("-"), F.col("__c").cast("string")).alias(key),
+            *[(F.col(f) + F.col("__u") * (F.col(f"__nb_{f}") - F.col(f))).alias(f) for f in features],
+            F.lit(cls).alias(label))
+        parts.append(syn)
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out

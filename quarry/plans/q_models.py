@@ -311,7 +311,8 @@ o as (select *, row_number() over (partition by lk order by distance, rk) as rn,
 
 
 @register("knn_join_embeddings", sql_rounded(_knn_sql(5) + """
-select lk as vec_id, rk as neighbor_id, distance, cast(m as bigint) as multiplicity, cast(rn as integer) as rank
+select lk as vec_id, rk as neighbor_id, distance, cast(m as bigint) as multiplicity, cast(rn as integer) as rank,
+  cast(least(m, 5 - before) as bigint) as weight
 from o where before < 5""", ["distance"]))
 def q_knn(spark, sf):
     from ..operators.knn import knn_join
@@ -327,3 +328,55 @@ select lk as vec_id, min(distance) as k_distance from c where cum >= 4 group by
 def q_kdist(spark, sf):
     from ..operators.knn import k_distance
     return rounded(k_distance(vectors(spark, sf, 4), "vec_id", XS[:4], 4))
+
+
+def _knn_split_sql():
+    return f"""with v as ({vectors_sql(4)}),
+s as (select *, case when row_number() over (order by md5(concat_ws('|', '42', cast(vec_id as varchar)))) <=
+      round_even(count(*) over () * 0.2, 0) then 'test' else 'train' end as sp from v),
+tr as (select * from s where sp = 'train'), te as (select * from s where sp = 'test'),
+g as (select x0, x1, x2, x3, label, min(vec_id) as rk, count(*) as m from tr group by x0, x1, x2, x3, label),
+d as (select te.vec_id as lk, g.rk, g.label, g.m,
+      sqrt(power(te.x0 - g.x0, 2) + power(te.x1 - g.x1, 2) + power(te.x2 - g.x2, 2) + power(te.x3 - g.x3, 2)) as dist
+      from te cross join g),
+o as (select *, coalesce(sum(m) over (partition by lk order by dist, rk rows between unbounded preceding and 1 preceding),
+      0) as before from d),
+w as (select lk, label, least(m, 5 - before) as wt from o where before < 5)"""
+
+
+@register("model_knn_classifier", _knn_split_sql() + """,
+vt as (select lk, label, sum(wt) as votes from w group by lk, label),
+r as (select *, row_number() over (partition by lk order by votes desc, label) as rn from vt)
+select lk as vec_id, label as prediction, cast(votes as bigint) as votes from r where rn = 1""")
+def q_knn_cls(spark, sf):
+    from ..operators.knn import knn_predict
+    from ..operators.prep import split
+    s = split(vectors(spark, sf, 4), "vec_id", 0.2, 42)
+    tr, te = s.where(F.col("__split__") == "train"), s.where(F.col("__split__") == "test")
+    return knn_predict(tr, te, XS[:4], "label", "vec_id", "vec_id", 5).withColumn("votes", F.col("votes").cast("long"))
+
+
+@register("model_knn_regressor", sql_rounded(_knn_split_sql() + """
+select lk as vec_id, sum(wt * label) / sum(wt) as prediction from w group by lk""", ["prediction"]))
+def q_knn_reg(spark, sf):
+    from ..operators.knn import knn_predict
+    from ..operators.prep import split
+    s = split(vectors(spark, sf, 4).withColumn("label", F.col("label").cast("double")), "vec_id", 0.2, 42)
+    tr, te = s.where(F.col("__split__") == "train"), s.where(F.col("__split__") == "test")
+    return rounded(knn_predict(tr, te, XS[:4], "label", "vec_id", "vec_id", 5, "regression"))
+
+
+@register("prep_knn_impute")
+def q_knn_impute(spark, sf):
+    """PRE-01: x3 blanked for every 5th vector, filled from its 5 nearest train rows."""
+    from ..operators.knn import knn_impute
+    v = vectors(spark, sf, 4).withColumn("x3", F.when(F.col("vec_id") % 5 == 0, None).otherwise(F.col("x3")))
+    return rounded(knn_impute(v, v, XS[:3], "x3", "vec_id", 5).select("vec_id", "x3"))
+
+
+@register("prep_smote_counts")
+def q_smote(spark, sf):
+    """PRE-11: classes balanced by SMOTE on the embedding coordinates."""
+    from ..operators.knn import smote
+    v = vectors(spark, sf, 4)
+    return smote(v, XS[:4], "label", "vec_id", 5).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
