@@ -151,3 +151,28 @@ def test_registry_oracles_have_queries():
     qs, sq = E.queries(), E.oracle_sql()
     assert set(sq) <= set(qs)
     assert len(qs) >= 150
+
+
+def test_knn_join_exact_with_hot_duplicate(spark):
+    from quarry.operators.knn import knn_join
+    rng = np.random.default_rng(5)
+    pts = rng.normal(size=(240, 2)).round(3).tolist() + [[0.5, 0.5]] * 120  # one point = a third of the rows
+    ref = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "rid long, a double, b double")
+    qs = rng.normal(size=(40, 2)).tolist()
+    qry = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(qs)], "qid long, a double, b double")
+    got = knn_join(qry, "qid", ref, "rid", ["a", "b"], 5, leaf_rows=8).collect()
+    # brute force over distinct coordinates (min key), multiplicities, ties by key
+    groups = {}
+    for i, p in enumerate(pts):
+        g = groups.setdefault(tuple(p), [i, 0])
+        g[1] += 1
+    for qi, qp in enumerate(qs):
+        cand = sorted((float(np.hypot(qp[0] - c[0], qp[1] - c[1])), k, m) for c, (k, m) in groups.items())
+        want, tot = [], 0
+        for d, k, m in cand:
+            if tot >= 5:
+                break
+            want.append(k)
+            tot += m
+        mine = [r["rid"] for r in sorted((r for r in got if r["qid"] == qi), key=lambda r: r["rank"])]
+        assert mine == want
