@@ -10,10 +10,27 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a scale-factor folder. Column pruning and filter
-    pushdown reach the scan because nothing is read eagerly."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    pushdown reach the scan because nothing is read eagerly. Text tables that
+    arrive in fewer splits than there are cores (one unsplittable row group)
+    are spread round-robin so per-row text work runs in parallel; on a cluster
+    with many files this is a no-op."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        df = widen(df)
+    return df
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Repartition only when the input has fewer partitions than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * 2)
+    return df
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
