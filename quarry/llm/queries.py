@@ -22,3 +22,13 @@ def op1_simhash_dedup(spark, sf_dir):
     from .simhash import simhash_groups
 
     return simhash_groups(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
+@_query
+def op10_suffix_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .suffixes import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"), min_bytes=400)
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
