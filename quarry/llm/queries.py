@@ -32,3 +32,10 @@ def op10_suffix_dedup(spark, sf_dir):
 
     out = remove_repeats(_table(spark, sf_dir, "documents"), min_bytes=400)
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op4_language_id(spark, sf_dir):
+    from .language import language_table
+
+    return language_table(_table(spark, sf_dir, "documents"))
