@@ -39,3 +39,16 @@ def op4_language_id(spark, sf_dir):
     from .language import language_table
 
     return language_table(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .bytebpe import decode_table, encode_table
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    both = decode_table(encode_table(_table(spark, sf_dir, "documents"), ranks), ranks)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
