@@ -7,6 +7,8 @@ from __future__ import annotations
 import numpy as np
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
+SINGLE = {ord(x) for x in "stmd"}
+DOUBLE = {(ord(x), ord(y)) for x, y in ("re", "ve", "ll")}
 _CLASSES: list[np.ndarray] = []
 
 
@@ -37,30 +39,21 @@ def starts(codes: np.ndarray) -> np.ndarray:
     blank = codes == 32
     body = run[what != SPACE]
     white, w_end = run[what == SPACE], end[what == SPACE]
-    lead = np.zeros(len(body), bool)
-    lead[body > 0] = blank[body[body > 0] - 1]
-    found = [body - lead]
+    lead = blank[body - 1] & (body > 0)
+    mark = np.zeros(n + 1, bool)
+    mark[body - lead] = True
     last = w_end == n
-    found.append(white[last | (w_end - white > 1)])  # all but the last character before a word
-    alone = ~last & ~blank[w_end - 1]
-    found.append(w_end[alone] - 1)
-    out = np.unique(np.concatenate(found))
+    mark[white[last | (w_end - white > 1)]] = True  # all but the last character before a word
+    mark[w_end[~last & ~blank[w_end - 1]] - 1] = True
     # 's 't 'm 'd 're 've 'll right behind a match, without a blank before them
-    marks = body[(codes[body] == 39) & ~lead]
-    marks = marks[marks + 1 < n]
-    if len(marks):
-        a = codes[marks + 1]
-        b = np.where(marks + 2 < n, codes[np.minimum(marks + 2, n - 1)], 0)
-        size = np.where(np.isin(a, [ord(x) for x in "stmd"]), 1, 0)
-        size = np.where(((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l")), 2, size)
-        marks, size = marks[size > 0], size[size > 0]
-        if len(marks):
-            out = np.setdiff1d(out, marks + 1)
-            rest = marks + 1 + size
-            inside = rest < n
-            rest = rest[inside][kind[rest[inside]] == LETTER]
-            out = np.union1d(out, rest)
-    return out
+    quotes = body[(codes[body] == 39) & ~lead]
+    for q in quotes[quotes + 1 < n].tolist():
+        a, b = codes[q + 1], codes[q + 2] if q + 2 < n else 0
+        size = 1 if a in SINGLE else 2 if (int(a), int(b)) in DOUBLE else 0
+        if size:
+            mark[q + 1] = False
+            mark[q + 1 + size] |= q + 1 + size < n and kind[q + 1 + size] == LETTER
+    return np.flatnonzero(mark[:n])
 
 
 def pretokens(text: str) -> list[str]:
