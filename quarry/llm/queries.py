@@ -52,3 +52,23 @@ def op2_byte_bpe(spark, sf_dir):
     both = decode_table(encode_table(_table(spark, sf_dir, "documents"), ranks), ranks)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@_query
+def op5_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+@_query
+def op6_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from .common import shared_folder
+    from .tokenfiles import read_token_files, write_token_files
+
+    files = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), shared_folder(spark, "token-files"), end_id=1)
+    return read_token_files(files, with_ids=False)
