@@ -72,3 +72,30 @@ def op6_token_files(spark, sf_dir):
 
     files = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), shared_folder(spark, "token-files"), end_id=1)
     return read_token_files(files, with_ids=False)
+
+
+@_query
+def op8_exact_topk(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op8_exact_topk"] = """
+with usable as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+    from embeddings
+    where vec_id is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as (
+    select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from usable q join usable c on q.vec_id <> c.vec_id
+    where q.vec_id % 50 = 0
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+where rank <= 5
+"""
