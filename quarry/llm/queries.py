@@ -99,3 +99,10 @@ select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
 where rank <= 5
 """
+
+
+@_query
+def op7_embedding_dedup(spark, sf_dir):
+    from .pivots import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
