@@ -106,3 +106,10 @@ def op7_embedding_dedup(spark, sf_dir):
     from .pivots import near_vectors
 
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@_query
+def op3_pii(spark, sf_dir):
+    from .pii import pii_table
+
+    return pii_table(_table(spark, sf_dir, "documents"))
