@@ -113,3 +113,10 @@ def op3_pii(spark, sf_dir):
     from .pii import pii_table
 
     return pii_table(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_secret_scan(spark, sf_dir):
+    from .secrets import secret_table
+
+    return secret_table(_table(spark, sf_dir, "documents"))
