@@ -269,7 +269,7 @@ def _sort_bucket(key, notes):
     return _notes(out)
 
 
-def _remove(min_bytes: int, buckets: int, names_out: list[str]):
+def _remove(min_bytes: int, buckets: int, names_out: list[str], as_text: bool):
     def run(key, docs: pa.Table, notes: pa.Table) -> pa.Table:
         taking, texts, told, twins = _read(docs, notes)
         keys = [f"{s}:{i}" for s, i in zip(docs.column("sha").to_pylist(), docs.column("doc_id").to_pylist())]
@@ -291,15 +291,16 @@ def _remove(min_bytes: int, buckets: int, names_out: list[str]):
             kept.append(np.frombuffer(body, np.uint8)[~gone].tobytes() if n else body)
         sizes = [r + len(k) for r, k in zip(removed, kept)]
         return pa.table([docs.column("row"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-                         pa.array(kept, pa.binary())], names=names_out)
+                         pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=names_out)
     return run
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 400, chunk_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_bytes: int = 400, chunk_bytes: int = 8 << 20, as_text: bool = False) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept): one row per row of ``docs``.
 
     ``row`` is a struct of the input row without its text, ``kept`` the remaining
-    bytes of the text (UTF-8; cuts may fall inside a character). Strings are judged on
+    bytes of the text (UTF-8; cuts may fall inside a character), or with ``as_text`` the
+    remaining text without the characters that a cut has broken. Strings are judged on
     the input. Null texts count as empty; texts shorter than ``min_bytes`` cannot hold
     a repeat and pass unchanged. Repeated rows are copies of each other and both go if
     long enough, also when doc_id is equal or null. An empty table gives an empty
@@ -329,8 +330,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400, chunk_bytes: int = 8 <
     sorted_ = lambda sent: sent.groupBy("bucket").applyInArrow(_sort_bucket, NOTE)
     samples = sorted_(passes(told, _send_samples(min_bytes, buckets), NOTE))
     windows = sorted_(passes(samples, _send_suffixes(min_bytes, buckets), NOTE))
-    out = T.StructType([T.StructField("row", rows.schema["row"].dataType), *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary")])
-    cut = passes(windows, _remove(min_bytes, buckets, out.names), out)
+    out = T.StructType([T.StructField("row", rows.schema["row"].dataType), *T.StructType.fromDDL(f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")])
+    cut = passes(windows, _remove(min_bytes, buckets, out.names, as_text), out)
     zero = F.lit(0).cast("long")
-    short = rows.where(F.octet_length("body") < min_bytes).select("row", F.octet_length("body").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("body").alias("kept"))
+    short = rows.where(F.octet_length("body") < min_bytes).select("row", F.octet_length("body").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("body").cast(out["kept"].dataType).alias("kept"))
     return cut.union(short)
