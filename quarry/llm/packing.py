@@ -5,12 +5,13 @@ longest first; then its underfull bins improve each other: the fullest takes doc
 from emptier ones by a move, a one-for-one or a two-for-one exchange, whichever fills it
 most, which always raises the sum of squared fills, until bins run empty and no exchange
 helps. Pieces of bins that stay underfull go on to a next round of fewer groups, so that
-what is left over of all groups meets; a round takes place while it has fewer groups
-than the one before. A group's size is fixed, whatever the corpus.
+what is left over of all groups meets, while that saves groups. A group's size is fixed,
+whatever the corpus.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -23,6 +24,7 @@ from .libtokens import word_ids
 
 GROUP = 40_000
 MAX_PASSES = 20
+SHRINK = 0.8  # a further round takes place if its groups are at most this part of the last round's
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -72,44 +74,59 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     """Local search among underfull bins; returns the bins that are not empty."""
     fill = [sum(lengths[i] for i in b) for b in bins]
     for _ in range(MAX_PASSES):
-        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
         pool = Pool()
-        for b in order:
+        heap = [(-fill[b], b) for b in range(len(bins)) if 0 < fill[b] < capacity]
+        heapq.heapify(heap)
+        for _, b in heap:
             for i in bins[b]:
                 pool.add(lengths[i], i, b)
-        changed = False
-        while order:
-            taker = order.pop()
-            if not bins[taker]:
-                continue
+        done, changed = set(), False
+        while heap:
+            f, taker = heapq.heappop(heap)
+            if taker in done or -f != fill[taker] or not bins[taker]:
+                continue  # an entry from before its bin changed
+            done.add(taker)
             for i in bins[taker]:
                 pool.drop(lengths[i], i, taker)
             while (gap := capacity - fill[taker]) and (step := _best(bins[taker], gap, lengths, pool, fill, capacity)):
-                out, come = step
+                out, come, home = step
+                owners = {o for _, o in come}
+                before = sum(fill[o] ** 2 for o in {taker, *owners})
+                for j, owner in come:
+                    _shift(j, owner, taker, bins, fill, lengths)
+                if out is not None:
+                    _shift(out, taker, home, bins, fill, lengths)
+                if sum(fill[o] ** 2 for o in {taker, *owners}) <= before:  # a fuller giver: take it back
+                    if out is not None:
+                        _shift(out, home, taker, bins, fill, lengths)
+                    for j, owner in come:
+                        _shift(j, taker, owner, bins, fill, lengths)
+                    break
                 for j, owner in come:
                     pool.drop(lengths[j], j, owner)
-                    bins[owner].remove(j)
-                    fill[owner] -= lengths[j]
-                    bins[taker].append(j)
-                    fill[taker] += lengths[j]
                 if out is not None:
-                    owner = next(o for _, o in come if fill[o] + lengths[out] <= capacity)
-                    bins[taker].remove(out)
-                    fill[taker] -= lengths[out]
-                    bins[owner].append(out)
-                    fill[owner] += lengths[out]
-                    pool.add(lengths[out], out, owner)
+                    pool.add(lengths[out], out, home)
+                for o in owners:
+                    heapq.heappush(heap, (-fill[o], o))
                 changed = True
         if not changed:
             break
     return [b for b in bins if b]
 
 
+def _shift(doc: int, old: int, new: int, bins: list[list[int]], fill: list[int], lengths: list[int]) -> None:
+    bins[old].remove(doc)
+    bins[new].append(doc)
+    fill[old] -= lengths[doc]
+    fill[new] += lengths[doc]
+
+
 def _best(own: list[int], gap: int, lengths: list[int], pool: Pool, fill: list[int], capacity: int):
-    """(document to give or None, documents to take) that fills a bin most; None if nothing does."""
+    """(document to give or None, documents to take as (document, giver), giver that gets the
+    document) that fills a bin most; None if nothing does."""
     best, gain = None, 0
     if (size := pool.longest(gap)) > gain:
-        best, gain = (None, [pool.of[size][-1]]), size
+        best, gain = (None, [pool.of[size][-1]], None), size
     seen = set()
     for x in own:
         a = lengths[x]
@@ -117,7 +134,7 @@ def _best(own: list[int], gap: int, lengths: list[int], pool: Pool, fill: list[i
             continue
         seen.add(a)
         if (size := pool.longest(a + gap)) - a > gain:
-            best, gain = (x, [pool.of[size][-1]]), size - a
+            best, gain = (x, [pool.of[size][-1]], pool.of[size][-1][1]), size - a
         rest = pool.mask & (1 << a + gap) - 1
         while rest and gain < gap:  # the longer one of two, from the longest down to half
             y = rest.bit_length() - 1
@@ -127,8 +144,9 @@ def _best(own: list[int], gap: int, lengths: list[int], pool: Pool, fill: list[i
             z = pool.longest(min(y, a + gap - y))
             if z and y + z - a > gain:
                 two = [pool.of[y][-1], pool.of[z][-1]] if y != z else pool.of[y][-2:]
-                if len(two) == 2 and any(fill[o] - sum(lengths[j] for j, w in two if w == o) + a <= capacity for _, o in two):
-                    best, gain = (x, two), y + z - a
+                home = [o for _, o in two if fill[o] - sum(lengths[j] for j, w in two if w == o) + a <= capacity]
+                if len(two) == 2 and home:
+                    best, gain = (x, two, home[0]), y + z - a
     return best
 
 
@@ -194,20 +212,20 @@ def pack_pieces(table: DataFrame, capacity: int = 2048, group: int = GROUP) -> D
     named = checkpointed(table.withColumn("uid", F.monotonically_increasing_id()))
     whole = named.where(F.col("length") == capacity).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = named.where(F.col("length") < capacity).select("uid", "length")
-    places, groups, turn = whole, None, 0
+    places, turn = whole, 0
+    groups = max(1, -(-left.count() // group))
     while True:
-        n = -(-left.count() // group)
-        groups = max(1, n if groups is None else min(n, groups // 2))
         done = checkpointed(left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(groups)))
                             .groupBy("grp").applyInArrow(_pack_group(capacity), "uid long, length long, slot long, offset long, full boolean, grp long"))
         turn += 1
-        last = groups == 1 or -(-done.where("not full").count() // group) > groups // 2  # no fewer groups to come
+        fewer = -(-done.where("not full").count() // group)
+        last = groups == 1 or fewer > SHRINK * groups
         # the sign keeps these numbers apart from the row numbers of whole pieces
         number = -((F.lit(turn).cast("long") * (1 << 55)) + F.col("grp") * (1 << 17) + F.col("slot")) - 1
         places = places.union((done if last else done.where("full")).select("uid", number.alias("sequence_id"), "offset"))
         if last:
             break
-        left = done.where("not full").select("uid", "length")
+        left, groups = done.where("not full").select("uid", "length"), max(1, fewer)
     places = places.withColumnRenamed("uid", "u")
     return named.join(places, named.uid == places.u).drop("uid", "u")
 
