@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import rows as W
 from ..operators.clean import DECIMAL_COMMA, THOUSANDS, number_text
 from ..operators.ranks import average_ranks, percent_rank_rows
-from ..operators.stats import magnitude
+from ..operators.stats import effect_label
 from ..sources.files import country_of
 from ..sources.tables import read_table
 from .fixtures import CONTACTS_SQL, PUBS_SQL, contacts, pubs
@@ -188,10 +188,15 @@ def q_country(spark, sf):
     return n.select("n_name", country_of(aff).alias("country"))
 
 
-@register("fn_effect_labels")
+LABEL_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("fn_effect_labels", sql_rounded("select a, b, r, case when abs(r) < 0.1 then 'negligible' when abs(r) < 0.3 then 'small' "
+          "when abs(r) < 0.5 then 'medium' else 'large' end as magnitude from (" + " union all ".join(
+              f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as r from lineitem"
+              for i, a in enumerate(LABEL_COLS) for b in LABEL_COLS[i + 1:]) + ")", ["r"]))
 def q_labels(spark, sf):
     """FN-12: magnitude labels of the correlations between lineitem measures."""
     from ..operators.profile import correlation_matrix
-    cm = correlation_matrix(read_table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-    rows = [(r["col_a"], r["col_b"], r["r"], magnitude("r", r["r"])) for r in cm.collect()]  # 6 pairs
-    return spark.createDataFrame(rows, "a string, b string, r double, magnitude string")
+    cm = correlation_matrix(read_table(spark, sf, "lineitem"), LABEL_COLS)
+    return rounded(cm.select(F.col("col_a").alias("a"), F.col("col_b").alias("b"), "r", effect_label("r", F.col("r")).alias("magnitude")))
