@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.prep import fit_prep, split
 from ..sources import files as S
+from ..sources import publications as P
 from ..sources.tables import read_table
 from ..streaming.replay import file_stream, replay_stream, run_to_table
 from .fixtures import PUBS_SQL, pubs
@@ -53,9 +54,9 @@ def q_scopus(spark, sf):
               _authors_str("keywords").alias("Author Keywords"), _authors_str("refs").alias("References"),
               _authors_str("countries").alias("Country of Research Organization"))
      .write.option("header", True).csv(path))
-    if S.detect_format(spark, path) not in ("scopus", "csv"):
+    if P.detect_format(spark, path) not in ("scopus", "csv"):
         raise AssertionError("format detection failed")
-    t = S.normalise_publications(S.read_publications_table(spark, path))
+    t = P.normalise_publications(P.read_publications_table(spark, path))
     return t.select("title", "year", "source", _authors_str("authors").alias("authors"),
                     _authors_str("keywords").alias("keywords"), F.col("citations").cast("long").alias("citations"),
                     "doi", F.size("refs").cast("long").alias("n_refs"), _authors_str("countries").alias("countries"))
@@ -75,30 +76,96 @@ def _wos_records(p):
 
 @register("src_wos_plain", f"""with p as ({PUBS_SQL})
 select title, cast(year as varchar) as year, source, array_to_string(authors, '; ') as authors,
-  cast(citations as varchar) as citations, doi, cast(len(refs) as bigint) as n_refs,
+  cast(citations as varchar) as citations, doi, cast(len(refs) as bigint) as n_refs, array_to_string(keywords, '|') as keywords,
   array_to_string(list_transform(countries, lambda c: 'Dept Trade, ' || c), '; ') as affiliations from p""")
 def q_wos(spark, sf):
     path = _tmp(spark, "wos")
     _wos_records(pubs(spark, sf)).write.text(path)
-    w = S.read_wos_plain(spark, path)
+    w = P.read_wos_plain(spark, path)
     return w.select("title", "year", "source", _authors_str("authors").alias("authors"), "citations", "doi",
-                    F.size("references").cast("long").alias("n_refs"), _authors_str("affiliations").alias("affiliations"))
+                    F.size("references").cast("long").alias("n_refs"), F.array_join("keywords", "|").alias("keywords"),
+                    _authors_str("affiliations").alias("affiliations"))
+
+
+@register("src_wos_tab", f"""with p as ({PUBS_SQL})
+select title, year, array_to_string(authors, '|') as authors, array_to_string(keywords, '|') as keywords, cast(citations as bigint) as citations,
+  cast(len(refs) as bigint) as n_refs, array_to_string(list_transform(countries, lambda c: 'Dept Trade, ' || c), '|') as affiliations from p""")
+def q_wos_tab(spark, sf):
+    """SRC-10: lists by ";" with names in brackets before each affiliation."""
+    path = _tmp(spark, "wos-tab")
+    (pubs(spark, sf).select(F.lit("J").alias("PT"), _authors_str("authors").alias("AU"), F.col("title").alias("TI"), F.col("source").alias("SO"),
+                            _authors_str("keywords").alias("DE"), _authors_str(F.transform("countries", lambda c: F.concat(F.lit("[A, B; C, D] Dept Trade, "), c))).alias("C1"),
+                            _authors_str("refs").alias("CR"), F.col("citations").alias("TC"), F.col("year").alias("PY"), F.col("doi").alias("DI"))
+     .write.option("header", True).option("sep", "\t").option("quote", "").csv(path))
+    if P.detect_format(spark, path) != "wos_tab":
+        raise AssertionError("format detection failed")
+    t = P.read_publications(spark, path)
+    return t.select("title", "year", F.array_join("authors", "|").alias("authors"), F.array_join("keywords", "|").alias("keywords"), F.col("citations").cast("long").alias("citations"),
+                    F.size("refs").cast("long").alias("n_refs"), F.array_join("affiliations", "|").alias("affiliations"))
+
+
+WORKS_SQL = f"""with p as ({PUBS_SQL})
+select title, year, source, array_to_string(authors, '|') as authors, cast(citations as bigint) as citations, doi, cast(len(refs) as bigint) as n_refs,
+  array_to_string({{}}, '|') as more from p"""
+
+
+def _works(t, more):
+    return t.select("title", "year", "source", F.array_join("authors", "|").alias("authors"), F.col("citations").cast("long").alias("citations"), "doi",
+                    F.size("refs").cast("long").alias("n_refs"), F.array_join(more, "|").alias("more"))
+
+
+@register("src_crossref_json", WORKS_SQL.format("list_transform(countries, lambda c: 'Dept Trade, ' || c)"))
+def q_crossref(spark, sf):
+    """SRC-12: one work per JSON document, references as text or as a DOI."""
+    path = _tmp(spark, "crossref")
+    author = F.transform("authors", lambda a, i: F.struct(a.alias("name"), F.when(i == 0, F.transform("countries", lambda c: F.struct(F.concat(F.lit("Dept Trade, "), c).alias("name")))).alias("affiliation")))
+    (pubs(spark, sf).select(F.array("title").alias("title"), F.array("source").alias("container-title"), F.col("doi").alias("DOI"), F.col("citations").alias("is-referenced-by-count"),
+                            F.struct(F.array(F.array("year")).alias("date-parts")).alias("published"), author.alias("author"),
+                            F.transform("refs", lambda r: F.struct(r.alias("unstructured"))).alias("reference")).write.json(path))
+    return _works(P.normalise_publications(P.read_works_json(spark, path, lines=True)), "affiliations")
+
+
+@register("src_openalex_json", WORKS_SQL.format("list_sort(list_distinct(countries))"))
+def q_openalex(spark, sf):
+    """SRC-13: list responses, countries from the authorships."""
+    path = _tmp(spark, "openalex")
+    ship = F.transform("authors", lambda a, i: F.struct(F.struct(a.alias("display_name")).alias("author"), F.when(i == 0, F.col("countries")).alias("countries")))
+    work = F.struct(F.col("title"), F.col("year").alias("publication_year"), F.struct(F.struct(F.col("source").alias("display_name")).alias("source")).alias("primary_location"),
+                    ship.alias("authorships"), F.col("citations").alias("cited_by_count"), F.concat(F.lit("https://doi.org/"), "doi").alias("doi"), F.col("refs").alias("referenced_works"))
+    (pubs(spark, sf).groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("page")).agg(F.collect_list(work).alias("results")).select("results").write.json(path))
+    return _works(P.normalise_publications(P.read_works_json(spark, path, lines=True)), "countries")
+
+
+@register("src_dimensions_preamble", f"""with p as ({PUBS_SQL}) select title, year, array_to_string(authors, '|') as authors, doi from p""")
+def q_dimensions(spark, sf):
+    """SRC-14 + SRC-08: a note line above the header; a separator per value."""
+    path = _tmp(spark, "dimensions")
+    names = F.when(F.col("doc_id") % 2 == 0, F.array_join("authors", "| ")).otherwise(_authors_str("authors"))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+    row = F.concat_ws(",", *[quoted(c) for c in (F.col("title"), F.col("year"), names, F.col("doi"))])
+    rows = pubs(spark, sf).select(row.alias("value"))
+    head = spark.createDataFrame([('"About the data: Exported on Jan 1"\nTitle,PubYear,Authors,DOI',)], "value string")
+    (head.withColumn("o", F.lit(0)).union(rows.withColumn("o", F.lit(1))).repartition(1).sortWithinPartitions("o")
+     .select("value").write.text(path))  # one file, as exports come
+    t = P.read_publications(spark, path)
+    return t.select("title", "year", F.array_join("authors", "|").alias("authors"), "doi")
 
 
 @register("src_pubmed", f"""with p as ({PUBS_SQL})
-select title, cast(year as varchar) as year, source, array_to_string(authors, '; ') as authors, doi,
-  array_to_string(list_sort(list_distinct(keywords)), '; ') as mesh from p""")
+select title, cast(year as varchar) as year, source, array_to_string(authors, '; ') as authors,
+  case when doc_id % 3 = 0 then null else doi end as doi, array_to_string(list_sort(list_distinct(keywords)), '; ') as mesh from p""")
 def q_pubmed(spark, sf):
     p = pubs(spark, sf)
     path = _tmp(spark, "pubmed")
     rec = p.select(F.concat(
-        F.lit("PMID- "), F.col("doc_id").cast("string"), F.lit("\nTI  - "), F.col("title"),
+        F.lit("PMID- "), F.col("doc_id").cast("string"), F.lit("\nTI  - "), F.regexp_replace("title", " ", "\n      "),
         F.lit("\nDP  - "), F.col("year").cast("string"), F.lit(" Jan"), F.lit("\nJT  - "), F.col("source"),
         F.concat(*[F.lit("")]), F.array_join(F.transform("authors", lambda a: F.concat(F.lit("\nAU  - "), a)), ""),
         F.array_join(F.transform("keywords", lambda k: F.concat(F.lit("\nMH  - *"), k, F.lit("/metabolism"))), ""),
-        F.lit("\nLID - "), F.col("doi"), F.lit(" [doi]"), F.lit("\n")).alias("value"))
+        F.when(F.col("doc_id") % 3 > 0, F.concat(F.when(F.col("doc_id") % 3 == 1, "\nLID - ").otherwise("\nAID - "), F.col("doi"), F.lit(" [doi]"))).otherwise(""),
+        F.lit("\n")).alias("value"))
     rec.write.option("lineSep", "\n\n").text(path)
-    m = S.read_pubmed(spark, path)
+    m = P.read_pubmed(spark, path)
     return m.select("title", "year", "source", _authors_str("authors").alias("authors"), "doi",
                     F.array_join(F.array_sort("index_keywords"), "; ").alias("mesh"))
 

@@ -9,7 +9,7 @@ from ..operators import rows as W
 from ..operators.clean import DECIMAL_COMMA, THOUSANDS, number_text
 from ..operators.ranks import average_ranks, percent_rank_rows
 from ..operators.stats import effect_label
-from ..sources.files import country_of
+from ..sources.publications import country_of
 from ..sources.tables import read_table
 from .fixtures import CONTACTS_SQL, PUBS_SQL, contacts, pubs
 from .registry import register, rounded, sql_rounded
