@@ -31,48 +31,52 @@ CONTAMINATION = 0.05
 # ---- PRE-02 iterative imputation ---------------------------------------------------------
 
 def iterative_impute(train: DataFrame, columns: list[str], max_iter: int = 10, tol: float = 1e-3) -> dict:
-    """Chained regressions fitted on TRAIN: start from column means, then for
-    each column with gaps regress it on the others (rows where it is known)
-    and refill; stop when the largest coefficient change is below ``tol``.
-    Returns a JSON-able state for ``apply_iterative``."""
-    means = train.agg(*[F.avg(q(c)).alias(c) for c in columns]).first().asDict()
-    gaps = [c for c, n in train.agg(*[F.count_if(q(c).isNull()).alias(c) for c in columns]).first().asDict().items()
-            if n]
-    models = {c: {"intercept": means[c], "coef": [0.0] * (len(columns) - 1)} for c in gaps}
+    """Chained regressions fitted on TRAIN: gaps start at the column means; each column
+    with gaps is regressed on the others' current values (rows where it is known) and
+    refilled before the next column's turn. Rounds end when no coefficient moves by
+    ``tol``. Returns a JSON-able state for ``apply_iterative``."""
+    from ..session import cut_lineage
+    seen = train.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(columns)], *[F.count_if(q(c).isNull()).alias(f"g{i}") for i, c in enumerate(columns)]).first()
+    state = {"columns": columns, "means": {c: seen[f"m{i}"] for i, c in enumerate(columns)}, "gaps": [c for i, c in enumerate(columns) if seen[f"g{i}"]], "models": {}, "rounds": 0}
+    filled = cut_lineage(_start(state, train))
     for _ in range(max_iter):
-        filled = apply_iterative({"means": means, "models": models, "columns": columns}, train, keep_known=True)
         change = 0.0
-        for c in gaps:
+        for c in state["gaps"]:
             others = [o for o in columns if o != c]
-            d = VectorAssembler(inputCols=others, outputCol="features").transform(
-                filled.where(q(c + "__known")).select(*others, q(c).alias("label")))
-            m = LinearRegression(regParam=1e-6, elasticNetParam=0.0).fit(d)
-            new = {"intercept": float(m.intercept), "coef": [float(x) for x in m.coefficients]}
-            change = max(change, max(abs(a - b) for a, b in zip(new["coef"] + [new["intercept"]],
-                                                                  models[c]["coef"] + [models[c]["intercept"]])))
-            models[c] = new
+            rows = VectorAssembler(inputCols=others, outputCol="features").transform(filled.where(f"`__gap_{c}` = false").select(*others, q(c).alias("label")))
+            m = LinearRegression(regParam=1e-6, elasticNetParam=0.0).fit(rows)
+            new = [float(m.intercept), *map(float, m.coefficients)]
+            change = max([change, *(abs(a - b) for a, b in zip(new, state["models"].get(c, [state["means"][c]] + [0.0] * len(others))))])
+            state["models"][c] = new
+            filled = _refill(state, filled, c)
+        filled = cut_lineage(filled)
+        state["rounds"] += 1
         if change < tol:
             break
-    return {"means": means, "models": models, "columns": columns}
+    return state
 
 
-def apply_iterative(state: dict, df: DataFrame, keep_known: bool = False) -> DataFrame:
-    """Fill gaps: means first, then each model once on the mean-filled row."""
+def _start(state: dict, df: DataFrame) -> DataFrame:
+    """Gaps marked (__gap_<column>) and filled with the means."""
     cols = state["columns"]
-    base = {c: F.coalesce(q(c), F.lit(state["means"][c])) for c in cols}
-    out = df
-    for c, m in state["models"].items():
-        others = [o for o in cols if o != c]
-        pred = F.lit(m["intercept"])
-        for o, w in zip(others, m["coef"]):
-            pred = pred + F.lit(w) * base[o]
-        if keep_known:
-            out = out.withColumn(c + "__known", q(c).isNotNull())
-        out = out.withColumn(c, F.coalesce(q(c), pred))
-    for c in cols:
-        if c not in state["models"]:
-            out = out.withColumn(c, F.coalesce(q(c), F.lit(state["means"][c])))
-    return out
+    return df.withColumns({f"__gap_{c}": q(c).isNull() for c in cols}).withColumns({c: F.coalesce(q(c).cast("double"), F.lit(state["means"][c])) for c in cols})
+
+
+def _refill(state: dict, df: DataFrame, c: str) -> DataFrame:
+    first, *weights = state["models"][c]
+    guess = F.lit(first)
+    for o, w in zip([o for o in state["columns"] if o != c], weights):
+        guess = guess + F.lit(w) * q(o)
+    return df.withColumn(c, F.when(F.col(f"`__gap_{c}`"), guess).otherwise(q(c)))
+
+
+def apply_iterative(state: dict, df: DataFrame) -> DataFrame:
+    """Fill the gaps of new rows: means, then the fitted chain as often as in fitting."""
+    out = _start(state, df)
+    for _ in range(state["rounds"]):
+        for c in state["gaps"]:
+            out = _refill(state, out, c)
+    return out.drop(*[f"__gap_{c}" for c in state["columns"]])
 
 
 # ---- PRE-08 recursive feature elimination ---------------------------------------------------
@@ -88,7 +92,8 @@ def rfe(train: DataFrame, features: list[str], label: str, k: int, task: str = "
     while len(keep) > k:
         d = VectorAssembler(inputCols=keep, outputCol="features").transform(z)
         est = LogisticRegression(maxIter=50) if task == "classification" else LinearRegression()
-        w = [abs(x) for x in est.fit(d).coefficients.toArray()]
+        fitted = est.fit(d)  # one row of coefficients per class, or one in all
+        w = np.sqrt((fitted.coefficientMatrix.toArray() ** 2).sum(axis=0)) if task == "classification" else np.abs(fitted.coefficients.toArray())
         weakest = keep[int(np.argmin(w))]
         order.append(weakest)
         keep.remove(weakest)
@@ -102,7 +107,7 @@ def rfe(train: DataFrame, features: list[str], label: str, k: int, task: str = "
 def adaboost(train: DataFrame, features: list[str], label: str, n_estimators: int = 50):
     """SAMME with depth-1 trees; sample weights updated with column
     arithmetic each round. Returns [(stump model, alpha)] and the classes."""
-    classes = sorted(r[0] for r in train.select(q(label).cast("string")).distinct().limit(1001).collect())
+    classes = sorted(r[0] for r in train.where(q(label).isNotNull()).select(q(label).cast("string")).distinct().collect())  # one per class
     k = len(classes)
     m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
     d = VectorAssembler(inputCols=features, outputCol="features").transform(train).withColumn(

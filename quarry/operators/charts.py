@@ -72,7 +72,7 @@ def box_stats(df: DataFrame, col: str, group: str | None = None) -> DataFrame:
     d = df.select(g.alias("group"), q(col).cast("double").alias("v")).where(F.col("v").isNotNull())
     qs = exact_quantiles(d, [0.25, 0.5, 0.75], by=["group"], value="v").select(
         "group", "n", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
-    j = d.join(F.broadcast(qs.select("group", "q1", "q3")), "group")
+    j = d.join(qs.select("group", "q1", "q3"), "group")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     w = j.groupBy("group").agg(F.min(F.when(F.col("v") >= lo, F.col("v"))).alias("whisker_low"),

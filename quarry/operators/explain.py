@@ -16,22 +16,25 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q, uniform
 from . import metrics as M
-from .models import _prepare, estimator, fit_predict
+from .models import _labelled, class_codes, estimator, fit_predict
 from .prep import assign_folds, class_ranks, fit_prep, split, transform
 from .ranks import exact_quantiles
 
 PDP_POINTS = 20
-PDP_ROWS = 500
 PERM_REPEATS = 5
 
 
+def _prepare(df: DataFrame, features: list[str], target: str, task: str, codes: DataFrame | None) -> DataFrame:
+    """(features, label) of the rows with a known target and no gap in a feature."""
+    labelled = _labelled(df, target, task, codes).where(F.col("label").isNotNull()).dropna(subset=features)
+    return VectorAssembler(inputCols=features, outputCol="features").transform(labelled)
+
+
 def fit_model(train: DataFrame, features: list[str], target: str, name: str, task: str = "classification"):
-    classes = None
-    if task == "classification":
-        classes = sorted(r[0] for r in train.where(q(target).isNotNull()).select(q(target).cast("string"))
-                         .distinct().limit(1001).collect())
-    tr = _prepare(train, features, target, task, classes)
-    return estimator(name, task, len(features), len(classes or [])).fit(tr), classes
+    """A fitted model and its classes as a table (value, label); None for regression."""
+    codes = class_codes(train, target).persist() if task == "classification" else None
+    tr = _prepare(train, features, target, task, codes)
+    return estimator(name, task, len(features), codes.count() if codes is not None else 0).fit(tr), codes
 
 
 def native_importance(model, features: list[str]) -> list[tuple[str, float]]:
@@ -60,17 +63,16 @@ def linear_shap(df: DataFrame, train: DataFrame, features: list[str], coefs: lis
 
 
 def partial_dependence(model, df: DataFrame, features: list[str], feature: str, key: str,
-                       points: int = PDP_POINTS, rows: int = PDP_ROWS, seed: int = 42) -> DataFrame:
+                       points: int = PDP_POINTS) -> DataFrame:
     """EXP-06: average prediction (positive-class probability when present)
     with ``feature`` set to each of ``points`` grid values between its 5 %
-    and 95 % quantiles, over a seeded sample of <= ``rows`` rows."""
-    from .charts import sample_rows
+    and 95 % quantiles, over all rows without a gap in a feature (every row is scored
+    ``points`` times and enters one grouped mean)."""
     qs = exact_quantiles(df.select(q(feature).cast("double").alias("value")), [0.05, 0.95]).first()
     lo, hi = float(qs["q_0"]), float(qs["q_1"])
     grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)] if hi > lo else [lo]
-    s = sample_rows(df, key, rows, seed)
-    e = s.withColumn("__grid", F.explode(F.array(*[F.lit(g) for g in grid]))).withColumn(feature, F.col("__grid"))
-    d = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(e)
+    e = df.dropna(subset=[f for f in features if f != feature]).withColumn("__grid", F.explode(F.array(*[F.lit(g) for g in grid]))).withColumn(feature, F.col("__grid"))
+    d = VectorAssembler(inputCols=features, outputCol="features").transform(e)
     out = model.transform(d)
     val = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
     return out.groupBy(F.col("__grid").alias("value")).agg(F.avg(val).alias("mean_prediction"))
@@ -82,9 +84,9 @@ def permutation_importance(model, test: DataFrame, features: list[str], target:
     column's values are re-paired with other rows: rows ranked by md5(seed, key)
     receive the value of the row ranked by md5(seed + 1000 + r, key)."""
     def score(d):
-        pd_ = _prepare(d, features, target, "classification" if classes else "regression", classes)
+        pd_ = _prepare(d, features, target, "regression" if classes is None else "classification", classes)
         p = model.transform(pd_)
-        if classes:
+        if classes is not None:
             return M.classification_metrics(p, "label", "prediction").first()["accuracy"]
         return M.regression_metrics(p, "label", "prediction", len(features)).first()["r2"]
     base = score(test)
@@ -164,22 +166,26 @@ def apply_plan(df: DataFrame, plan: dict, key: str, target: str, test_size: floa
     return transform(state, s), state
 
 
-def predict_table(model, state: dict | None, df: DataFrame, features: list[str], classes: list[str] | None,
+def predict_table(model, state: dict | None, df: DataFrame, features: list[str], classes: DataFrame | None,
                   key: str) -> DataFrame:
     """MDL-21: replay preprocessing, score, map class codes back to names,
-    probabilities rounded to 6 digits."""
+    probabilities rounded to 6 digits. One row per row of ``df``; null where a feature is."""
     d = transform(state, df) if state else df
-    v = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(d)
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & q(f).isNotNull()
+    v = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(d.withColumn("__whole", whole))
     out = model.transform(v)
+    known = lambda c: F.when(F.col("__whole"), c)
     cols = [q(key)]
-    if classes:
-        lab = F.array(*[F.lit(c) for c in classes])
-        cols.append(F.element_at(lab, F.col("prediction").cast("int") + 1).alias("prediction"))
+    if classes is not None:
+        names = [r["value"] for r in classes.orderBy("label").collect()]  # one per class
+        cols.append(known(F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1)).alias("prediction"))
         if "probability" in out.columns:
             arr = vector_to_array("probability")
-            cols += [F.round(arr[i], 6).alias(f"probability {c}") for i, c in enumerate(classes)]
+            cols += [known(F.round(arr[i], 6)).alias(f"probability {c}") for i, c in enumerate(names)]
     else:
-        cols.append(F.col("prediction"))
+        cols.append(known(F.col("prediction")).alias("prediction"))
     return out.select(*cols)
 
 
@@ -208,20 +214,26 @@ LIME_ALPHA = 1.0
 
 def lime(model, train: DataFrame, rows: DataFrame, features: list[str], key: str, samples: int = LIME_SAMPLES,
          seed: int = 42) -> DataFrame:
-    """EXP-07: per explained row, ``samples`` perturbations that keep or
-    replace each feature (replacement = the train mean), scored by the model;
-    kernel sqrt(exp(-d^2 / w^2)) with w = 0.75 sqrt(p); weighted ridge
-    (alpha = 1) per row in ``applyInPandas``; returns coefficients and the
-    weighted R^2. Work grows with rows x samples, both parameters."""
+    """EXP-07: per explained row, ``samples`` variants in which a uniform number of
+    columns, chosen at random, takes the values of a random row of ``train``; scored by the
+    model; kernel sqrt(exp(-d^2 / w^2)) with w = 0.75 sqrt(p); weighted ridge (alpha = 1)
+    per row in ``applyInPandas``; returns coefficients and the weighted R^2. All draws
+    come from md5 keys. Work grows with rows x samples, both parameters."""
     import numpy as np
     import pandas as pd
     p = len(features)
-    means = train.agg(*[F.avg(q(f)).alias(f) for f in features]).first().asDict()
+    ground = class_ranks(train.dropna(subset=features).select(q(key).alias("__bk"), *[q(f).cast("double").alias(f"__b_{f}") for f in features]), "__bk", seed)
+    ground = ground.select(F.col("__rank").cast("long").alias("__at"), *[f"__b_{f}" for f in features]).persist()
+    n = ground.count()
     e = rows.select(q(key).alias("__row"), *[q(f).cast("double").alias(f) for f in features]).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("__s"))
-    keep = [(uniform(seed + i, F.col("__row"), F.col("__s")) < 0.5) | (F.col("__s") == 0) for i in range(p)]
-    e = e.select("__row", "__s", *[F.when(kp, F.col(f)).otherwise(F.lit(float(means[f]))).alias(f)
-                                   for kp, f in zip(keep, features)],
+    draw = lambda what: uniform(f"{seed}-{what}", F.col("__row"), F.col("__s"))
+    order = F.array_sort(F.array(*[F.struct(draw(f"order{i}").alias("u"), F.lit(i).alias("i")) for i in range(p)]))
+    swapped = F.transform(F.slice(order, 1, (F.floor(draw("number") * p) + 1).cast("int")), lambda x: x["i"])
+    e = (e.withColumn("__swap", F.when(F.col("__s") == 0, F.array().cast("array<int>")).otherwise(swapped))
+         .withColumn("__at", (F.floor(draw("row") * n) + 1).cast("long")).join(ground, "__at"))
+    keep = [~F.array_contains("__swap", i) for i in range(p)]
+    e = e.select("__row", "__s", *[F.when(kp, F.col(f)).otherwise(F.col(f"__b_{f}")).alias(f) for kp, f in zip(keep, features)],
                  *[kp.cast("double").alias(f"__z{i}") for i, kp in enumerate(keep)])
     d = VectorAssembler(inputCols=features, outputCol="features").transform(e)
     out = model.transform(d)

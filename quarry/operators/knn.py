@@ -241,18 +241,22 @@ def smote(df: DataFrame, features: list[str], label: str, key: str, k: int = 5,
         nn = knn_join(members.withColumnRenamed(key, "__q"), "__q", members.withColumnRenamed(key, "__n"), "__n",
                       features, kk + 1)
         nn = nn.where(F.col("__q") != F.col("__n"))
-        w = Window.partitionBy("__q").orderBy("distance", "__n")  # <= k + 1 rows per point
-        nn = nn.withColumn("__j", F.row_number().over(w) - 1)
+        w = Window.partitionBy("__q")  # <= k + 1 rows per point; equal points count as one neighbour
+        nn = nn.withColumn("__j", F.row_number().over(w.orderBy("distance", "__n")) - 1).withColumn("__of", F.count("*").over(w))
         per, extra = divmod(need, n)
         base = members.select(q(key).alias("__q"), *[q(f).cast("double").alias(f) for f in features])
         from .prep import class_ranks
         ranked = class_ranks(base, "__q", seed).withColumn(
             "__copies", F.lit(per) + F.when(F.col("__rank") <= extra, 1).otherwise(0)).where(F.col("__copies") > 0)
         copies = ranked.select("*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__c"))
-        copies = copies.withColumn("__j", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(
+        copies = copies.withColumn("__h", (F.conv(F.substring(F.md5(F.concat_ws(
             "|", F.lit(str(seed)), F.col("__q").cast("string"), F.col("__c").cast("string"))), 1, 8), 16, 10)
-            .cast("long"), F.lit(kk))).withColumn("__u", uniform(seed + 1, F.col("__q"), F.col("__c")))
-        pick = copies.join(nn.select("__q", "__j", "__n"), ["__q", "__j"])
+            .cast("long"))).withColumn("__u", uniform(seed + 1, F.col("__q"), F.col("__c")))
+        # a point whose neighbours all equal it has none here and is its own neighbour
+        known = nn.select(F.col("__q").alias("__p"), "__j", "__n", "__of")
+        alone = members.select(q(key).alias("__p")).join(known.select("__p").distinct(), "__p", "left_anti")
+        near = known.unionByName(alone.select("__p", F.lit(0).alias("__j"), F.col("__p").alias("__n"), F.lit(1).cast("long").alias("__of")))
+        pick = copies.join(near, (F.col("__q") == F.col("__p")) & (F.pmod(F.col("__h"), F.col("__of")) == F.col("__j"))).drop("__p")
         nb = members.select(q(key).alias("__n"), *[q(f).cast("double").alias(f"__nb_{f}") for f in features])
         syn = pick.join(nb, "__n").select(
             F.concat(F.lit("smote-"), F.col("__q").cast("string"), F.lit("-"), F.col("__c").cast("string")).alias(key),

@@ -46,8 +46,11 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str, positive:
     labels = sorted({c["actual"] for c in cells})
     k = len(labels)
     m = {(c["actual"], c["predicted"]): c["count"] for c in cells}
-    tot = sum(m.values())
-    t = {a: sum(m[(a, b)] for b in labels) for a in labels}   # true counts
+    unscored = (df.where(q(predicted).isNull() & q(actual).isNotNull())  # counted as wrong
+                .groupBy(q(actual).cast("string").alias("a")).count().collect())
+    none = dict.fromkeys(labels, 0) | {r["a"]: r["count"] for r in unscored}
+    tot = sum(m.values()) + sum(none.values())
+    t = {a: sum(m[(a, b)] for b in labels) + none[a] for a in labels}   # true counts
     p = {b: sum(m[(a, b)] for a in labels) for b in labels}   # predicted counts
     tp = {a: m[(a, a)] for a in labels}
 
@@ -68,7 +71,8 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str, positive:
     acc = div(correct, tot)
     bal = sum(rec[a] for a in labels if t[a]) / max(1, sum(1 for a in labels if t[a]))
     num = correct * tot - sum(p[a] * t[a] for a in labels)
-    den = math.sqrt((tot * tot - sum(v * v for v in p.values())) * (tot * tot - sum(v * v for v in t.values())))
+    guessed = [*p.values(), sum(none.values())]
+    den = math.sqrt((tot * tot - sum(v * v for v in guessed)) * (tot * tot - sum(v * v for v in t.values())))
     mcc = num / den if den else 0.0
     pe = sum(p[a] * t[a] for a in labels) / (tot * tot) if tot else 0.0
     kappa = (acc - pe) / (1 - pe) if pe != 1 else 0.0
@@ -219,13 +223,15 @@ def fold_summary(scores: DataFrame, by=("model", "metric"), value: str = "value"
 
 
 def _metrics_from_counts(cells: list[tuple], positive=None) -> dict:
-    """Classification metrics from (actual, predicted, count) cells."""
-    labels = sorted({a for a, _, _ in cells} | {p for _, p, _ in cells})
-    m = {(a, p): 0 for a in labels for p in labels}
+    """Classification metrics from (actual, predicted, count) cells. Rows without an actual
+    class do not count; rows without a prediction count as wrong."""
+    cells = [c for c in cells if c[0] is not None]
+    labels = sorted({a for a, _, _ in cells} | {p for _, p, _ in cells if p is not None})
+    m = {(a, p): 0 for a in labels for p in [*labels, None]}
     for a, p, c in cells:
         m[(a, p)] += c
     k, tot = len(labels), sum(m.values())
-    t = {a: sum(m[(a, b)] for b in labels) for a in labels}
+    t = {a: sum(m[(a, b)] for b in [*labels, None]) for a in labels}
     pr = {b: sum(m[(a, b)] for a in labels) for b in labels}
     tp = {a: m[(a, a)] for a in labels}
 

@@ -8,6 +8,8 @@ and scores every fold with the aggregate metrics of ``metrics``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
@@ -16,10 +18,10 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import q
+from ..functions.columns import q, uniform
 from . import metrics as M
 from .prep import assign_folds, fit_prep, transform
 
@@ -32,8 +34,7 @@ def estimator(name: str, task: str, n_features: int, n_classes: int = 2, params:
     p = dict(params or {})
     if task == "classification":
         if name == "logistic":
-            # scikit-learn C (inverse L2 strength) -> regParam = 1 / (C * n) is applied by the caller
-            return LogisticRegression(maxIter=p.get("max_iter", 100), regParam=p.get("reg", 0.0),
+            return LogisticRegression(maxIter=p.get("max_iter", 100), regParam=p.get("reg", 0.0),  # else from C
                                       standardization=False)
         if name == "naive_bayes":
             return NaiveBayes(modelType=p.get("model_type", "gaussian"))
@@ -67,44 +68,59 @@ def estimator(name: str, task: str, n_features: int, n_classes: int = 2, params:
     raise ValueError(f"unknown model {name} for {task}")
 
 
-def _prepare(df: DataFrame, features: list[str], target: str, task: str, classes: list[str] | None):
-    va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    d = va.transform(df)
-    if task == "classification":
-        m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-        d = d.withColumn("label", F.element_at(m, q(target).cast("string")))
-    else:
-        d = d.withColumn("label", q(target).cast("double"))
-    return d.where(F.col("label").isNotNull())
+def class_codes(df: DataFrame, target: str) -> DataFrame:
+    """(value, label): the classes in order, numbered from 0. One row per class, however many."""
+    values = df.where(q(target).isNotNull()).select(q(target).cast("string").alias("value")).distinct()
+    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("double").alias("label"))
+
+
+def _labelled(df: DataFrame, target: str, task: str, codes: DataFrame | None) -> DataFrame:
+    """``df`` with ``label``; null where the target is null or of a class that training has not seen."""
+    if task != "classification":
+        return df.withColumn("label", q(target).cast("double"))
+    return df.withColumn("__value", q(target).cast("string")).join(codes.withColumnRenamed("value", "__known"), F.col("__value") == F.col("__known"), "left").drop("__value", "__known")
 
 
 def fit_predict(train: DataFrame, test: DataFrame, features: list[str], target: str, name: str,
                 task: str = "classification", params: dict | None = None, key: str | None = None) -> DataFrame:
-    """Fit on train, predict test: (key, label, prediction[, probability])."""
-    classes = None
-    if task == "classification":
-        classes = sorted(r[0] for r in train.where(q(target).isNotNull()).select(q(target).cast("string"))
-                         .distinct().limit(1001).collect())
-    tr = _prepare(train, features, target, task, classes)
-    te = _prepare(test, features, target, task, classes)
-    keep = [key] if key else []
+    """Fit on train, predict test: (key, label, prediction[, probability]).
+
+    Training leaves out rows without a target or with a gap in a feature. Every test row
+    has a row in the result; where a feature is null the prediction is null."""
+    params = dict(params or {})
+    codes = class_codes(train, target).persist() if task == "classification" else None
+    n_classes = codes.count() if codes is not None else 0
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & q(f).isNotNull() & ~F.isnan(q(f).cast("double"))
+    va = VectorAssembler(inputCols=features, outputCol="features")
+    te = _labelled(test, target, task, codes)
+    tr = _labelled(train, target, task, codes).where(F.col("label").isNotNull())
+    keep = [*([key] if key else []), "label"]
     if name == "baseline":  # MDL-01
-        if task == "classification":
-            top = tr.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
-            return te.select(*keep, "label", F.lit(float(top)).alias("prediction"))
-        mean = tr.agg(F.avg("label")).first()[0]
-        return te.select(*keep, "label", F.lit(float(mean)).alias("prediction"))
-    est = estimator(name, task, len(features), len(classes or []), params)
-    if name == "logistic" and params and "C" in params:
-        n = tr.count()
-        est = est.setRegParam(1.0 / (float(params["C"]) * n))
-    model = est.fit(tr)
-    out = model.transform(te)
-    cols = [*keep, "label", "prediction"]
-    if "probability" in out.columns and task == "classification" and len(classes) == 2:
-        out = out.withColumn("p1", vector_to_array("probability")[1])
-        cols.append("p1")
-    return out.select(*cols)
+        guess = (tr.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"] if task == "classification"
+                 else tr.agg(F.avg("label")).first()[0])
+        return te.select(*keep, F.lit(float(guess)).alias("prediction"))
+    tr = va.transform(tr.where(whole))
+    est = estimator(name, task, len(features), n_classes, params)
+    if name == "logistic" and "reg" not in params:  # a sum of losses there, a mean here
+        est = est.setRegParam(1.0 / (float(params.get("C", 1.0)) * max(tr.count(), 1)))
+    elif name in ("ridge", "elastic_net"):
+        # Spark divides outcomes by their standard deviation s and so the squared penalty too
+        size = tr.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("s")).first()
+        alpha, s = float(params.get("alpha", 1.0)), size["s"] or 1.0
+        if name == "ridge":
+            est = est.setRegParam(alpha * s / max(size["n"], 1))
+        else:
+            l1 = float(params.get("l1_ratio", 0.5))
+            whole_penalty = l1 + s * (1 - l1)
+            est = est.setRegParam(alpha * whole_penalty).setElasticNetParam(l1 / whole_penalty)
+    out = est.fit(tr).transform(va.transform(te.where(whole)))
+    shown = [*keep, "prediction"]
+    if "probability" in out.columns and task == "classification" and n_classes == 2:
+        out, shown = out.withColumn("p1", vector_to_array("probability")[1]), [*shown, "p1"]
+    unscored = te.where(~whole).select(*keep, *[F.lit(None).cast("double").alias(c) for c in shown[len(keep):]])
+    return out.select(*shown).union(unscored)
 
 
 def cross_validate(df: DataFrame, features: list[str], target: str, models: list[str], key: str, k: int = 5,
@@ -177,7 +193,6 @@ def vote(preds: DataFrame, key: str, model: str = "model", prediction: str = "pr
     prediction): weighted count per class, ties to the smallest class."""
     w = F.col(weight) if weight else F.lit(1.0)
     g = preds.groupBy(key, prediction).agg(F.sum(w).alias("votes"))
-    from pyspark.sql import Window
     r = g.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("votes"), F.asc(prediction))))
     return r.where(F.col("__r") == 1).select(key, F.col(prediction).alias("prediction"), "votes")
 
@@ -205,7 +220,7 @@ def stacking(df: DataFrame, features: list[str], target: str, key: str, base: li
         for p in parts[1:]:
             u = u.unionByName(p)
         oof = u if oof is None else oof.join(u.drop("label"), key)
-    meta = oof.join(folded.select(key, "fold"), key)
+    meta = oof.join(folded.select(key, "fold"), key).persist()  # else every meta fit runs all base models again
     cols = [f"p_{n}" for n in base]
     out = []
     for f in range(k):
@@ -220,16 +235,18 @@ def stacking(df: DataFrame, features: list[str], target: str, key: str, base: li
 
 def bagging(train: DataFrame, test: DataFrame, features: list[str], target: str, name: str = "decision_tree",
             n: int = 10, key: str | None = None, seed: int = 42) -> DataFrame:
-    """MDL-15: n bootstrap copies (sampling with replacement, seeded), majority vote."""
-    preds = []
+    """MDL-15: n bootstrap copies, majority vote. A row's number of copies is a Poisson(1)
+    draw from its key and the seed, so a recomputed partition draws the same rows."""
+    if key is None:
+        raise ValueError("bagging needs a row key")
+    chances = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(i + 1)) for i in range(10)]
+    preds = None
     for i in range(n):
-        boot = train.sample(withReplacement=True, fraction=1.0, seed=seed + i)
-        p = fit_predict(boot, test, features, target, name, key=key)
-        preds.append(p.select(key, F.lit(i).alias("model"), "prediction"))
-    u = preds[0]
-    for p in preds[1:]:
-        u = u.unionByName(p)
-    return vote(u, key)
+        copies = sum((uniform(seed + i, q(key)) >= c).cast("int") for c in chances)
+        boot = train.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies))).where("__copy > 0").drop("__copy")
+        p = fit_predict(boot, test, features, target, name, key=key).select(key, F.lit(i).alias("model"), "prediction")
+        preds = p if preds is None else preds.unionByName(p)
+    return vote(preds.where(F.col("prediction").isNotNull()), key)
 
 
 def unknown_labels(new: DataFrame, train: DataFrame, col: str) -> DataFrame:

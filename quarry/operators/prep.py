@@ -25,6 +25,7 @@ ZSCORE_THRESHOLD = 3.0
 WINSOR_LOWER, WINSOR_UPPER = 0.05, 0.95
 IQR_K = 1.5
 MAX_ONEHOT = 50
+MAX_LEVELS = 100_000  # levels an ordinal code can number; more are refused
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"   # maximal runs of 2+ word characters (Unicode)
 
 
@@ -147,7 +148,9 @@ def _fit_one(op, c, st, df, key):
             if key is None:
                 raise ValueError("ordinal encoding by first appearance needs a row key")
             firsts = (df.where(q(c).isNotNull()).groupBy(q(c).cast("string").alias("v"))
-                      .agg(F.min(q(key)).alias("k")).orderBy("k").limit(100000).collect())
+                      .agg(F.min(q(key)).alias("k")).orderBy("k").limit(MAX_LEVELS + 1).collect())
+            if len(firsts) > MAX_LEVELS:
+                raise ValueError(f"{c}: more than {MAX_LEVELS} levels to number")
             codes = {v: i for i, v in enumerate(order)}
             for r in firsts:
                 codes.setdefault(r["v"], len(codes))
@@ -269,7 +272,7 @@ def split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, strat
         if small:
             d = d.withColumn("__c", F.lit("__all"))
     sizes = d.groupBy("__c").agg(F.count(F.lit(1)).alias("__n"))
-    r = class_ranks(d, key, seed, ["__c"]).join(F.broadcast(sizes), "__c")
+    r = class_ranks(d, key, seed, ["__c"]).join(sizes, "__c")
     k = F.bround(F.col("__n") * F.lit(float(test_size)), 0)
     return r.withColumn("__split__", F.when(F.col("__rank") <= k, "test").otherwise("train")).drop(
         "__c", "__u", "__rank", "__n")
@@ -314,7 +317,7 @@ def resample(df: DataFrame, target: str, key: str, method: str = "oversample", s
     d = df.withColumn("__c", q(target).cast("string")).where(F.col("__c").isNotNull())
     sizes = d.groupBy("__c").agg(F.count(F.lit(1)).alias("__n"))
     lim = sizes.agg(F.max("__n").alias("mx"), F.min("__n").alias("mn")).first()
-    r = class_ranks(d, key, seed, ["__c"]).join(F.broadcast(sizes), "__c")
+    r = class_ranks(d, key, seed, ["__c"]).join(sizes, "__c")
     if method == "undersample":
         out = r.where(F.col("__rank") <= F.lit(int(lim["mn"])))
     else:
@@ -336,8 +339,8 @@ def _k_of(k, p):
 def select_features(df: DataFrame, features: list[str], target: str, method: str = "anova", k: float = 5,
                     task: str = "classification") -> DataFrame:
     """PRE-04/05/06: per-feature score, top-k flag (k < 1 = share, ceil).
-    correlation: |Pearson| with the target code; chi2: features shifted to
-    >= 0, observed per-class sums vs class-share expectation; anova: one-way F
+    correlation: |Pearson| with the target code; chi2: features shifted by
+    their minimum, observed per-class sums vs class-share expectation; anova: one-way F
     (classification) or F of r^2 (regression)."""
     p = len(features)
     kk = _k_of(k, p)
@@ -358,7 +361,7 @@ def select_features(df: DataFrame, features: list[str], target: str, method: str
                 rows.append((f, rv * rv / (1 - rv * rv) * (n - 2) if abs(rv) < 1 else float("inf")))
     elif method == "chi2":
         mins = df.agg(*[F.min(_num(f)).alias(f"m{i}") for i, f in enumerate(features)]).first()
-        shifted = [(_num(f) - F.lit(min(0.0, mins[f"m{i}"] or 0.0))) for i, f in enumerate(features)]
+        shifted = [(_num(f) - F.lit(mins[f"m{i}"] or 0.0)) for i, f in enumerate(features)]
         g = (df.where(y.isNotNull()).groupBy(y.cast("string").alias("c"))
              .agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(f"s{i}") for i, s in enumerate(shifted)]).collect())
         n = sum(r["n"] for r in g)
@@ -390,10 +393,9 @@ def select_features(df: DataFrame, features: list[str], target: str, method: str
 def _code_target(df, target):
     """Class codes for correlation scoring: classes sorted, 0..k-1 (for two
     classes |r| does not depend on the coding)."""
-    classes = [r[0] for r in df.where(q(target).isNotNull()).select(q(target).cast("string")).distinct()
-               .orderBy(1).limit(1001).collect()]
-    m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-    return df.where(q(target).isNotNull()).withColumn("__y", F.element_at(m, q(target).cast("string")))
+    from .models import class_codes
+    known = class_codes(df, target).select(F.col("value").alias("__value"), F.col("label").alias("__y"))
+    return df.join(known, q(target).cast("string") == F.col("__value")).drop("__value")
 
 
 def mutual_info(df: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:
@@ -465,10 +467,10 @@ def term_counts(terms: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
     return terms.groupBy("doc", "term", *keep).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_fit(tf: DataFrame) -> DataFrame:
-    """idf = ln((1 + n) / (1 + df)) + 1 over the TRAIN documents (smooth idf);
-    ``tf`` holds one row per (doc, term), so df is a plain count per term."""
-    n = tf.select("doc").distinct().count()
+def tfidf_fit(tf: DataFrame, n: int) -> DataFrame:
+    """idf = ln((1 + n) / (1 + df)) + 1 over the ``n`` TRAIN documents, those without a
+    token included (smooth idf); ``tf`` holds one row per (doc, term), so df is a plain
+    count per term."""
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 

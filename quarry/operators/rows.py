@@ -21,12 +21,13 @@ def guard_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list
         if not is_numeric_type(df.schema[target].dataType):
             raise ValueError(f"'{target}' must be numeric for regression.")
         return d, notes
-    counts = d.groupBy(q(target).cast("string").alias("c")).count().limit(10001).collect()
-    if len(counts) < 2:
+    sizes = d.groupBy(q(target).cast("string").alias("c")).count()
+    seen = sizes.agg(F.count("*").alias("classes"), F.count_if(F.col("count") == 1).alias("single")).first()
+    if seen["classes"] < 2:
         raise ValueError(f"'{target}' needs at least 2 classes.")
-    single = sorted(r["c"] for r in counts if r["count"] == 1)
-    if single:
-        notes.append(f"classes with one row: {', '.join(single[:10])}")
+    if seen["single"]:
+        some = [r["c"] for r in sizes.where("count = 1").orderBy("c").limit(10).collect()]
+        notes.append(f"{seen['single']} classes with one row: {', '.join(some)}" + (" ..." if seen["single"] > 10 else ""))
     return d, notes
 
 

@@ -98,7 +98,7 @@ def q_bag(spark, sf):
     from ..operators.prep import split
     d = split(order_features(spark, sf), "o_orderkey", 0.2, 42)
     tr, te = d.where(F.col("__split__") == "train"), d.where(F.col("__split__") == "test")
-    return D.bagging(tr, te, FEATS, "urgent", "decision_tree", 5, key="o_orderkey")
+    return D.bagging(tr, te, FEATS, "urgent", "decision_tree", key="o_orderkey")
 
 
 @register("model_unknown_labels", """
@@ -262,7 +262,7 @@ def q_iter_impute(spark, sf):
     d = order_features(spark, sf).withColumn(
         "c_acctbal", F.when(F.col("o_orderkey") % 7 == 0, None).otherwise(F.col("c_acctbal")))
     cols = ["o_totalprice", "c_acctbal", "n_lines", "avg_quantity"]
-    st = A.iterative_impute(d, cols, max_iter=5)
+    st = A.iterative_impute(d, cols)
     return rounded(A.apply_iterative(st, d).select("o_orderkey", *cols))
 
 
@@ -296,7 +296,7 @@ def q_lime(spark, sf):
     from ..operators.charts import sample_rows
     tr, te = _split_features(spark, sf)
     model, _ = X.fit_model(tr, FEATS, "urgent", "random_forest")
-    return rounded(X.lime(model, tr, sample_rows(te, "o_orderkey", 5), FEATS, "o_orderkey", 2000))
+    return rounded(X.lime(model, tr, sample_rows(te, "o_orderkey", 5), FEATS, "o_orderkey"))
 
 
 def _knn_sql(k: int, dims: int = 4):

@@ -198,7 +198,7 @@ s as (select doc_id, case when row_number() over (order by {MD5.format(k='doc_id
 u as (select doc_id, unnest(t) as term from d
       union all select doc_id, t[i] || ' ' || t[i + 1] from (select doc_id, t, unnest(range(1, len(t))) as i from d)),
 tr as (select u.* from u join s on u.doc_id = s.doc_id where s.sp = 'train'),
-nd as (select count(distinct doc_id) as n from tr),
+nd as (select count(*) as n from s where sp = 'train'),
 idf as (select term, ln((1.0 + (select n from nd)) / (1.0 + count(distinct doc_id))) + 1 as idf from tr group by term),
 tf as (select doc_id, term, count(*) as tf from u group by 1, 2),
 w as (select tf.doc_id, tf.term, (1 + ln(tf.tf)) * idf.idf as w from tf join idf on tf.term = idf.term),
@@ -211,7 +211,7 @@ def q_tfidf(spark, sf):
     # table is tagged with the split once, then feeds both idf and weights
     sp = R.split(docs.select("doc_id"), "doc_id", 0.2, 42).select(F.col("doc_id").alias("doc"), "__split__")
     tf = R.term_counts(R.word_ngrams(docs, "doc_id", "text", 2)).join(sp, "doc").persist()
-    idf = R.tfidf_fit(tf.where(F.col("__split__") == "train"))
+    idf = R.tfidf_fit(tf.where(F.col("__split__") == "train"), sp.where(F.col("__split__") == "train").count())
     return rounded(R.tfidf_transform(tf.drop("__split__"), idf))
 
 
@@ -219,7 +219,7 @@ def q_tfidf(spark, sf):
 def q_tfidf_char(spark, sf):
     docs = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     tf = R.term_counts(R.char_wb_ngrams(docs, "doc_id", "text", 3, 5))
-    return rounded(R.tfidf_transform(tf, R.tfidf_fit(tf)))
+    return rounded(R.tfidf_transform(tf, R.tfidf_fit(tf, docs.count())))
 
 
 @register("prep_mutual_info")
