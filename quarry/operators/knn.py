@@ -22,10 +22,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import md5key, q
 
-SAMPLE = 20000
+SAMPLE = 20_000
+MAX_SAMPLE = 200_000  # points the leaf boundaries are fitted on, at most
 LEAF_ROWS = 4000
 
 
@@ -76,6 +78,17 @@ def _route(tree, x: np.ndarray) -> np.ndarray:
     return leaf[idx]
 
 
+def point(df: DataFrame, features: list[str]):
+    """The coordinates as one array column: of numeric columns, or a single array column itself."""
+    if len(features) == 1 and isinstance(df.schema[features[0]].dataType, T.ArrayType):
+        return q(features[0]).cast("array<double>")
+    return F.array(*[q(f).cast("double") for f in features])
+
+
+def _coords(pdf: pd.DataFrame) -> np.ndarray:
+    return np.array(pdf["__x"].tolist(), dtype=float)
+
+
 def _nearest(qx, qk, rx, rk, rm, k, radius=None):
     """Per query the nearest reference groups (by distance, key) until the
     multiplicities reach k (and, with ``radius``, only groups within it)."""
@@ -84,7 +97,7 @@ def _nearest(qx, qk, rx, rk, rm, k, radius=None):
         return out_q, out_r, out_d, out_m
     order_key = np.argsort(rk, kind="stable")
     rx, rk, rm = rx[order_key], rk[order_key], rm[order_key]
-    step = max(1, 2_000_000 // max(len(rx), 1))
+    step = max(1, 4_000_000 // max(rx.size, 1))
     for s in range(0, len(qx), step):
         dist = np.sqrt(((qx[s:s + step, None, :] - rx[None, :, :]) ** 2).sum(axis=2))
         for i in range(dist.shape[0]):
@@ -111,15 +124,16 @@ def knn_join(left: DataFrame, lkey: str, right: DataFrame, rkey: str, features:
     identical coordinates with different carried values stay apart."""
     carry = list(carry)
     spark = left.sparkSession
-    feats = [q(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)]
-    xs = [f"__x{i}" for i in range(len(features))]
+    x = point(left, features)  # one column, however many coordinates
     cs = [f"__c{i}" for i in range(len(carry))]
-    groups = (right.select(q(rkey).alias("__rk"), *feats, *[q(c).alias(n) for c, n in zip(carry, cs)])
-              .dropna(subset=xs).groupBy(*xs, *cs).agg(F.min("__rk").alias("__rk"), F.count(F.lit(1)).alias("__m")))
+    whole = ~F.exists("__x", lambda v: v.isNull())
+    groups = (right.select(q(rkey).alias("__rk"), x.alias("__x"), *[q(c).alias(n) for c, n in zip(carry, cs)])
+              .where(whole).groupBy("__x", *cs).agg(F.min("__rk").alias("__rk"), F.count(F.lit(1)).alias("__m"))).persist()
     ctypes = [right.schema[c].dataType.simpleString() for c in carry]
     n_groups = groups.count()
-    samp = (groups.withColumn("__h", md5key(seed, F.col("__rk"))).orderBy("__h").limit(SAMPLE)
-            .select(*xs).toPandas().to_numpy(dtype=float))  # <= SAMPLE x d numbers
+    wanted = min(MAX_SAMPLE, max(SAMPLE, 8 * n_groups // leaf_rows))  # several sampled points a leaf
+    samp = groups.select("__x", md5key(seed, F.col("__rk")).alias("__h")).orderBy("__h").limit(wanted).select("__x").toPandas()
+    samp = _coords(samp) if len(samp) else np.zeros((0, 1))
     leaf_sample = max(2 * k, int(len(samp) * leaf_rows / max(n_groups, 1)))
     tree, lo, hi = _build_tree(samp, leaf_sample)
     bc = spark.sparkContext.broadcast((tree, lo, hi))
@@ -130,20 +144,18 @@ def knn_join(left: DataFrame, lkey: str, right: DataFrame, rkey: str, features:
         def f(batches):
             t = bc.value[0]
             for pdf in batches:
-                pdf = pdf.copy()
-                pdf["__leaf"] = _route(t, pdf[xs].to_numpy(dtype=float)) if len(pdf) else np.array([], int)
-                yield pdf
+                yield pdf.assign(__leaf=_route(t, _coords(pdf)) if len(pdf) else np.array([], int))
         return df.mapInPandas(f, extra_schema + ", __leaf long")
 
     ctype_sql = "".join(f", {n} {t}" for n, t in zip(cs, ctypes))
-    gl = with_leaf(groups.select(*xs, *cs, "__rk", "__m"),
-                   f"{', '.join(x + ' double' for x in xs)}{ctype_sql}, __rk {rtype}, __m long")
-    ql = with_leaf(left.select(q(lkey).alias("__lk"), *feats).dropna(),
-                   f"__lk {ltype}, {', '.join(x + ' double' for x in xs)}")
+    gl = with_leaf(groups.select("__x", *cs, "__rk", "__m"), f"__x array<double>{ctype_sql}, __rk {rtype}, __m long")
+    # equal queries are answered once, under the smallest of their keys
+    asked = left.select(q(lkey).alias("__own"), x.alias("__x")).where(whole)
+    ql = with_leaf(asked.groupBy("__x").agg(F.min("__own").alias("__lk")).select("__lk", "__x"), f"__lk {ltype}, __x array<double>")
     schema = f"__lk {ltype}, __rk {rtype}, distance double, multiplicity long"
 
     def round1(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        a, b, c, m = _nearest(qp[xs].to_numpy(float), qp["__lk"].to_numpy(), rp[xs].to_numpy(float),
+        a, b, c, m = _nearest(_coords(qp), qp["__lk"].to_numpy(), _coords(rp),
                               rp["__rk"].to_numpy(), rp["__m"].to_numpy(), k)
         return pd.DataFrame({"__lk": a, "__rk": b, "distance": c, "multiplicity": m})
     r1 = ql.groupBy("__leaf").cogroup(gl.groupBy("__leaf")).applyInPandas(round1, schema).persist()
@@ -157,18 +169,17 @@ def knn_join(left: DataFrame, lkey: str, right: DataFrame, rkey: str, features:
     def route2(batches):
         _, blo, bhi = bc.value
         for pdf in batches:
-            x = pdf[xs].to_numpy(float)
-            gap = np.maximum(np.maximum(blo[None, :, :] - x[:, None, :], x[:, None, :] - bhi[None, :, :]), 0)
-            mind = np.sqrt((gap ** 2).sum(axis=2))
-            qi, li = np.nonzero(mind <= pdf["__r"].to_numpy()[:, None])
-            keep = li != pdf["__leaf"].to_numpy()[qi]
-            out = pdf.iloc[qi[keep]].copy()
-            out["__leaf"] = li[keep]
-            yield out
-    routed = qr.mapInPandas(route2, f"__lk {ltype}, {', '.join(x + ' double' for x in xs)}, __leaf long, __r double")
+            for i in range(0, len(pdf), 256):  # rows x leaves x coordinates at once
+                part = pdf.iloc[i:i + 256]
+                at = _coords(part)
+                gap = np.maximum(np.maximum(blo[None, :, :] - at[:, None, :], at[:, None, :] - bhi[None, :, :]), 0)
+                qi, li = np.nonzero(np.sqrt((gap ** 2).sum(axis=2)) <= part["__r"].to_numpy()[:, None])
+                keep = li != part["__leaf"].to_numpy()[qi]
+                yield part.iloc[qi[keep]].assign(__leaf=li[keep])
+    routed = qr.mapInPandas(route2, f"__lk {ltype}, __x array<double>, __leaf long, __r double")
 
     def round2(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        a, b, c, m = _nearest(qp[xs].to_numpy(float), qp["__lk"].to_numpy(), rp[xs].to_numpy(float),
+        a, b, c, m = _nearest(_coords(qp), qp["__lk"].to_numpy(), _coords(rp),
                               rp["__rk"].to_numpy(), rp["__m"].to_numpy(), k, qp["__r"].to_numpy())
         return pd.DataFrame({"__lk": a, "__rk": b, "distance": c, "multiplicity": m})
     r2 = routed.groupBy("__leaf").cogroup(gl.groupBy("__leaf")).applyInPandas(round2, schema)
@@ -177,7 +188,9 @@ def knn_join(left: DataFrame, lkey: str, right: DataFrame, rkey: str, features:
     cut = (allc.withColumn("rank", F.row_number().over(w2))
            .withColumn("__before", F.sum("multiplicity").over(w2.rowsBetween(Window.unboundedPreceding, -1)))
            .where(F.coalesce(F.col("__before"), F.lit(0)) < k))
-    out = cut.select(F.col("__lk").alias(lkey), F.col("__rk").alias(rkey), "distance", "multiplicity",
+    # back to every row that asked
+    same = asked.join(ql.select(F.col("__x").alias("__y"), "__lk"), F.col("__x") == F.col("__y")).select("__own", "__lk")
+    out = cut.join(same, "__lk").select(F.col("__own").alias(lkey), F.col("__rk").alias(rkey), "distance", "multiplicity",
                      F.col("rank").cast("int"), F.coalesce(F.col("__before"), F.lit(0)).alias("__before"))
     if carry:  # carried values back by the (unique) group key
         vals = groups.select(F.col("__rk").alias(rkey), *[F.col(n).alias(c) for c, n in zip(carry, cs)])
@@ -230,23 +243,30 @@ def smote(df: DataFrame, features: list[str], label: str, key: str, k: int = 5,
     from ..functions.columns import uniform
     counts = {r[0]: int(r[1]) for r in df.groupBy(q(label).cast("string")).count().collect()}
     top = max(counts.values())
-    parts = [df.select(q(key).cast("string").alias(key), *[q(f).cast("double").alias(f) for f in features],
-                       q(label).cast("string").alias(label))]
+    v = point(df, features)
+    whole = df.select(q(key).alias("__q"), v.alias("__v"), q(label).cast("string").alias("__l")).persist()
+    names = features if len(features) == 1 and isinstance(df.schema[features[0]].dataType, T.ArrayType) else None
+
+    def back(key_col, vec, lab):
+        """The output columns: the array itself, or its coordinates."""
+        cols = [vec.alias(names[0])] if names else [vec[i].alias(f) for i, f in enumerate(features)]
+        return [key_col.cast("string").alias(key), *cols, lab.alias(label)]
+
+    parts = [whole.select(*back(F.col("__q"), F.col("__v"), F.col("__l")))]
     for cls, n in counts.items():
         need = top - n
         if need <= 0 or n < 2:
             continue
-        members = df.where(q(label).cast("string") == cls)
+        members = whole.where(F.col("__l") == cls).select("__q", "__v")
         kk = min(k, n - 1)
-        nn = knn_join(members.withColumnRenamed(key, "__q"), "__q", members.withColumnRenamed(key, "__n"), "__n",
-                      features, kk + 1)
+        nn = knn_join(members, "__q", members.withColumnRenamed("__q", "__n"), "__n", ["__v"], kk + 1)
         nn = nn.where(F.col("__q") != F.col("__n"))
         w = Window.partitionBy("__q")  # <= k + 1 rows per point; equal points count as one neighbour
         nn = nn.withColumn("__j", F.row_number().over(w.orderBy("distance", "__n")) - 1).withColumn("__of", F.count("*").over(w))
         per, extra = divmod(need, n)
-        base = members.select(q(key).alias("__q"), *[q(f).cast("double").alias(f) for f in features])
+        base = members
         from .prep import class_ranks
-        ranked = class_ranks(base, "__q", seed).withColumn(
+        ranked = base.join(class_ranks(base.select("__q"), "__q", seed).select("__q", "__rank"), "__q").withColumn(
             "__copies", F.lit(per) + F.when(F.col("__rank") <= extra, 1).otherwise(0)).where(F.col("__copies") > 0)
         copies = ranked.select("*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__c"))
         copies = copies.withColumn("__h", (F.conv(F.substring(F.md5(F.concat_ws(
@@ -254,14 +274,13 @@ def smote(df: DataFrame, features: list[str], label: str, key: str, k: int = 5,
             .cast("long"))).withColumn("__u", uniform(seed + 1, F.col("__q"), F.col("__c")))
         # a point whose neighbours all equal it has none here and is its own neighbour
         known = nn.select(F.col("__q").alias("__p"), "__j", "__n", "__of")
-        alone = members.select(q(key).alias("__p")).join(known.select("__p").distinct(), "__p", "left_anti")
+        alone = members.select(F.col("__q").alias("__p")).join(known.select("__p").distinct(), "__p", "left_anti")
         near = known.unionByName(alone.select("__p", F.lit(0).alias("__j"), F.col("__p").alias("__n"), F.lit(1).cast("long").alias("__of")))
         pick = copies.join(near, (F.col("__q") == F.col("__p")) & (F.pmod(F.col("__h"), F.col("__of")) == F.col("__j"))).drop("__p")
-        nb = members.select(q(key).alias("__n"), *[q(f).cast("double").alias(f"__nb_{f}") for f in features])
-        syn = pick.join(nb, "__n").select(
-            F.concat(F.lit("smote-"), F.col("__q").cast("string"), F.lit("-"), F.col("__c").cast("string")).alias(key),
-            *[(F.col(f) + F.col("__u") * (F.col(f"__nb_{f}") - F.col(f))).alias(f) for f in features],
-            F.lit(cls).alias(label))
+        nb = members.select(F.col("__q").alias("__n"), F.col("__v").alias("__w"))
+        made = F.zip_with("__v", "__w", lambda a, b: a + F.col("__u") * (b - a))
+        name = F.concat(F.lit("smote-"), F.col("__q").cast("string"), F.lit("-"), F.col("__c").cast("string"))
+        syn = pick.join(nb, "__n").withColumn("__made", made).select(*back(name, F.col("__made"), F.lit(cls)))
         parts.append(syn)
     out = parts[0]
     for p_ in parts[1:]:

@@ -58,7 +58,7 @@ def column_facts(df: DataFrame) -> DataFrame:
         for i, f in enumerate(batch):
             c, k = q(f.name), _kind(f.dataType)
             s = c.cast("string")
-            t = F.trim(s)
+            t = _stripped(s)
             nonblank = c.isNotNull() & ~F.regexp_like(s, F.lit(r"^\s*$"))
             num = c.cast("double") if k == "numeric" else F.lit(None).cast("double")
             text = k == "text"
@@ -116,14 +116,20 @@ def column_facts(df: DataFrame) -> DataFrame:
         F.coalesce("is_bool_pair", F.lit(False)).alias("is_bool_pair"))
 
 
+def _stripped(c):
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def _bool_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """column -> exactly two distinct values forming a yes/no-like pair."""
     long = unpivot(df, names, value_type="string").where(F.col("value").isNotNull())
-    d = long.select("column", F.lower(F.trim("value")).alias("v")).distinct()
-    g = d.groupBy("column").agg(F.count(F.lit(1)).alias("k"), F.array_sort(F.collect_list("v")).alias("vs"))
-    pairs = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in BOOLEAN_VALUE_SETS])
+    d = long.select("column", F.lower(_stripped(F.col("value"))).alias("v")).distinct()
+    # with two values the smallest and the largest are all of them
+    g = d.groupBy("column").agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("a"), F.max("v").alias("b"))
+    pairs = F.array(*[F.struct(F.lit(a), F.lit(b)) for a, b in BOOLEAN_VALUE_SETS])
     # raw distinct count must be 2 as well: checked by the caller with n_distinct
-    return g.select("column", ((F.col("k") == 2) & F.array_contains(pairs, F.col("vs"))).alias("is_bool_pair"))
+    return g.select("column", ((F.col("k") == 2) & F.exists(pairs, lambda p: (p["col1"] == F.col("a")) & (p["col2"] == F.col("b")))).alias("is_bool_pair"))
 
 
 def _looks_like_dates(f=None):
@@ -300,17 +306,17 @@ def detect_inconsistent(df: DataFrame, examples: int = 5) -> DataFrame:
     if not text_cols:
         return df.sparkSession.createDataFrame([], "column string, inconsistent_groups long, examples string")
     long = unpivot(df, text_cols, value_type="string").where(F.col("value").isNotNull())
-    d = long.distinct().withColumn("norm", F.lower(F.trim("value")))
-    g = (d.groupBy("column", "norm").agg(F.count(F.lit(1)).alias("k"),
-                                         F.array_sort(F.collect_list("value")).alias("spellings"))
-         .where(F.col("k") > 1))
+    d = long.distinct().withColumn("norm", F.lower(_stripped(F.col("value")))).persist()
+    g = d.groupBy("column", "norm").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    counts = g.groupBy("column").agg(F.count(F.lit(1)).alias("inconsistent_groups"))
+    # the first few in two steps, so that no task ranks all groups of a column
     from pyspark.sql import Window
-    w = Window.partitionBy("column").orderBy("norm")
-    ex = g.withColumn("r", F.row_number().over(w))
-    return ex.groupBy("column").agg(
-        F.count(F.lit(1)).alias("inconsistent_groups"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.concat(
-            F.col("norm"), F.lit("="), F.array_join("spellings", "|"))))), "; ").alias("examples"))
+    salted = Window.partitionBy("column", F.pmod(F.hash("norm"), F.lit(64))).orderBy("norm")
+    few = g.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= examples)
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("norm"))).where(F.col("r") <= examples).select("column", "norm")
+    shown = (d.join(few, ["column", "norm"]).groupBy("column", "norm").agg(F.array_sort(F.collect_list("value")).alias("spellings"))
+             .groupBy("column").agg(F.array_join(F.array_sort(F.collect_list(F.concat("norm", F.lit("="), F.array_join("spellings", "|")))), "; ").alias("examples")))
+    return counts.join(shown, "column")
 
 
 def detect_personal_data(facts: DataFrame) -> DataFrame:
@@ -366,8 +372,7 @@ def quality_report(df: DataFrame) -> DataFrame:
         "consistency_issues": detect_inconsistent(df),
         "personal_data": detect_personal_data(facts),
     }
-    spark = df.sparkSession
-    rows = [("duplicate_rows", int(dup.first()["duplicate_rows"]))]
-    rows += [(k, v.count()) for k, v in checks.items()]
-    out = spark.createDataFrame([(k, n > 0, n) for k, n in rows], "check string, issues_found boolean, findings long")
-    return out
+    found = dup.select(F.lit("duplicate_rows").alias("check"), F.col("duplicate_rows").cast("long").alias("findings"))
+    for name, part in checks.items():  # one plan, not a job per check
+        found = found.union(part.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("findings")))
+    return found.select("check", (F.col("findings") > 0).alias("issues_found"), "findings")

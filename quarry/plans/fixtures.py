@@ -83,7 +83,7 @@ def pubs(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.array_sort(F.collect_set(F.lower("p_brand"))).alias("keywords"),
                  F.array_sort(F.collect_set(ref)).alias("refs"),
                  F.sum("l_quantity").cast("bigint").alias("citations"),
-                 F.concat_ws(" ", F.slice(F.array_sort(F.collect_set("p_name")), 1, 3)).alias("title"))
+                 F.concat_ws(" ", F.array_sort(F.collect_set("p_name"))).alias("title"))
             .select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").cast("int").alias("year"),
                     F.col("c_mktsegment").alias("source"), "authors", "countries", "keywords", "refs",
                     "citations", F.concat(F.lit("10.1000/"), F.col("o_orderkey").cast("string")).alias("doi"),
@@ -99,7 +99,7 @@ select o_orderkey as doc_id, cast(year(o_orderdate) as int) as year,
   list_sort(list(distinct concat('10.1000/', cast((l_partkey*7) % 1500 as VARCHAR)))) as refs,
   cast(sum(l_quantity) as bigint) as citations,
   concat('10.1000/', cast(o_orderkey as VARCHAR)) as doi,
-  array_to_string(list_slice(list_sort(list(distinct p_name)), 1, 3), ' ') as title
+  array_to_string(list_sort(list(distinct p_name)), ' ') as title
 from orders join customer on o_custkey=c_custkey
   join lineitem on l_orderkey=o_orderkey join supplier on l_suppkey=s_suppkey
   join nation on s_nationkey=n_nationkey join part on l_partkey=p_partkey
@@ -187,14 +187,22 @@ from lineitem join part on l_partkey = p_partkey
 """
 
 
-def vectors(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFrame:
-    """embeddings with the first ``dims`` coordinates as double columns."""
+DIMS = 64  # coordinates of an embedding
+
+
+def vectors(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
+    """embeddings with their coordinates as double columns."""
     e = read_table(spark, sf_dir, "embeddings")
     return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}")
                                          for i in range(dims)])
 
 
-def vectors_sql(dims: int = 4) -> str:
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings with their coordinates as one array column."""
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def vectors_sql(dims: int = DIMS) -> str:
     cols = ", ".join(f"cast(embedding[{i + 1}] as double) as x{i}" for i in range(dims))
     return f"select vec_id, label, {cols} from embeddings"
 

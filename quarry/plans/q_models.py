@@ -8,7 +8,7 @@ from ..operators import cluster as K
 from ..operators import metrics as M
 from ..operators import models as D
 from ..sources.tables import read_table
-from .fixtures import order_features, vectors, vectors_sql
+from .fixtures import DIMS, order_features, points, vectors, vectors_sql
 from .registry import register, rounded, sql_rounded
 
 FEATS = ["o_totalprice", "c_acctbal", "n_lines", "avg_discount", "avg_quantity"]
@@ -114,35 +114,35 @@ def q_unknown(spark, sf):
     return D.unknown_labels(d.where(F.col("__split__") == "test"), train, "o_orderpriority")
 
 
-XS = [f"x{i}" for i in range(8)]
+XS = [f"x{i}" for i in range(DIMS)]
 
 
 @register("cluster_kmeans_elbow")
 def q_elbow(spark, sf):
-    return rounded(K.elbow(vectors(spark, sf, 8), XS, range(2, 11)))
+    return rounded(K.elbow(vectors(spark, sf), XS, range(2, 11)))
 
 
 @register("cluster_kmeans_sizes")
 def q_kmeans(spark, sf):
-    _, a = K.fit_clusters(vectors(spark, sf, 8), XS, "kmeans", 10)
+    _, a = K.fit_clusters(vectors(spark, sf), XS, "kmeans", 10)
     return K.cluster_sizes(a)
 
 
 @register("cluster_bisecting_sizes")
 def q_bisect(spark, sf):
-    _, a = K.fit_clusters(vectors(spark, sf, 8), XS, "bisecting", 5)
+    _, a = K.fit_clusters(vectors(spark, sf), XS, "bisecting", 5)
     return K.cluster_sizes(a)
 
 
 @register("cluster_gmm_sizes")
 def q_gmm(spark, sf):
-    _, a = K.fit_clusters(vectors(spark, sf, 4), XS[:4], "gmm", 3)
+    _, a = K.fit_clusters(vectors(spark, sf), XS, "gmm", 3)
     return K.cluster_sizes(a)
 
 
 def _scores_sql():
-    d = 4
-    x = [f"x{i}" for i in range(d)]
+    d = DIMS
+    x = XS
     cen = ", ".join(f"avg({c}) as m{i}" for i, c in enumerate(x))
     dist = " + ".join(f"power(v.{c} - c.m{i}, 2)" for i, c in enumerate(x))
     return sql_rounded(f"""with v as ({vectors_sql(d)}),
@@ -160,19 +160,19 @@ from o""", ["davies_bouldin", "calinski_harabasz"])
 
 @register("cluster_scores_given_labels", _scores_sql())
 def q_scores(spark, sf):
-    v = vectors(spark, sf, 4).withColumnRenamed("label", "cluster")
-    return rounded(K.centroid_scores(v, XS[:4]))
+    v = vectors(spark, sf).withColumnRenamed("label", "cluster")
+    return rounded(K.centroid_scores(v, XS))
 
 
 @register("cluster_silhouette_kmeans")
 def q_sil(spark, sf):
-    _, a = K.fit_clusters(vectors(spark, sf, 8), XS, "kmeans", 10)
+    _, a = K.fit_clusters(vectors(spark, sf), XS, "kmeans", 10)
     return spark.createDataFrame([(K.silhouette(a, XS),)], "silhouette double")
 
 
 @register("cluster_pca_view")
 def q_pca_view(spark, sf):
-    return rounded(K.pca_view(vectors(spark, sf, 8), XS, "vec_id", 2000))
+    return rounded(K.pca_view(vectors(spark, sf), XS, "vec_id", 2000))
 
 
 # ---- explanations and model utilities ---------------------------------------------------------
@@ -299,7 +299,7 @@ def q_lime(spark, sf):
     return rounded(X.lime(model, tr, sample_rows(te, "o_orderkey", 5), FEATS, "o_orderkey"))
 
 
-def _knn_sql(k: int, dims: int = 4):
+def _knn_sql(k: int, dims: int = DIMS):
     x = [f"x{i}" for i in range(dims)]
     dist = " + ".join(f"power(v.{c} - g.{c}, 2)" for c in x)
     return f"""with v as ({vectors_sql(dims)}),
@@ -316,9 +316,9 @@ select lk as vec_id, rk as neighbor_id, distance, cast(m as bigint) as multiplic
 from o where before < 5""", ["distance"]))
 def q_knn(spark, sf):
     from ..operators.knn import knn_join
-    v = vectors(spark, sf, 4)
+    v = points(spark, sf)
     return rounded(knn_join(v, "vec_id", v.withColumnRenamed("vec_id", "neighbor_id"), "neighbor_id",
-                            XS[:4], 5, leaf_rows=64))
+                            ["embedding"], 5, leaf_rows=64))
 
 
 @register("cluster_k_distance", sql_rounded(_knn_sql(5) + """,
@@ -327,17 +327,17 @@ c as (select lk, distance, sum(m) over (partition by lk order by distance, rk ro
 select lk as vec_id, min(distance) as k_distance from c where cum >= 4 group by lk""", ["k_distance"]))
 def q_kdist(spark, sf):
     from ..operators.knn import k_distance
-    return rounded(k_distance(vectors(spark, sf, 4), "vec_id", XS[:4], 4))
+    return rounded(k_distance(points(spark, sf), "vec_id", ["embedding"], 4))
 
 
 def _knn_split_sql():
-    return f"""with v as ({vectors_sql(4)}),
+    return f"""with v as ({vectors_sql()}),
 s as (select *, case when row_number() over (order by md5(concat_ws('|', '42', cast(vec_id as varchar)))) <=
       round_even(count(*) over () * 0.2, 0) then 'test' else 'train' end as sp from v),
 tr as (select * from s where sp = 'train'), te as (select * from s where sp = 'test'),
-g as (select x0, x1, x2, x3, label, min(vec_id) as rk, count(*) as m from tr group by x0, x1, x2, x3, label),
+g as (select {", ".join(XS)}, label, min(vec_id) as rk, count(*) as m from tr group by {", ".join(XS)}, label),
 d as (select te.vec_id as lk, g.rk, g.label, g.m,
-      sqrt(power(te.x0 - g.x0, 2) + power(te.x1 - g.x1, 2) + power(te.x2 - g.x2, 2) + power(te.x3 - g.x3, 2)) as dist
+      sqrt({" + ".join(f"power(te.{x} - g.{x}, 2)" for x in XS)}) as dist
       from te cross join g),
 o as (select *, coalesce(sum(m) over (partition by lk order by dist, rk rows between unbounded preceding and 1 preceding),
       0) as before from d),
@@ -351,9 +351,10 @@ select lk as vec_id, label as prediction, cast(votes as bigint) as votes from r
 def q_knn_cls(spark, sf):
     from ..operators.knn import knn_predict
     from ..operators.prep import split
-    s = split(vectors(spark, sf, 4), "vec_id", 0.2, 42)
+    v = points(spark, sf)
+    s = v.join(split(v.select("vec_id"), "vec_id", 0.2, 42), "vec_id")  # only ids are ranked
     tr, te = s.where(F.col("__split__") == "train"), s.where(F.col("__split__") == "test")
-    return knn_predict(tr, te, XS[:4], "label", "vec_id", "vec_id", 5).withColumn("votes", F.col("votes").cast("long"))
+    return knn_predict(tr, te, ["embedding"], "label", "vec_id", "vec_id", 5).withColumn("votes", F.col("votes").cast("long"))
 
 
 @register("model_knn_regressor", sql_rounded(_knn_split_sql() + """
@@ -361,22 +362,22 @@ select lk as vec_id, sum(wt * label) / sum(wt) as prediction from w group by lk"
 def q_knn_reg(spark, sf):
     from ..operators.knn import knn_predict
     from ..operators.prep import split
-    s = split(vectors(spark, sf, 4).withColumn("label", F.col("label").cast("double")), "vec_id", 0.2, 42)
+    v = points(spark, sf).withColumn("label", F.col("label").cast("double"))
+    s = v.join(split(v.select("vec_id"), "vec_id", 0.2, 42), "vec_id")
     tr, te = s.where(F.col("__split__") == "train"), s.where(F.col("__split__") == "test")
-    return rounded(knn_predict(tr, te, XS[:4], "label", "vec_id", "vec_id", 5, "regression"))
+    return rounded(knn_predict(tr, te, ["embedding"], "label", "vec_id", "vec_id", 5, "regression"))
 
 
 @register("prep_knn_impute")
 def q_knn_impute(spark, sf):
     """PRE-01: x3 blanked for every 5th vector, filled from its 5 nearest train rows."""
     from ..operators.knn import knn_impute
-    v = vectors(spark, sf, 4).withColumn("x3", F.when(F.col("vec_id") % 5 == 0, None).otherwise(F.col("x3")))
-    return rounded(knn_impute(v, v, XS[:3], "x3", "vec_id", 5).select("vec_id", "x3"))
+    v = vectors(spark, sf).withColumn("x3", F.when(F.col("vec_id") % 5 == 0, None).otherwise(F.col("x3")))
+    return rounded(knn_impute(v, v, [x for x in XS if x != "x3"], "x3", "vec_id", 5).select("vec_id", "x3"))
 
 
 @register("prep_smote_counts")
 def q_smote(spark, sf):
     """PRE-11: classes balanced by SMOTE on the embedding coordinates."""
     from ..operators.knn import smote
-    v = vectors(spark, sf, 4)
-    return smote(v, XS[:4], "label", "vec_id", 5).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    return smote(points(spark, sf), ["embedding"], "label", "vec_id", 5).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))

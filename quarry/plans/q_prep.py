@@ -229,7 +229,7 @@ def q_mi(spark, sf):
 
 @register("prep_pca")
 def q_pca(spark, sf):
-    from .fixtures import vectors
-    v = vectors(spark, sf, 8)
-    _, apply = R.pca(v, [f"x{i}" for i in range(8)], 0.9, scale=True)
+    from .fixtures import DIMS, vectors
+    v = vectors(spark, sf)
+    _, apply = R.pca(v, [f"x{i}" for i in range(DIMS)], 0.9, scale=True)
     return rounded(apply(v))
