@@ -34,16 +34,6 @@ DATE_RE = (r"^\s*(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?
            r"|\d{1,2}[-/.]\d{1,2}[-/.]\d{2}(\d{2})?( \d{1,2}:\d{2}(:\d{2})?)?"
            r"|\d{1,2} [A-Za-z]{3,9},? \d{4}|[A-Za-z]{3,9} \d{1,2},? \d{4})\s*$")
 
-# English stop words removed from word counts and title words
-STOP_WORDS = """a about above after again against all am an and any are as at be because been before being
-below between both but by can could did do does doing down during each few for from further had has have
-having he her here hers herself him himself his how i if in into is it its itself just me more most my
-myself no nor not now of off on once only or other our ours ourselves out over own same she should so some
-such than that the their theirs them themselves then there these they this those through to too under until
-up very was we were what when where which while who whom why will with would you your yours yourself
-yourselves also using based via within among toward towards upon""".split()
-
-
 def word_count(c: Column) -> Column:
     """FN-07: whitespace-separated words (0 for blank)."""
     t = F.trim(c)
@@ -74,13 +64,6 @@ def extract_dois(c: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, r"\.+$", ""))
 
 
-def title_words(c: Column) -> Column:
-    """FN-06: distinct sorted words of a title minus stop words."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(f"({WORD_RE})"), 1)
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.array_sort(F.array_distinct(F.array_except(words, stop)))
-
-
 def year_of(c: Column) -> Column:
     """FN-08: first 4-digit run as int (null if none)."""
     return F.nullif(F.regexp_extract(c.cast("string"), r"(\d{4})", 1), F.lit("")).try_cast("int")

@@ -191,14 +191,6 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
     return {"feat": feat, "thr": thr, "left": left, "right": right, "size": size}
 
 
-def _path(tree, row):
-    i, depth = 0, 0
-    while tree["feat"][i] >= 0:
-        i = tree["left"][i] if row[tree["feat"][i]] < tree["thr"][i] else tree["right"][i]
-        depth += 1
-    return depth + _c(tree["size"][i])
-
-
 def isolation_scores(train: DataFrame, df: DataFrame, features: list[str], key: str, n_trees: int = N_TREES,
                      sample: int = TREE_SAMPLE, seed: int = 42) -> DataFrame:
     """Anomaly score 2^(-E[h(x)] / c(sample)) for every row of ``df`` from a

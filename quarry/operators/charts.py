@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import md5key, q
@@ -21,7 +21,7 @@ BAR_TOP = 10
 BAR_OTHER_OVER = 50
 PIE_MAX = 50
 KDE_POINTS = 200
-KDE_SAMPLE = 5000
+KDE_STEPS = 50  # bins in one bandwidth
 
 
 def auto_bins(n: int, lo: float, hi: float, q1: float, q3: float) -> int:
@@ -88,25 +88,25 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("__h", md5key(seed, q(key))).orderBy("__h").limit(n).drop("__h")
 
 
-def kde(df: DataFrame, col: str, key: str, points: int = KDE_POINTS, sample: int = KDE_SAMPLE,
-        seed: int = 42) -> DataFrame:
-    """CHT-02: Gaussian KDE with Scott's bandwidth (sd * n^-1/5) on a seeded
-    sample of <= ``sample`` rows, evaluated on ``points`` grid positions from
-    min - 3h to max + 3h. The grid is a literal array exploded per sampled row
-    (no join); a groupBy adds the kernels."""
-    s = sample_rows(df.where(q(col).isNotNull()), key, sample, seed).select(q(col).cast("double").alias("v"))
-    st = s.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"),
+def kde(df: DataFrame, col: str, key: str, points: int = KDE_POINTS) -> DataFrame:
+    """CHT-02: Gaussian KDE of all values with Scott's bandwidth h = sd * n^-1/5 on
+    ``points`` grid positions from min - 3h to max + 3h. Values are counted in bins of
+    h / KDE_STEPS first, so the kernels run over bins, not rows (``key`` is not needed any
+    more and kept for callers)."""
+    v = df.select(q(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    st = v.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"),
                F.max("v").alias("hi")).first()
     n = int(st["n"])
     if n < 2 or not st["sd"]:
         return df.sparkSession.createDataFrame([], "x double, density double")
     h = float(st["sd"]) * n ** (-0.2)
+    step = F.lit(h / KDE_STEPS)
     a, b = float(st["lo"]) - 3 * h, float(st["hi"]) + 3 * h
-    grid = [a + (b - a) * i / (points - 1) for i in range(points)]
-    garr = F.array(*[F.lit(x) for x in grid])
-    e = s.select(F.explode(garr).alias("x"), "v")
-    k = F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.lit(h), 2))
-    return e.groupBy("x").agg((F.sum(k) / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
+    bins = v.groupBy(F.floor((F.col("v") - F.lit(st["lo"])) / step).alias("bin")).agg(F.count(F.lit(1)).alias("k"), F.avg("v").alias("v"))
+    grid = F.array(*[F.lit(a + (b - a) * i / (points - 1)) for i in range(points)])
+    e = bins.select(F.explode(grid).alias("x"), "v", "k")
+    kernel = F.col("k") * F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.lit(h), 2))
+    return e.groupBy("x").agg((F.sum(kernel) / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def line_means(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
@@ -146,13 +146,13 @@ def text_lengths(df: DataFrame, col: str) -> DataFrame:
     return histogram(df.select(word_count(q(col)).alias("words")), "words")
 
 
-def missing_map(df: DataFrame, key: str, n: int = 200, max_columns: int = 40, seed: int = 42) -> DataFrame:
-    """CHT-10: for a seeded sample of rows, which of the (<= 40) columns with
+def missing_map(df: DataFrame, key: str, n: int = 200, seed: int = 42) -> DataFrame:
+    """CHT-10: for a seeded sample of rows, which of the columns with
     gaps are missing — long form (row key, column, missing)."""
     from ..functions.columns import is_missing
     cols = [c for c in df.columns if c != key]
     flags = df.agg(*[F.count_if(is_missing(q(c), df.schema[c].dataType)).alias(c) for c in cols]).first()
-    gaps = [c for c in cols if flags[c] > 0][:max_columns]
+    gaps = [c for c in cols if flags[c] > 0]
     if not gaps:
         return df.sparkSession.createDataFrame([], "row_key string, column string, missing boolean")
     s = sample_rows(df, key, n, seed)
@@ -160,8 +160,3 @@ def missing_map(df: DataFrame, key: str, n: int = 200, max_columns: int = 40, se
     wide = s.select(q(key).cast("string").alias("row_key"),
                     *[is_missing(q(c), df.schema[c].dataType).alias(f"{c}__m") for c in gaps])
     return wide.selectExpr("row_key", f"stack({len(gaps)}, {st}) as (column, missing)")
-
-
-def rank_window_small(df: DataFrame, order_cols) -> DataFrame:
-    """Row number over an already small (limited) result."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order_cols)))

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q
 
-SILHOUETTE_SAMPLE = 10000
 
 
 def _vec(df, features):
@@ -101,9 +100,8 @@ def elbow(df: DataFrame, features: list[str], ks=range(2, 11), seed: int = 42) -
 
 
 def pca_view(df: DataFrame, features: list[str], key: str, n: int = 2000, seed: int = 42) -> DataFrame:
-    """CLU-11: 2-D PCA coordinates of a seeded <= n-row sample."""
+    """CLU-11: 2-D coordinates of a PCA fitted on all rows, for a seeded sample of <= n of them."""
     from ..operators.charts import sample_rows
     from ..operators.prep import pca
-    s = sample_rows(df, key, n, seed)
-    _, apply = pca(s, features, 2, scale=True)
-    return apply(s)
+    _, apply = pca(df, features, 2, scale=True)
+    return apply(sample_rows(df, key, n, seed))
