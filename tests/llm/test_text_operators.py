@@ -393,3 +393,17 @@ def test_token_file_round_trip(by_byte, kind):
     assert [d for d, _ in found] == [5, None, -7, 9, 9] and [len(x) for _, x in found] == sizes
     assert np.array_equal(np.concatenate([x for _, x in found]), ids.astype("<u4"))
     assert np.array_equal(back.block(1), ids[BLOCK:2 * BLOCK])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_by_parts_equal_whole_texts(name):
+    from quarry.llm.libtokens import WordIds
+
+    ids = WordIds(public_tokenizers.path(name))
+    rng = random.Random(10)
+    words = ["don't", "it's,", "word,", "word", "été.", "Größe!?", "x", ",", "...", "ʼs", "İx,", "µm", "a,b", "s", "'s", "naïve;", "日本", "42,", "ﬁn", "ét", "q́,"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "", "\t", " "]) for _ in range(rng.randrange(30))) for _ in range(400)]
+    texts += ["".join(rng.choice(ODD_TEXT + "ΣÇİ") for _ in range(rng.randrange(60))) for _ in range(2000)]
+    want = [e.ids for e in ids.library.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(b, "<u4").tolist() for i in range(0, len(texts), 50) for b in ids.encode(texts[i:i + 50])]
+    assert got == want
