@@ -241,6 +241,7 @@ def bagging(train: DataFrame, test: DataFrame, features: list[str], target: str,
         raise ValueError("bagging needs a row key")
     chances = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(i + 1)) for i in range(10)]
     preds = None
+    train, test = train.persist(), test.persist()  # read once a copy
     for i in range(n):
         copies = sum((uniform(seed + i, q(key)) >= c).cast("int") for c in chances)
         boot = train.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies))).where("__copy > 0").drop("__copy")

@@ -147,9 +147,9 @@ def _chi2_sql():
     parts = []
     for f in FEATS:
         parts.append(f"""select '{f}' as feature, sum(power(s - n / tn * ts, 2) / (n / tn * ts)) as score from (
-  select l_returnflag, count(*) as n, sum({f} - least(0.0, (select min({f}) from lineitem))) as s,
+  select l_returnflag, count(*) as n, sum({f} - (select min({f}) from lineitem)) as s,
     (select count(*) from lineitem where l_returnflag is not null) as tn,
-    (select sum({f} - least(0.0, (select min({f}) from lineitem))) from lineitem where l_returnflag is not null) as ts
+    (select sum({f} - (select min({f}) from lineitem)) from lineitem where l_returnflag is not null) as ts
   from lineitem where l_returnflag is not null group by l_returnflag)""")
     body = " union all ".join(parts)
     return sql_rounded(f"""with sc as ({body}), r as (select *, row_number() over (order by score desc,
