@@ -205,6 +205,18 @@ def test_base_spans(spark, docs, rows, nothing, module, table, rules):
     assert run(nothing).collect() == []
 
 
+def test_phones_without_a_run_of_four_digits(spark):
+    from quarry.llm.pii import find_pii, pii_table, redacted
+
+    texts = ["+33 1 23 45 67 89", "call +49 170 123 456 now", "+1-2-3-4-5-6-7-8-9", "+33 1 23 45 67"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_phone"], r["base_sha256"]) for r in pii_table(docs).collect()}
+    want = {i: (n[3], hashlib.sha256(s.encode()).hexdigest()) for i, t in enumerate(texts) for n, s in [base_spans(t, PII)]}
+    assert got == want and [n for n, _ in want.values()] == [1, 1, 1, 1]
+    clean = {r["doc_id"]: r["clean"] for r in find_pii(docs).withColumn("clean", redacted(F.col("text"), F.col("spans"))).collect()}
+    assert clean[0] == "[PHONE]" and clean[1] == "call [PHONE] now"
+
+
 def test_pii_model_adds_what_the_rules_miss(spark):
     from quarry.llm.pii import find_pii, redacted
 
