@@ -237,6 +237,17 @@ def test_pii_model_adds_what_the_rules_miss(spark):
     assert out[0]["clean"].count("[CARD]") == 1 and out[0]["clean"].startswith(texts[0][:20])
 
 
+def test_pii_sample_takes_each_text_once(spark, monkeypatch):
+    from quarry.llm import pii
+
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 20)
+    texts = [f"mail u{i}@mail.example.com or 10.0.3.{i}" for i in range(60)]
+    once, hot = (spark.createDataFrame([(t,) for t in x], "text string") for x in (texts, texts + [t for t in texts[:20] for _ in range(30)]))
+    rows = lambda docs: sorted(map(str, pii.training_rows(docs).collect()))
+    want = rows(once)
+    assert 0 < len(want) <= 60 * 4 and rows(hot) == want
+
+
 def test_secret_tests_and_discovery_control(spark):
     from quarry.llm.secrets import alphabet, find_secrets, randomness
 
