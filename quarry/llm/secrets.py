@@ -13,7 +13,10 @@ with as many letters of ordinary text from beside it, tested under the same alph
 Within a stratum (alphabet, power of two of the length) the threshold is the lowest p
 for which (decoys at or above it + 1) / (candidates at or above it) is at most ``FDR``.
 Where ordinary text looks as random as the candidates, for want of length, nothing is
-reported. Counts are taken over all documents; the table of strata is bounded by the
+reported. Every distinct token counts once, with one decoy; one that never has ordinary
+text beside it is judged by the threshold but takes no part in finding it. A stratum of
+fewer than 1 / ``FDR`` such tokens is pooled with the nearest lengths of its alphabet; if
+the alphabet has fewer in all, it has no threshold. The table of strata is bounded by the
 alphabets, 64 lengths and ``BINS`` bins.
 """
 
@@ -119,22 +122,41 @@ def with_candidates(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def thresholds(docs: DataFrame, fdr: float = FDR) -> dict[int, float]:
-    """Per stratum the lowest accepted p-value, from all documents."""
+    """Per stratum the lowest accepted p-value, from the distinct tokens of all documents."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = with_candidates(docs.select(text.alias("text")).where(F.col("text").rlike(TOKEN)), F.col("text")).where("size(__tokens) > 0")
-    each = found.select("text", F.explode("__tokens").alias("x")).select("x.*", _beside(F.col("text"), F.col("x.s"), F.col("x.e")).alias("d"))
-    # a candidate without ordinary text beside it counts as a decoy of the highest score
-    twin = F.coalesce(randomness(F.col("d"), F.col("k")), F.lit(1.0))
+    found = docs.select(text.alias("text")).where(F.col("text").rlike(TOKEN)).select("text", F.explode(matches(F.col("text"), TOKEN)).alias("x"))
+    beside = found.select("x.m", _beside(F.col("text"), F.col("x.s"), F.col("x.e")).alias("d"))
+    # copies of a token count once, with one of their decoys
+    once = beside.groupBy("m").agg(F.min(F.when(F.col("d").isNotNull(), F.struct(F.xxhash64("d").alias("h"), "d")))["d"].alias("d"))
+    each = once.withColumn("k", alphabet(F.col("m"))).withColumn("g", _stratum(F.col("k"), F.length("m")))
     bin_ = lambda p: F.least(F.floor(p * BINS).cast("int"), F.lit(BINS - 1))
-    both = each.select("g", F.explode(F.array(F.struct(bin_(F.col("p")).alias("b"), F.lit(1).alias("t")), F.struct(bin_(twin).alias("b"), F.lit(0).alias("t")))).alias("y")).select("g", "y.b", "y.t")
-    counts = both.groupBy("g", "b").agg(F.sum("t").alias("targets"), F.sum(1 - F.col("t")).alias("decoys")).collect()
+    entry = lambda m, t, d: F.struct(bin_(F.coalesce(randomness(m, F.col("k")), F.lit(0.0))).alias("b"), F.lit(t).alias("t"), F.lit(d).alias("d"))
+    # a candidate without ordinary text beside it names its stratum and stays out of the ratio
+    none = F.array(F.struct(F.lit(0).alias("b"), F.lit(0).alias("t"), F.lit(0).alias("d")))
+    both = each.select("g", F.explode(F.when(F.col("d").isNull(), none).otherwise(F.array(entry(F.col("m"), 1, 0), entry(F.col("d"), 0, 1)))).alias("y")).select("g", "y.*")
+    counts = both.groupBy("g", "b").agg(F.sum("t").alias("targets"), F.sum("d").alias("decoys")).collect()
+    return accepted_from({(r["g"], r["b"]): (r["targets"], r["decoys"]) for r in counts}, fdr)
+
+
+def accepted_from(counts: dict[tuple[int, int], tuple[int, int]], fdr: float) -> dict[int, float]:
+    """The thresholds from (stratum, bin): (targets, decoys). A stratum with too few targets for
+    the rule is judged with the nearest lengths of its alphabet, and by its own decoys as well."""
+    table: dict[int, dict[int, tuple[int, int]]] = {}
+    for (g, b), n in counts.items():
+        table.setdefault(g, {})[b] = n
+    size = {g: sum(t for t, _ in bins.values()) for g, bins in table.items()}
     out: dict[int, float] = {}
-    for g in {r["g"] for r in counts}:
-        targets = decoys = 0
-        for r in sorted((r for r in counts if r["g"] == g), key=lambda r: -r["b"]):
-            targets, decoys = targets + r["targets"], decoys + r["decoys"]
-            if r["b"] > 0 and decoys + 1 <= fdr * targets:
-                out[g] = r["b"] / BINS
+    for g in table:
+        pool, away = [g], 0
+        while fdr * sum(size[h] for h in pool) < 1 and away < 64:
+            away += 1
+            pool += [h for h in (g - away, g + away) if h in table and h // 64 == g // 64]
+        targets = decoys = own = 0
+        for b in range(BINS - 1, 0, -1):
+            here = [table[h].get(b, (0, 0)) for h in pool]
+            targets, decoys, own = targets + sum(t for t, _ in here), decoys + sum(d for _, d in here), own + here[0][1]
+            if any(map(any, here)) and decoys + 1 <= fdr * targets and (len(pool) == 1 or own <= fdr * size[g]):
+                out[g] = b / BINS
     return out
 
 

@@ -263,6 +263,23 @@ def test_secret_tests_and_discovery_control(spark):
     assert p["a" * 40] < 1e-6 and p["0123456789abcdef" * 4] < 1e-3 and p["0cab398dc11d1a2a11dc6572c8df8bd228c864f3"] > 0.1
 
 
+def test_secret_thresholds_with_hot_copies_and_rare_lengths(spark):
+    from quarry.llm.secrets import accepted_from, find_secrets
+
+    rng = random.Random(8)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    texts = [f"{prose(rng, 60)} {token(60 if i < 200 else 120)} end" for i in range(206)] + ["key " + token(60)] * 150
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"] for r in find_secrets(docs).where("size(spans) > 0").collect()}
+    assert len(found & set(range(200))) > 160 and len(found & set(range(200, 206))) >= 3
+    # pooled with its neighbour; not where its own decoys look random, nor with another alphabet
+    big = {(62 * 64 + 5, 50): (100, 0)}
+    assert accepted_from(big | {(62 * 64 + 6, 50): (3, 0)}, 0.02) == {62 * 64 + 5: 0.5, 62 * 64 + 6: 0.5}
+    assert accepted_from(big | {(62 * 64 + 6, 50): (3, 1)}, 0.02) == {62 * 64 + 5: 0.5}
+    assert accepted_from(big | {(16 * 64 + 6, 50): (3, 0)}, 0.02) == {62 * 64 + 5: 0.5}
+
+
 def test_language(spark, docs, rows, nothing):
     from quarry.llm.language import language_table
 
