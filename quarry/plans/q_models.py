@@ -41,7 +41,7 @@ def q_multi(spark, sf):
 @register("model_boosting_mlp_cv")
 def q_boost(spark, sf):
     """Gradient-boosted trees, linear SVM and an MLP on the binary target."""
-    cv = D.cross_validate(order_features(spark, sf), FEATS, "urgent", ["gbt", "linear_svc", "mlp"], "o_orderkey", 2,
+    cv = D.cross_validate(order_features(spark, sf), FEATS, "urgent", ["gbt", "linear_svc", "mlp"], "o_orderkey",
                           plan=SCALE)
     return rounded(M.fold_summary(cv))
 
@@ -98,7 +98,7 @@ def q_bag(spark, sf):
     from ..operators.prep import split
     d = split(order_features(spark, sf), "o_orderkey", 0.2, 42)
     tr, te = d.where(F.col("__split__") == "train"), d.where(F.col("__split__") == "test")
-    return D.bagging(tr, te, FEATS, "urgent", "decision_tree", 5, key="o_orderkey")
+    return D.bagging(tr, te, FEATS, "urgent", "decision_tree", key="o_orderkey")
 
 
 @register("model_unknown_labels", """
@@ -212,7 +212,7 @@ def q_perm(spark, sf):
     from ..operators import explain as X
     tr, te = _split_features(spark, sf)
     model, classes = X.fit_model(tr, FEATS, "urgent", "decision_tree")
-    return rounded(X.permutation_importance(model, te, FEATS, "urgent", "o_orderkey", classes, repeats=2))
+    return rounded(X.permutation_importance(model, te, FEATS, "urgent", "o_orderkey", classes))
 
 
 @register("model_grid_search")
@@ -276,7 +276,7 @@ def q_rfe(spark, sf):
 def q_ada(spark, sf):
     from ..operators import advanced as A
     tr, te = _split_features(spark, sf)
-    ens, classes = A.adaboost(tr, FEATS, "urgent", 10)
+    ens, classes = A.adaboost(tr, FEATS, "urgent")
     pred = A.adaboost_predict(ens, classes, te, FEATS)
     return M.classification_metrics(pred, "urgent", "prediction")
 

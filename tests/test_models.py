@@ -77,3 +77,28 @@ def test_rfe_and_ols_on_hard_inputs(spark):
     far = spark.range(200).select((1e8 + F.randn(3)).alias("x"), F.randn(4).alias("e")).withColumn("y", F.col("x") * 2 + F.col("e") * 0.01)
     coef, _ = ols(far, "y", ["x"])
     assert abs(coef.where("term = 'x'").first()["estimate"] - 2) < 0.01
+
+
+def test_entries_run_the_operators_own_rounds(spark, monkeypatch):
+    import inspect
+    from unittest.mock import MagicMock
+
+    from quarry.operators import advanced, explain, models, prep
+    from quarry.plans import q_models as Q
+
+    seen = {}
+    for module, name, out in ((models, "bagging", None), (models, "cross_validate", None), (advanced, "adaboost", ([], [])), (explain, "permutation_importance", None)):
+        def call(*a, _sig=inspect.signature(getattr(module, name)), _name=name, _out=out, **k):
+            bound = _sig.bind(*a, **k)
+            bound.apply_defaults()
+            seen[_name] = bound.arguments
+            return _out
+        monkeypatch.setattr(module, name, call)
+    monkeypatch.setattr(advanced, "adaboost_predict", MagicMock())
+    monkeypatch.setattr(explain, "fit_model", lambda *a: (None, []))
+    monkeypatch.setattr(prep, "split", MagicMock())
+    for name in ("order_features", "rounded", "M"):
+        monkeypatch.setattr(Q, name, MagicMock())
+    for entry in (Q.q_bag, Q.q_ada, Q.q_perm, Q.q_boost):
+        entry(spark, "nowhere")
+    assert (seen["bagging"]["n"], seen["adaboost"]["n_estimators"], seen["permutation_importance"]["repeats"], seen["cross_validate"]["k"]) == (10, 50, 5, 5)
