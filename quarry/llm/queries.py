@@ -120,3 +120,34 @@ def op9_secret_scan(spark, sf_dir):
     from .secrets import secret_table
 
     return secret_table(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_quality_classifier(spark, sf_dir):
+    from .quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op12_filter_audit(spark, sf_dir):
+    from .audit import filter_audit
+
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op13_merkle_manifest(spark, sf_dir):
+    from .merkle import manifest_table
+
+    return manifest_table(_table(spark, sf_dir, "documents"))
+
+
+def _add_oracles():
+    from . import audit, merkle
+
+    ORACLES["op12_filter_audit"] = audit.oracle()
+    ORACLES["op13_merkle_manifest"] = merkle.ORACLE
+
+
+_add_oracles()
