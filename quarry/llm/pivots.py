@@ -142,6 +142,9 @@ def _forest(linked: np.ndarray, two: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+SALTS = 64  # places for the vectors of one component
+
+
 def near_vectors(table: DataFrame, threshold: float = 0.98, prefix: int = PREFIX, shared: int = SHARED, max_pivots: int = MAX_PIVOTS,
                  chunk: int = CHUNK, vector: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``table``.
@@ -174,9 +177,14 @@ def near_vectors(table: DataFrame, threshold: float = 0.98, prefix: int = PREFIX
     roots = components(found.where("other is not null").select(F.col("gid").alias("a"), F.col("other").alias("b")))
     links = found.where("other is null").groupBy("gid").agg(F.sum("n").alias("links"))
     named = (distinct.join(links.withColumnRenamed("gid", "g1"), F.col("gid") == F.col("g1"), "left").join(roots, F.col("gid") == F.col("node"), "left")
-             .select("label", "x", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "gid").alias("root")))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = named.drop("low").join(lows, "root").select(F.col("label").alias("l"), F.col("x").alias("y"), "n_links", "component_id", F.lit(True).alias("known"))
+             .select("label", "x", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "gid", F.coalesce("root", "gid").alias("root")))
+    # a component may hold very many vectors: its answer goes to SALTS places
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size"))
+    alone, lows = lows.where("size = 1"), lows.where("size > 1").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lows = alone.withColumn("place", F.pmod(F.xxhash64("root"), F.lit(SALTS)).cast("int")).union(lows)
+    # a vector on its own is its own root, so its place is known
+    named = named.withColumn("place", F.pmod(F.when(F.col("root") == F.col("gid"), F.xxhash64("root")).otherwise(F.xxhash64("gid")), F.lit(SALTS)).cast("int"))
+    known = named.drop("low").join(lows, ["root", "place"]).select(F.col("label").alias("l"), F.col("x").alias("y"), "n_links", "component_id", F.lit(True).alias("known"))
     out = rows.join(known, (F.col("label") == F.col("l")) & (F.col("x") == F.col("y")), "left")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

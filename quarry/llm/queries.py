@@ -31,7 +31,7 @@ def op10_suffix_dedup(spark, sf_dir):
     from .suffixes import remove_repeats
 
     out = remove_repeats(_table(spark, sf_dir, "documents"), min_bytes=400)
-    return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 @_query
@@ -85,18 +85,18 @@ def op8_exact_topk(spark, sf_dir):
 
 ORACLES["op8_exact_topk"] = """
 with usable as (
-    select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+    select row_number() over () as uid, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
     from embeddings
     where vec_id is not null and len(embedding) > 0
       and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ),
 scored as (
-    select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
-    from usable q join usable c on q.vec_id <> c.vec_id
+    select q.uid, q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from usable q join usable c on q.uid <> c.uid
     where q.vec_id % 50 = 0
 )
 select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+from (select *, row_number() over (partition by uid order by score desc, vec_id) as rank from scored)
 where rank <= 5
 """
 

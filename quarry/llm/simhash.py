@@ -69,6 +69,9 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
+SALTS = 64  # places for the rows of one component
+
+
 def flip_masks(radius: int) -> list[list[int]]:
     """For each syndrome of a 32-bit half, the flips of at most ``radius`` bits that
     lead to a word of the code (bits 0..30 have the parity columns 1..31, bit 31 is free)."""
@@ -157,14 +160,16 @@ def _linked(max_bits: int):
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; null and word-free texts get 0."""
+    """(doc_id, text_hash, fp): one row per row of ``docs``; null and word-free texts get 0."""
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
     use_small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+            .mapInArrow(run, "doc_id long, text_hash long, fp long"))
 
 
 def fingerprint_links(distinct: DataFrame, max_bits: int = 4, chunk: int = 4096) -> DataFrame:
@@ -188,7 +193,8 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, chunk: int = 4096)
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
+    """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, then
+    component (a fingerprint that names the group, also where ids repeat) and text_hash.
 
     Reads the columns ``doc_id`` and ``text`` and ignores others. component_id is the smallest
     doc_id among the documents reachable over links of at most ``max_bits``
@@ -200,9 +206,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Data
     marked = checkpointed(fingerprints(docs, shingle))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(fingerprint_links(distinct.select("fp"), max_bits))
-    named = checkpointed(distinct.join(roots, distinct.fp == roots.node, "left")
-                         .select(F.col("fp").alias("key"), "low", F.coalesce("root", "fp").alias("root")))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.select("key", "root").join(lows, "root").select("key", "component_id")
-    return (marked.join(named, marked.fp == named.key)
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    named = checkpointed(distinct.join(roots, distinct.fp == roots.node, "left").select(F.col("fp").alias("key"), "low", "root"))
+    alone = named.where("root is null").select("key", F.col("key").alias("component"), F.col("low").alias("component_id"))
+    linked = named.where("root is not null")
+    # a component may hold very many fingerprints: its answer goes to SALTS places
+    lows = linked.groupBy("root").agg(F.min("low").alias("component_id")).select(F.col("root").alias("component"), "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("place"))
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
+    linked = linked.join(lows, (F.col("root") == F.col("component")) & (salt == F.col("place"))).select("key", "component", "component_id")
+    known = alone.union(linked)
+    return (marked.join(known, marked.fp == known.key)
+            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", "text_hash"))

@@ -17,7 +17,10 @@ of suffixes that is ordered first:
 
 Only equality of prefixes matters for removal, so a class is named by a 64-bit
 polynomial fingerprint (an odd multiplier modulo 2^64, then mixed) in place of its
-lexicographic rank; n suffixes give about n^2 / 2^65 false pairs (README has figures).
+lexicographic rank. A suffix has two such names, the second over random numbers for the
+bytes and with another multiplier; it is a repeat if both are met again. A suffix that is
+none passes both tests by chance with probability (n / 2^64)^2 among n suffixes, so about
+n^3 / 2^128 suffixes are wrongly cut: 6e-10 for the 6e9 of 30 GB.
 
 Texts are grouped into chunks of about ``chunk_bytes`` by one shuffle, which all three
 passes read. A chunk sends each distinct name once (delta coded in sorted order), so a
@@ -36,8 +39,9 @@ from pyspark.sql import types as T
 
 from .common import text_bytes, use_small_batches
 
-MULTIPLIER = 0x9E3779B97F4A7C15  # odd; 2^64 over the golden ratio
-SEGMENT = 1 << 21  # bytes fingerprinted at once
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd: 2^64 over the golden ratio, and one independent of it
+BYTES = (np.arange(1, 257, dtype=np.uint64), np.random.default_rng(181).integers(0, 1 << 64, 256, np.uint64))
+SEGMENT = 1 << 20  # bytes fingerprinted at once
 NAMES_IN_BUCKET = 1 << 21
 SALTS = 32
 
@@ -70,12 +74,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Prefixes:
-    """Fingerprints of any window of one byte array."""
+    """Fingerprints of any window of one byte array, of the first or second kind."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, kind: int = 0):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(MULTIPLIER, len(data)), out=self.sums[1:])
-        self.down = _powers(pow(MULTIPLIER, -1, 1 << 64), len(data))
+        np.cumsum(BYTES[kind][data] * _powers(MULTIPLIERS[kind], len(data)), out=self.sums[1:])
+        self.down = _powers(pow(MULTIPLIERS[kind], -1, 1 << 64), len(data))
 
     def names(self, at: np.ndarray, width: int) -> np.ndarray:
         h = (self.sums[at + width] - self.sums[at]) * self.down[at]
@@ -124,7 +128,7 @@ class Chunk:
             yield data, pieces, sums, ends, grid, sums.names(grid, self.short)
 
     def suffixes(self, repeated: np.ndarray):
-        """Per segment (pieces, positions, names) of the suffixes with a repeated sample class in reach."""
+        """Per segment (pieces, positions, names, second names) of the suffixes with a repeated sample class in reach."""
         for data, pieces, sums, ends, grid, names in self.sample():
             hits = grid[among(names, repeated)]
             if not len(hits):
@@ -136,20 +140,22 @@ class Chunk:
             at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
             own = np.repeat(np.array([a + m for _, _, a, _, m in pieces], np.int32), [n for *_, n, _ in pieces])
             at = at[(at + self.width <= ends[at]) & (at < own[at])]
-            yield pieces, at, sums.names(at, self.width)
+            names = sums.names(at, self.width)
+            del sums, grid, mark, own, starts
+            yield pieces, at.astype(np.int32), names, Prefixes(data, 1).names(at, self.width)
 
-    def covered(self, found, repeated: np.ndarray) -> list[np.ndarray]:
+    def covered(self, found, repeated: np.ndarray, again: np.ndarray) -> list[np.ndarray]:
         """Per text, +1 where a repeated window starts and -1 behind its end, summed: over 0 where a byte goes."""
         marks = [np.zeros(len(t) + 1, np.int32) for t in self.texts]
-        for pieces, at, names in found:
-            at = at[among(names, repeated)]
+        for pieces, at, names, second in found:
+            at = at[among(names, repeated) & among(second, again)].astype(np.int64)
             cut = np.searchsorted(at, [p[2] for p in pieces] + [pieces[-1][2] + pieces[-1][3]])
             for (k, off, place, _, _), i, j in zip(pieces, cut[:-1].tolist(), cut[1:].tolist()):
                 if i < j:
                     p = at[i:j] - place + off  # distinct
                     marks[k][p] += 1
                     marks[k][p + self.width] -= 1
-        return [np.cumsum(m[:-1]) for m in marks]
+        return [np.cumsum(m[:-1], dtype=np.int32) for m in marks]
 
 
 def among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -184,7 +190,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 NOTE = "bucket long, pid long, kind int, payload binary"
-TWIN, SAMPLE, WINDOW = 0, 1, 2  # kinds of notes
+TWIN, SAMPLE, WINDOW, SECOND = 0, 1, 2, 3  # kinds of notes
 
 
 def _notes(rows) -> pa.Table:
@@ -206,27 +212,37 @@ def _read(docs: pa.Table, notes: pa.Table):
     return taking, [texts[i].as_py() for i in taking], told, twins
 
 
-def _answered(names: np.ndarray, told: dict, kind: int, buckets: int) -> np.ndarray:
+def _tally(arrays) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names, sorted, and those met more than once; one array at a time."""
+    seen = twice = np.zeros(0, np.uint64)
+    for names in arrays:
+        names = np.sort(names)
+        twice = np.union1d(twice, repeats(names))
+        names = names[np.concatenate([[True], names[1:] != names[:-1]])] if len(names) else names
+        twice = np.union1d(twice, names[among(names, seen)])
+        seen = np.union1d(seen, names) if len(seen) else names
+    return seen, twice
+
+
+def _shift(kind: int, buckets: int) -> int:
+    """Second names have buckets of their own."""
+    return buckets if kind == SECOND else 0
+
+
+def _answered(tally: tuple[np.ndarray, np.ndarray], told: dict, kind: int, buckets: int) -> np.ndarray:
     """The distinct sorted names that are repeated: in this chunk, or by the bits that came back."""
-    names = np.sort(names)
-    here = repeats(names)
-    names = names[np.concatenate([[True], names[1:] != names[:-1]])] if len(names) else names
+    names, here = tally
     found = [here]
     for b, part in by_bucket(names, buckets):
-        if bits := told.get((kind, b)):
+        if bits := told.get((kind, b + _shift(kind, buckets))):
             own = names[part]
             found.append(own[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)])
     return np.unique(np.concatenate(found))
 
 
 def _sent(names: np.ndarray, pid: int, kind: int, buckets: int) -> list:
-    names = np.unique(names)
-    return [(b, pid, kind, packed(names[part])) for b, part in by_bucket(names, buckets)]
-
-
-def _joined(arrays) -> np.ndarray:
-    arrays = list(arrays)
-    return np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    """Notes with sorted distinct names."""
+    return [(b + _shift(kind, buckets), pid, kind, packed(names[part])) for b, part in by_bucket(names, buckets)]
 
 
 def _send_samples(min_bytes: int, buckets: int):
@@ -235,7 +251,7 @@ def _send_samples(min_bytes: int, buckets: int):
             return _notes([])
         pid = key[0].as_py()
         _, texts, _, twins = _read(docs, notes)
-        names = _joined(x[-1] for x in Chunk(texts, min_bytes).sample())
+        names, _ = _tally(x[-1] for x in Chunk(texts, min_bytes).sample())
         return _notes([(-1 - pid, pid, TWIN, t.encode()) for t in sorted(twins)] + _sent(names, pid, SAMPLE, buckets))
     return run
 
@@ -247,11 +263,13 @@ def _send_suffixes(min_bytes: int, buckets: int):
         pid = key[0].as_py()
         _, texts, told, twins = _read(docs, notes)
         chunk = Chunk(texts, min_bytes)
-        repeated = _answered(_joined(x[-1] for x in chunk.sample()), told, SAMPLE, buckets)
-        names = _joined(x[-1] for x in chunk.suffixes(repeated))
+        repeated = _answered(_tally(x[-1] for x in chunk.sample()), told, SAMPLE, buckets)
+        first = second = np.zeros(0, np.uint64)
+        for _, _, a, b in chunk.suffixes(repeated):
+            first, second = np.union1d(first, a), np.union1d(second, b)
         kept = [(-1 - pid, pid, TWIN, t.encode()) for t in sorted(twins)]
         kept += [(-1 - pid, pid, SAMPLE, np.int64(b).tobytes() + p) for (_, b), p in told.items()]  # the third pass needs them
-        return _notes(kept + _sent(names, pid, WINDOW, buckets))
+        return _notes(kept + _sent(first, pid, WINDOW, buckets) + _sent(second, pid, SECOND, buckets))
     return run
 
 
@@ -275,10 +293,11 @@ def _remove(min_bytes: int, buckets: int, names_out: list[str], as_text: bool):
         taking, texts, told, twins = _read(docs, notes)
         keys = [f"{s}:{i}" for s, i in zip(docs.column("sha").to_pylist(), docs.column("doc_id").to_pylist())]
         chunk = Chunk(texts, min_bytes)
-        repeated = _answered(_joined(x[-1] for x in chunk.sample()), told, SAMPLE, buckets) if texts else np.zeros(0, np.uint64)
+        repeated = _answered(_tally(x[-1] for x in chunk.sample()), told, SAMPLE, buckets) if texts else np.zeros(0, np.uint64)
         found = list(chunk.suffixes(repeated))
-        windows = _answered(_joined(x[-1] for x in found), told, WINDOW, buckets)
-        marks = dict(zip(taking, chunk.covered(found, windows)))
+        windows = _answered(_tally(x[2] for x in found), told, WINDOW, buckets)
+        again = _answered(_tally(x[3] for x in found), told, SECOND, buckets)
+        marks = dict(zip(taking, chunk.covered(found, windows, again)))
         removed, spans, kept = [], [], []
         for i in range(docs.num_rows):
             body = docs.column("body")[i].as_py()
@@ -296,7 +315,7 @@ def _remove(min_bytes: int, buckets: int, names_out: list[str], as_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 400, chunk_bytes: int = 8 << 20, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_bytes: int = 400, chunk_bytes: int = 4 << 20, as_text: bool = False) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept): one row per row of ``docs``.
 
     ``row`` is a struct of the input row without its text, ``kept`` the remaining

@@ -53,14 +53,16 @@ def test_top_k(spark):
     from quarry.llm.topk import top_k
 
     rows, df = table(spark)
-    vectors = {}
-    for i, v, _ in rows:
+    twice = [(50, [0.5] * len(rows[0][1]), 1), (7, rows[0][1], 2), (7, rows[0][1], 2)]  # ids that other rows have too
+    df = df.select("vec_id", "embedding", "label").union(spark.createDataFrame(twice, df.select("vec_id", "embedding", "label").schema))
+    vectors = []
+    for i, v, _ in rows + twice:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            vectors[i] = [int(np.floor(256 * x)) for x in v]
+            vectors.append((i, [int(np.floor(256 * x)) for x in v]))
     want = []
-    for q, v in vectors.items():
+    for n, (q, v) in enumerate(vectors):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors.items() if i != q and len(w) == len(v))[:5]
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(vectors) if m != n and len(w) == len(v))[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(map(tuple, top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want) and len(want) > 15
     assert top_k(df.where("1 = 0"), F.col("vec_id") % 50 == 0).collect() == []
@@ -127,24 +129,49 @@ def test_pipeline(spark, sf, tmp_path):
     seen = {}
     for t in texts.values():
         b = t.encode()
-        for i in range(len(b) - 399):
-            k = hash(b[i:i + 400])
+        for i in range(len(b) - P.PASSAGE + 1):
+            k = hash(b[i:i + P.PASSAGE])
             seen[k] = seen.get(k, 0) + 1
     for d, t in texts.items():
         b = t.encode()
         gone = np.zeros(len(b), bool)
-        for i in range(len(b) - 399):
-            if seen[hash(b[i:i + 400])] > 1:
-                gone[i:i + 400] = True
+        for i in range(len(b) - P.PASSAGE + 1):
+            if seen[hash(b[i:i + P.PASSAGE])] > 1:
+                gone[i:i + P.PASSAGE] = True
         assert cut[d] == np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
 
 
+def test_simhash_stage_judges_rows_that_share_an_id_by_their_texts(spark):
+    import corpus_pipeline as P
+
+    words = lambda n: " ".join(f"w{n}x{k}" for k in range(80))
+    rows = [(1, words(1)), (1, words(2)), (2, words(3)), (2, words(1)), (3, words(2)), (4, words(4)), (4, words(4)), (None, words(4)), (5, words(3)), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("component", F.lit(1)).withColumn("k", F.lit(2))
+    got = sorted(((r["doc_id"], r["text"]) for r in P.simhash_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, words(1)), (1, words(2)), (2, words(3)), (4, words(4)), (None, words(4)), (6, None)], key=str)
+
+
+def test_suffix_stage_cuts_passages_of_fifty_words(spark):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 7)))) for _ in range(n))
+    passages = [text(52), text(58), text(70)]
+    assert 200 < min(len(p) for p in passages) < 400
+    rows = [(i, text(60) + " " + passages[i % 3] + " " + text(60), "en", "s", 0) for i in range(9)] + [(20, text(150), "en", "s", 0), (21, None, "en", "s", 0), (22, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cut = {r["doc_id"]: r["text"] for r in P.suffix_dedup(spark, docs, "").collect()}
+    assert len(cut) == 12 and cut[20] == rows[9][1] and cut[22] == ""
+    for i, t, *_ in rows[:9]:
+        assert passages[i % 3] not in cut[i] and len(t) - len(cut[i]) <= len(passages[i % 3]) + 4
+
+
 def test_queries_are_registered_and_leave_when_the_folder_goes():
     import __spark_entry__ as E
 
     names = set(E.queries())
     assert {"pipeline"} | {n for n in names if n.startswith("op")} == {n for n in names if n == "pipeline" or n.startswith("op")}
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
 
 
 if __name__ == "__main__":
