@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import shared_folder
 
 MIN_SCORE = 0.5  # posterior below which no language is accepted
+PASSAGE = 200  # bytes; a passage of 50 words is seldom shorter, texts of their own share no such string
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,27 +28,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group of near-duplicates, once if its
-    row is repeated. Rows without an id cannot be told apart and all stay."""
+    """Keeps one document of every group of near-duplicates: the one with the smallest id
+    (of rows that share the id but not the text, one of them), once if its row is repeated.
+    Rows that share an id and belong to different groups are judged each by its own group.
+    Rows without an id cannot be told apart and all stay."""
     from quarry.llm.common import checkpointed
     from quarry.llm.simhash import simhash_groups
 
-    groups = simhash_groups(docs, shingle=4, max_bits=4)
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = checkpointed(first.select(F.col("doc_id").alias("k"), "n"))
-    keys = lambda cond: first.where(cond).select("k")
-    own = F.col("doc_id").cast("long") == F.col("k")
-    once = docs.join(keys("n = 1"), own, "left_semi")
-    again = docs.join(keys("n > 1"), own, "left_semi").dropDuplicates(["doc_id"])
+    groups = simhash_groups(docs, shingle=4, max_bits=4).where("doc_id is not null")
+    rows = groups.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("f"))
+    first = checkpointed(first.select(F.col("f.doc_id").alias("__id"), F.col("f.text_hash").alias("__hash"), F.col("f.n").alias("__n")))
+    own = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    once = docs.join(first.where("__n = 1"), own, "left_semi")
+    again = docs.join(first.where("__n > 1"), own, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.union(again).union(docs.where("doc_id is null"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every string of 400 bytes that also starts anywhere else out of the texts;
+    """Cuts every string of ``PASSAGE`` bytes that also starts anywhere else out of the texts;
     ``n_chars`` follows the text. Rows stay, also where nothing is left of the text."""
     from quarry.llm.suffixes import remove_repeats
 
-    return _with_text(remove_repeats(docs, min_bytes=400, as_text=True), docs, F.col("kept"))
+    return _with_text(remove_repeats(docs, min_bytes=PASSAGE, as_text=True), docs, F.col("kept"))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
