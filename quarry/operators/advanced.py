@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q, uniform
+from .models import class_codes
 from .ranks import exact_quantiles
 
 N_TREES = 100
@@ -107,11 +108,11 @@ def rfe(train: DataFrame, features: list[str], label: str, k: int, task: str = "
 def adaboost(train: DataFrame, features: list[str], label: str, n_estimators: int = 50):
     """SAMME with depth-1 trees; sample weights updated with column
     arithmetic each round. Returns [(stump model, alpha)] and the classes."""
-    classes = sorted(r[0] for r in train.where(q(label).isNotNull()).select(q(label).cast("string")).distinct().collect())  # one per class
+    classes = [r["value"] for r in class_codes(train, label).orderBy("label").collect()]
     k = len(classes)
     m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
     d = VectorAssembler(inputCols=features, outputCol="features").transform(train).withColumn(
-        "label", F.element_at(m, q(label).cast("string")))
+        "__y", F.element_at(m, q(label).cast("string"))).select("features", F.col("__y").alias("label"))
     n = d.count()
     d = d.withColumn("w", F.lit(1.0 / n)).select("features", "label", "w").persist()
     ensemble = []

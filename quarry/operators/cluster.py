@@ -2,39 +2,47 @@
 
 K-Means / bisecting K-Means / Gaussian mixture are spark.ml. Davies-Bouldin
 and Calinski-Harabasz come from per-cluster aggregates (centroids, scatter);
-silhouette on Euclidean distance uses spark.ml's evaluator (squared) or an
-exact pairwise form restricted to a bounded seeded sample (as the reference).
+the silhouette is spark.ml's (squared Euclidean, all rows) here and exact on a seeded
+sample in ``density``. Coordinates are one array column, however many there are.
 """
 
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
+from ..session import cut_lineage
+from .knn import point
+from .models import FITS_AT_ONCE
 
 
-
-def _vec(df, features):
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
+def _vec(df: DataFrame, features: list[str]) -> DataFrame:
+    """``df`` with its coordinates as the vector ``features``; null where one is missing."""
+    x = point(df, features)
+    gap = F.coalesce(F.exists(x, lambda v: v.isNull() | F.isnan(v)), F.lit(True))
+    return df.withColumn("features", F.when(~gap, array_to_vector(x)))
 
 
 def fit_clusters(df: DataFrame, features: list[str], method: str = "kmeans", k: int = 3, seed: int = 42):
-    """CLU-01/02/04: returns (model, assignments with ``cluster``)."""
-    d = _vec(df, features)
+    """CLU-01/02/04: returns (model, ``df`` with ``cluster`` and the vector ``features``). Fitted on the
+    complete rows; a row with a missing coordinate keeps its place with a null cluster. The
+    result is materialised once, so scores on it fit nothing again."""
+    d = cut_lineage(_vec(df, features))
+    whole = d.where(F.col("features").isNotNull())
     est = {"kmeans": KMeans(k=k, seed=seed), "bisecting": BisectingKMeans(k=k, seed=seed),
            "gmm": GaussianMixture(k=k, seed=seed)}[method]
-    model = est.fit(d)
-    out = model.transform(d).withColumnRenamed("prediction", "cluster").drop("features")
-    if "probability" in out.columns:
-        out = out.drop("probability")
-    return model, out
+    model = est.fit(whole)
+    out = model.transform(whole).withColumnRenamed("prediction", "cluster").drop("probability")
+    rest = d.where(F.col("features").isNull()).withColumn("cluster", F.lit(None).cast("int"))
+    return model, cut_lineage(out.unionByName(rest))
 
 
 def cluster_sizes(assigned: DataFrame, col: str = "cluster") -> DataFrame:
@@ -78,27 +86,57 @@ def centroid_scores(assigned: DataFrame, features: list[str], col: str = "cluste
 
 
 def silhouette(assigned: DataFrame, features: list[str], col: str = "cluster") -> float:
-    """CLU-06: spark.ml silhouette over all rows (squared Euclidean), noise removed."""
+    """CLU-06: spark.ml silhouette over all rows (squared Euclidean), noise and rows without a cluster
+    removed. ``density.silhouette_rows`` has the Euclidean form."""
     ev = ClusteringEvaluator(featuresCol="features", predictionCol=col)
-    return float(ev.evaluate(_vec(assigned.where(F.col(col) != -1), features)))
+    d = assigned if "features" in assigned.columns else _vec(assigned, features)
+    return float(ev.evaluate(cut_lineage(d.where((F.col(col) != -1) & F.col("features").isNotNull()).select("features", col))))
 
 
 def elbow(df: DataFrame, features: list[str], ks=range(2, 11), seed: int = 42) -> DataFrame:
     """CLU-05: k-means for every k: inertia (training cost) and silhouette;
-    best k = largest silhouette."""
-    d = _vec(df, features).persist()
-    rows = []
+    best k = largest silhouette. The fits share one cached table and run side by side."""
+    d = _vec(df, features).where(F.col("features").isNotNull()).select("features").persist()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    for k in ks:
+
+    def one(k):
         model = KMeans(k=k, seed=seed).fit(d)
-        sil = float(ev.evaluate(model.transform(d)))
-        rows.append((k, float(model.summary.trainingCost), sil))
+        return k, float(model.summary.trainingCost), float(ev.evaluate(model.transform(d)))
+
+    d.count()
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        rows = list(pool.map(one, ks))
     d.unpersist()
     best = max(rows, key=lambda r: r[2])[0]
     return df.sparkSession.createDataFrame([(k, i, s, k == best) for k, i, s in rows],
                                            "k int, inertia double, silhouette double, best boolean")
 
 
+METHODS = ("kmeans", "bisecting", "gmm", "dbscan")
+
+
+def compare_methods(df: DataFrame, key: str, features: list[str], k: int = 3, eps: float = 0.5, min_samples: int = 5, seed: int = 42) -> DataFrame:
+    """CLU-09: per method clusters, noise rows, the largest and smallest cluster and the Euclidean
+    silhouette of the sample; ``best`` marks the largest silhouette (ties to the first method)."""
+    from .density import dbscan, silhouette_rows
+    x = df.select(q(key), point(df, features).alias("x"))
+
+    def one(method):
+        if method == "dbscan":
+            a = cut_lineage(x.join(dbscan(x, key, ["x"], eps, min_samples).drop("kind"), key))
+        else:
+            a = fit_clusters(x, ["x"], method, k, seed)[1].drop("features")
+        sizes = cluster_sizes(a.where(F.col("cluster").isNotNull()))
+        inner = F.when(F.col("cluster") != -1, F.col("size"))
+        r = sizes.agg(F.count(inner).alias("clusters"), F.sum(F.when(F.col("cluster") == -1, F.col("size"))).alias("noise"), F.min(inner).alias("smallest"), F.max(inner).alias("largest")).first()
+        s = silhouette_rows(a, key, ["x"], seed=seed).agg(F.avg("silhouette")).first()[0]
+        return method, int(r["clusters"]), int(r["noise"] or 0), r["smallest"], r["largest"], s
+
+    rows = [one(m) for m in METHODS]
+    best = max((r for r in rows if r[-1] is not None), key=lambda r: r[-1], default=(None,))[0]
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "method string, clusters int, noise long, smallest long, largest long, silhouette double, best boolean")
+
+
 def pca_view(df: DataFrame, features: list[str], key: str, n: int = 2000, seed: int = 42) -> DataFrame:
     """CLU-11: 2-D coordinates of a PCA fitted on all rows, for a seeded sample of <= n of them."""
     from ..operators.charts import sample_rows

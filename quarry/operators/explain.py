@@ -10,11 +10,12 @@ linear SHAP is column arithmetic plus one aggregate.
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q, uniform
+from ..session import cut_lineage
 from . import metrics as M
 from .models import _labelled, class_codes, estimator, fit_predict
 from .prep import assign_folds, class_ranks, fit_prep, split, transform
@@ -25,14 +26,16 @@ PERM_REPEATS = 5
 
 
 def _prepare(df: DataFrame, features: list[str], target: str, task: str, codes: DataFrame | None) -> DataFrame:
-    """(features, label) of the rows with a known target and no gap in a feature."""
+    """(features, label) of the rows with a known target and no gap in a feature. Columns that
+    bear the name of a model's output give way."""
     labelled = _labelled(df, target, task, codes).where(F.col("label").isNotNull()).dropna(subset=features)
+    labelled = labelled.drop(*{"features", "prediction", "probability", "rawPrediction"} - set(features))
     return VectorAssembler(inputCols=features, outputCol="features").transform(labelled)
 
 
 def fit_model(train: DataFrame, features: list[str], target: str, name: str, task: str = "classification"):
     """A fitted model and its classes as a table (value, label); None for regression."""
-    codes = class_codes(train, target).persist() if task == "classification" else None
+    codes = class_codes(train, target) if task == "classification" else None
     tr = _prepare(train, features, target, task, codes)
     return estimator(name, task, len(features), codes.count() if codes is not None else 0).fit(tr), codes
 
@@ -82,37 +85,37 @@ def permutation_importance(model, test: DataFrame, features: list[str], target:
                            classes=None, repeats: int = PERM_REPEATS, seed: int = 42) -> DataFrame:
     """EXP-01: drop in accuracy (classification) or R2 (regression) when one
     column's values are re-paired with other rows: rows ranked by md5(seed, key)
-    receive the value of the row ranked by md5(seed + 1000 + r, key)."""
-    def score(d):
-        pd_ = _prepare(d, features, target, "regression" if classes is None else "classification", classes)
-        p = model.transform(pd_)
-        if classes is not None:
-            return M.classification_metrics(p, "label", "prediction").first()["accuracy"]
-        return M.regression_metrics(p, "label", "prediction", len(features)).first()["r2"]
-    base = score(test)
-    a = class_ranks(test, key, seed).withColumnRenamed("__rank", "__ra").drop("__u").persist()
+    receive the value of the row ranked by md5(seed + 1000 + r, key).
+
+    Rows are ranked once per repeat; every (feature, repeat) variant of a row is made where the
+    row is and all are scored in one pass, with one grouped count."""
+    task = "regression" if classes is None else "classification"
+    table = cut_lineage(_prepare(test, features, target, task, classes).select(q(key).alias("__key"), "label", F.array(*[q(f).cast("double") for f in features]).alias("__x")))
+    own = class_ranks(table, "__key", seed).select("__rank", "label", "__x")
+    given = None
+    for r in range(repeats):
+        other = class_ranks(table, "__key", seed + 1000 + r).select(F.col("__rank"), F.lit(r).alias("repeat"), F.col("__x").alias("__z"))
+        given = other if given is None else given.union(other)
+    swapped = []
+    for i in range(len(features)):
+        x = F.array(*[F.col("__z")[j] if j == i else F.col("__x")[j] for j in range(len(features))])
+        swapped.append(F.struct(F.lit(i).alias("feature"), x.alias("x")))
+    pairs = own.join(given, "__rank").select("label", "repeat", F.explode(F.array(*swapped)).alias("v"))
+    plain = own.select("label", F.lit(-1).alias("repeat"), F.lit(-1).alias("feature"), F.col("__x").alias("x"))
+    rows = pairs.select("label", "repeat", "v.feature", "v.x").union(plain)
+    scored = model.transform(rows.withColumn("features", array_to_vector("x")))
+    if classes is not None:
+        found = {k: m["accuracy"] for k, m in M.grouped_classification_metrics(scored, ["feature", "repeat"]).items()}
+    else:
+        gap = F.col("label") - F.col("prediction")
+        found = {(r["feature"], r["repeat"]): 1 - r["e"] / r["v"] for r in scored.groupBy("feature", "repeat").agg(F.avg(gap * gap).alias("e"), F.var_pop("label").alias("v")).collect()}
     rows = []
-    for f in features:
-        drops = []
-        for r in range(repeats):
-            b = class_ranks(test.select(q(key).alias("__k2"), q(f).alias("__v")), "__k2", seed + 1000 + r)
-            b = b.select(F.col("__rank").alias("__ra"), "__v")
-            shuffled = a.join(b, "__ra").drop(f).withColumnRenamed("__v", f).drop("__ra")
-            drops.append(base - score(shuffled))
+    for i, f in enumerate(features):
+        drops = [found[-1, -1] - found[i, r] for r in range(repeats)]
         rows.append((f, float(sum(drops) / len(drops)), float(min(drops)), float(max(drops))))
-    a.unpersist()
     return test.sparkSession.createDataFrame(rows, "feature string, mean_drop double, min_drop double, max_drop double")
 
 
-def shap_dot_positions(df: DataFrame, features: list[str]) -> DataFrame:
-    """EXP-05 helper: per feature value percent rank (WIN-02) for colouring."""
-    from .ranks import percent_rank_rows
-    out = df
-    for f in features:
-        out = percent_rank_rows(out, f, out=f"{f}__pct")
-    return out
-
-
 def grid_search(df: DataFrame, features: list[str], target: str, name: str, grid: list[dict], key: str, k: int = 3,
                 task: str = "classification", seed: int = 42) -> DataFrame:
     """MDL-19: every parameter set on the same md5 folds; mean metric per set."""

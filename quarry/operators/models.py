@@ -9,12 +9,13 @@ and scores every fold with the aggregate metrics of ``metrics``.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import q, uniform
+from ..session import cut_lineage
 from . import metrics as M
+from .graph import numbered
 from .prep import assign_folds, fit_prep, transform
 
 CLASSIFIERS = ("baseline", "logistic", "naive_bayes", "decision_tree", "random_forest", "gbt", "linear_svc", "mlp")
@@ -68,41 +71,73 @@ def estimator(name: str, task: str, n_features: int, n_classes: int = 2, params:
     raise ValueError(f"unknown model {name} for {task}")
 
 
+LOCAL_CLASSES = 1000  # so many are kept as a local table
+FITS_AT_ONCE = 4  # models fitted side by side
+
+
 def class_codes(df: DataFrame, target: str) -> DataFrame:
-    """(value, label): the classes in order, numbered from 0. One row per class, however many."""
+    """(value, label): the classes in order, numbered from 0. One row per class, however many:
+    a few are a local table, many are numbered by range partitions."""
     values = df.where(q(target).isNotNull()).select(q(target).cast("string").alias("value")).distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("double").alias("label"))
+    found = values.limit(LOCAL_CLASSES + 1).collect()
+    if len(found) > LOCAL_CLASSES:
+        return numbered(values, ["value"], "label").select("value", F.col("label").cast("double").alias("label"))
+    return df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(sorted(r["value"] for r in found))], "value string, label double")
 
 
 def _labelled(df: DataFrame, target: str, task: str, codes: DataFrame | None) -> DataFrame:
-    """``df`` with ``label``; null where the target is null or of a class that training has not seen."""
+    """``df`` with ``label`` (a column of that name gives way); null where the target is null or of
+    a class that ``codes`` does not know."""
     if task != "classification":
         return df.withColumn("label", q(target).cast("double"))
-    return df.withColumn("__value", q(target).cast("string")).join(codes.withColumnRenamed("value", "__known"), F.col("__value") == F.col("__known"), "left").drop("__value", "__known")
+    known = codes.select(F.col("value").alias("__known"), F.col("label").alias("__label"))
+    out = df.withColumn("__value", q(target).cast("string")).drop("label")
+    return out.join(known, F.col("__value") == F.col("__known"), "left").withColumnRenamed("__label", "label").drop("__value", "__known")
+
+
+def complete(df: DataFrame, features: list[str]):
+    """Whether no feature of a row is missing."""
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & q(f).isNotNull()
+        if not isinstance(df.schema[f].dataType, VectorUDT):
+            whole = whole & ~F.isnan(q(f).cast("double"))
+    return whole
 
 
 def fit_predict(train: DataFrame, test: DataFrame, features: list[str], target: str, name: str,
-                task: str = "classification", params: dict | None = None, key: str | None = None) -> DataFrame:
+                task: str = "classification", params: dict | None = None, key: str | None = None,
+                codes: DataFrame | None = None) -> DataFrame:
     """Fit on train, predict test: (key, label, prediction[, probability]).
 
     Training leaves out rows without a target or with a gap in a feature. Every test row
-    has a row in the result; where a feature is null the prediction is null."""
+    has a row in the result; where a feature is null the prediction is null. ``codes`` are the
+    classes if they are known already. ``params["class_weight"] = "balanced"`` weights the
+    training rows of a class by n / (classes * rows of the class) (PRE-09)."""
     params = dict(params or {})
-    codes = class_codes(train, target).persist() if task == "classification" else None
+    if task == "classification" and codes is None:
+        codes = class_codes(train, target)
     n_classes = codes.count() if codes is not None else 0
-    whole = F.lit(True)
-    for f in features:
-        whole = whole & q(f).isNotNull() & ~F.isnan(q(f).cast("double"))
-    va = VectorAssembler(inputCols=features, outputCol="features")
-    te = _labelled(test, target, task, codes)
-    tr = _labelled(train, target, task, codes).where(F.col("label").isNotNull())
+    own = [f"__f{i}" for i in range(len(features))]  # no name of the table meets one of ours
+
+    def narrow(df):
+        return df.select(*([q(key)] if key else []), *[q(f).alias(o) for f, o in zip(features, own)], q(target).alias("__target"))
+
+    te = _labelled(narrow(test), "__target", task, codes)
+    tr = _labelled(narrow(train), "__target", task, codes).where(F.col("label").isNotNull())
     keep = [*([key] if key else []), "label"]
     if name == "baseline":  # MDL-01
         guess = (tr.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"] if task == "classification"
                  else tr.agg(F.avg("label")).first()[0])
         return te.select(*keep, F.lit(float(guess)).alias("prediction"))
+    whole = complete(te, own)
+    va = VectorAssembler(inputCols=own, outputCol="features")
     tr = va.transform(tr.where(whole))
     est = estimator(name, task, len(features), n_classes, params)
+    if params.get("class_weight") == "balanced":
+        per = {r["label"]: r["count"] for r in tr.groupBy("label").count().collect()}
+        weights = F.create_map(*[F.lit(x) for c, n in per.items() for x in (c, sum(per.values()) / (len(per) * n))])
+        tr, est = tr.withColumn("__weight", F.element_at(weights, F.col("label"))), est.setWeightCol("__weight")
     if name == "logistic" and "reg" not in params:  # a sum of losses there, a mean here
         est = est.setRegParam(1.0 / (float(params.get("C", 1.0)) * max(tr.count(), 1)))
     elif name in ("ridge", "elastic_net"):
@@ -133,25 +168,35 @@ def cross_validate(df: DataFrame, features: list[str], target: str, models: list
     with one grouped count and one grouped rank-AUC."""
     spark = df.sparkSession
     folded = assign_folds(df, key, k, seed, target if (stratify and task == "classification") else None).persist()
-    rows, preds = [], []
-    for name in models:
-        for f in range(k):
-            tr, te = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
-            try:
-                if plan:
-                    st = fit_prep(tr, plan, key)
-                    tr, te = transform(st, tr), transform(st, te)
-                p = fit_predict(tr, te, features, target, name, task, key=key)
-                cols = ["label", "prediction"] + (["p1"] if "p1" in p.columns else [])
-                preds.append(p.select(F.lit(name).alias("model"), F.lit(f).alias("fold"), *cols)
-                             .withColumn("p1", F.col("p1") if "p1" in cols else F.lit(None).cast("double")))
-            except Exception as e:  # noqa: BLE001 - one failing model must not end the run
-                rows.append((name, f, "error:" + type(e).__name__, None))
+    codes = class_codes(folded, target) if task == "classification" else None
+
+    def parts(f):
+        tr, te = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
+        if plan:
+            st = fit_prep(tr, plan, key)
+            tr, te = transform(st, tr), transform(st, te)
+        return tr, te
+
+    def fitted(job):
+        name, f = job
+        try:
+            p = fit_predict(*sides[f], features, target, name, task, key=key, codes=codes)
+            p1 = F.col("p1") if "p1" in p.columns else F.lit(None).cast("double")
+            # scored here, so that a failure while predicting is this model's own
+            return cut_lineage(p.select(F.lit(name).alias("model"), F.lit(f).alias("fold"), "label", "prediction", p1.alias("p1")))
+        except Exception as e:  # noqa: BLE001 - one failing model must not end the run
+            return type(e).__name__
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        sides = list(pool.map(parts, range(k)))
+        jobs = [(name, f) for name in models for f in range(k)]
+        done = list(zip(jobs, pool.map(fitted, jobs)))
+    rows = [(name, f, "error:" + p, None) for (name, f), p in done if isinstance(p, str)]
+    preds = [p for _, p in done if not isinstance(p, str)]
     if preds:
         allp = preds[0]
         for p in preds[1:]:
             allp = allp.unionByName(p)
-        allp = allp.persist()
         if task == "classification":
             for (name, f), mm in grouped_metrics(allp).items():
                 rows += [(name, int(f), m, float(v)) for m, v in mm.items()]
@@ -167,7 +212,6 @@ def cross_validate(df: DataFrame, features: list[str], target: str, models: list
                 rows += [(r["model"], int(r["fold"]), "r2", float(1 - r["mse"] / r["vy"]) if r["vy"] else None),
                          (r["model"], int(r["fold"]), "rmse", float(r["mse"] ** 0.5)),
                          (r["model"], int(r["fold"]), "mae", float(r["mae"]))]
-        allp.unpersist()
     folded.unpersist()
     return spark.createDataFrame(rows, "model string, fold int, metric string, value double")
 
@@ -209,27 +253,24 @@ def stacking(df: DataFrame, features: list[str], target: str, key: str, base: li
     """MDL-14: out-of-fold base-model probabilities (binary) feed a logistic
     meta-model; returns the meta-model's OOF predictions."""
     folded = assign_folds(df, key, k, seed, target).persist()
-    oof = None
-    for name in base:
-        parts = []
-        for f in range(k):
-            p = fit_predict(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), features, target,
-                            name, key=key)
-            parts.append(p.select(key, "label", F.col("p1").alias(f"p_{name}")))
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        oof = u if oof is None else oof.join(u.drop("label"), key)
-    meta = oof.join(folded.select(key, "fold"), key).persist()  # else every meta fit runs all base models again
-    cols = [f"p_{n}" for n in base]
-    out = []
+    codes = class_codes(folded, target)
+
+    def fold_of(name, f):
+        p = fit_predict(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), features, target, name, key=key, codes=codes)
+        return p.select(key, F.lit(f).alias("fold"), F.col("label").alias("__y"), F.lit(name).alias("model"), "p1")
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        parts = list(pool.map(lambda job: fold_of(*job), [(name, f) for name in base for f in range(k)]))
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    wide = long.groupBy(key, "fold").agg(F.max("__y").cast("string").alias("__t"), *[F.max(F.when(F.col("model") == n, F.col("p1"))).alias(f"p_{n}") for n in base])
+    meta = cut_lineage(wide)  # else every meta fit runs all base models again
+    folded.unpersist()
+    res = None
     for f in range(k):
-        out.append(fit_predict(meta.where(F.col("fold") != f).withColumn("__t", F.col("label").cast("string")),
-                               meta.where(F.col("fold") == f).withColumn("__t", F.col("label").cast("string")),
-                               cols, "__t", "logistic", key=key))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
+        o = fit_predict(meta.where(F.col("fold") != f), meta.where(F.col("fold") == f), [f"p_{n}" for n in base], "__t", "logistic", key=key)
+        res = o if res is None else res.unionByName(o)
     return res
 
 
@@ -240,13 +281,19 @@ def bagging(train: DataFrame, test: DataFrame, features: list[str], target: str,
     if key is None:
         raise ValueError("bagging needs a row key")
     chances = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(i + 1)) for i in range(10)]
-    preds = None
-    train, test = train.persist(), test.persist()  # read once a copy
-    for i in range(n):
+    train, test = cut_lineage(train), cut_lineage(test)  # read once a copy
+    codes = class_codes(train, target)
+
+    def one(i):
         copies = sum((uniform(seed + i, q(key)) >= c).cast("int") for c in chances)
         boot = train.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies))).where("__copy > 0").drop("__copy")
-        p = fit_predict(boot, test, features, target, name, key=key).select(key, F.lit(i).alias("model"), "prediction")
-        preds = p if preds is None else preds.unionByName(p)
+        return fit_predict(boot, test, features, target, name, key=key, codes=codes).select(key, F.lit(i).alias("model"), "prediction")
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        parts = list(pool.map(one, range(n)))
+    preds = parts[0]
+    for p in parts[1:]:
+        preds = preds.unionByName(p)
     return vote(preds.where(F.col("prediction").isNotNull()), key)
 
 

@@ -26,7 +26,7 @@ def q_logreg_cv(spark, sf):
 @register("model_compare_cv")
 def q_compare(spark, sf):
     cv = D.cross_validate(order_features(spark, sf), FEATS, "urgent",
-                          ["baseline", "logistic", "naive_bayes", "decision_tree", "random_forest"], "o_orderkey", 3,
+                          ["baseline", "logistic", "naive_bayes", "decision_tree", "random_forest"], "o_orderkey",
                           plan=SCALE)
     return rounded(D.rank_models(M.fold_summary(cv), "accuracy"))
 
@@ -34,7 +34,7 @@ def q_compare(spark, sf):
 @register("model_multiclass_cv")
 def q_multi(spark, sf):
     cv = D.cross_validate(order_features(spark, sf), FEATS, "o_orderstatus", ["logistic", "naive_bayes", "decision_tree"],
-                          "o_orderkey", 3, plan=SCALE)
+                          "o_orderkey", plan=SCALE)
     return rounded(M.fold_summary(cv))
 
 
@@ -50,7 +50,7 @@ def q_boost(spark, sf):
 def q_reg(spark, sf):
     feats = ["c_acctbal", "n_lines", "avg_discount", "avg_quantity"]
     cv = D.cross_validate(order_features(spark, sf), feats, "o_totalprice",
-                          ["baseline", "linear", "ridge", "lasso", "gbt", "random_forest"], "o_orderkey", 3,
+                          ["baseline", "linear", "ridge", "lasso", "gbt", "random_forest"], "o_orderkey",
                           task="regression")
     return rounded(M.fold_summary(cv))
 
@@ -90,7 +90,7 @@ def q_soft(spark, sf):
 
 @register("model_stacking")
 def q_stack(spark, sf):
-    return rounded(D.stacking(order_features(spark, sf), FEATS, "urgent", "o_orderkey", ["logistic", "naive_bayes"], 3))
+    return rounded(D.stacking(order_features(spark, sf), FEATS, "urgent", "o_orderkey", ["logistic", "naive_bayes"]))
 
 
 @register("model_bagging")
@@ -119,24 +119,24 @@ XS = [f"x{i}" for i in range(DIMS)]
 
 @register("cluster_kmeans_elbow")
 def q_elbow(spark, sf):
-    return rounded(K.elbow(vectors(spark, sf), XS, range(2, 11)))
+    return rounded(K.elbow(points(spark, sf), ["embedding"], range(2, 11)))
 
 
 @register("cluster_kmeans_sizes")
 def q_kmeans(spark, sf):
-    _, a = K.fit_clusters(vectors(spark, sf), XS, "kmeans", 10)
+    _, a = K.fit_clusters(points(spark, sf), ["embedding"], "kmeans", 10)
     return K.cluster_sizes(a)
 
 
 @register("cluster_bisecting_sizes")
 def q_bisect(spark, sf):
-    _, a = K.fit_clusters(vectors(spark, sf), XS, "bisecting", 5)
+    _, a = K.fit_clusters(points(spark, sf), ["embedding"], "bisecting", 5)
     return K.cluster_sizes(a)
 
 
 @register("cluster_gmm_sizes")
 def q_gmm(spark, sf):
-    _, a = K.fit_clusters(vectors(spark, sf), XS, "gmm", 3)
+    _, a = K.fit_clusters(points(spark, sf), ["embedding"], "gmm", 3)
     return K.cluster_sizes(a)
 
 
@@ -166,8 +166,8 @@ def q_scores(spark, sf):
 
 @register("cluster_silhouette_kmeans")
 def q_sil(spark, sf):
-    _, a = K.fit_clusters(vectors(spark, sf), XS, "kmeans", 10)
-    return spark.createDataFrame([(K.silhouette(a, XS),)], "silhouette double")
+    _, a = K.fit_clusters(points(spark, sf), ["embedding"], "kmeans", 10)
+    return spark.createDataFrame([(K.silhouette(a, ["embedding"]),)], "silhouette double")
 
 
 @register("cluster_pca_view")
