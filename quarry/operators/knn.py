@@ -18,6 +18,8 @@ Any true neighbour lies within r, hence in a routed leaf: the result is exact.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import md5key, q
+from ..session import cut_lineage
 
 SAMPLE = 20_000
 MAX_SAMPLE = 200_000  # points the leaf boundaries are fitted on, at most
@@ -128,7 +131,7 @@ def knn_join(left: DataFrame, lkey: str, right: DataFrame, rkey: str, features:
     cs = [f"__c{i}" for i in range(len(carry))]
     whole = ~F.exists("__x", lambda v: v.isNull())
     groups = (right.select(q(rkey).alias("__rk"), x.alias("__x"), *[q(c).alias(n) for c, n in zip(carry, cs)])
-              .where(whole).groupBy("__x", *cs).agg(F.min("__rk").alias("__rk"), F.count(F.lit(1)).alias("__m"))).persist()
+              .where(whole).groupBy("__x", *cs).agg(F.min("__rk").alias("__rk"), F.count(F.lit(1)).alias("__m"))).transform(cut_lineage)
     ctypes = [right.schema[c].dataType.simpleString() for c in carry]
     n_groups = groups.count()
     wanted = min(MAX_SAMPLE, max(SAMPLE, 8 * n_groups // leaf_rows))  # several sampled points a leaf
@@ -158,7 +161,7 @@ def knn_join(left: DataFrame, lkey: str, right: DataFrame, rkey: str, features:
         a, b, c, m = _nearest(_coords(qp), qp["__lk"].to_numpy(), _coords(rp),
                               rp["__rk"].to_numpy(), rp["__m"].to_numpy(), k)
         return pd.DataFrame({"__lk": a, "__rk": b, "distance": c, "multiplicity": m})
-    r1 = ql.groupBy("__leaf").cogroup(gl.groupBy("__leaf")).applyInPandas(round1, schema).persist()
+    r1 = ql.groupBy("__leaf").cogroup(gl.groupBy("__leaf")).applyInPandas(round1, schema).transform(cut_lineage)
     # current k-th distance per query (inf when its own leaf holds fewer than k points)
     w = Window.partitionBy("__lk").orderBy("distance", "__rk")
     kth = (r1.withColumn("__c", F.sum("multiplicity").over(w))
@@ -236,6 +239,52 @@ def knn_impute(train: DataFrame, df: DataFrame, features: list[str], column: str
     return out.withColumn(column, F.coalesce(q(column), F.col("__fill"), F.lit(mean))).drop("__fill")
 
 
+def knn_impute_block(train: DataFrame, df: DataFrame, columns: list[str], key: str, k: int = 5) -> DataFrame:
+    """PRE-01: every missing value of the numeric block ``columns`` becomes the mean over the k
+    nearest rows of ``train`` that have it, by nan-Euclidean distance: over the coordinates
+    that both rows have, squared sum times (columns / coordinates). Ties go to the smaller key.
+    A value without such a row (no coordinate in common, or nobody has it) becomes the train
+    mean, null if there is none.
+
+    Rows are grouped by the pattern of their gaps, as are training rows. Between two patterns the
+    distance is a plain Euclidean one over fixed coordinates, so one exact kNN join answers all
+    their values at once; a value's answers from the patterns are cut to the k nearest."""
+    from .models import FITS_AT_ONCE
+
+    bits = lambda d: sum((F.when(F.isnan(q(c).cast("double")) | q(c).isNull(), 0).otherwise(1 << i) for i, c in enumerate(columns)), F.lit(0))
+    known = cut_lineage(train.select(q(key).alias("__tk"), *[F.nanvl(q(c).cast("double"), F.lit(None)).alias(f"__v{i}") for i, c in enumerate(columns)], bits(train).alias("__has")))
+    asked = cut_lineage(df.select(q(key).alias("__q"), *[F.nanvl(q(c).cast("double"), F.lit(None)).alias(f"__v{i}") for i, c in enumerate(columns)], bits(df).alias("__has")))
+    patterns = lambda d: sorted(r[0] for r in d.select("__has").distinct().collect())  # noqa: E731 - at most one per combination of gaps
+    full = (1 << len(columns)) - 1
+    donors = patterns(known)
+    pairs = [(p, m) for p in patterns(asked) if p != full for m in donors if p & m and m & ~p]
+
+    def near(pair):
+        p, m = pair
+        both = [i for i in range(len(columns)) if (p & m) >> i & 1]
+        wanted = [i for i in range(len(columns)) if m >> i & 1 and not p >> i & 1]
+        nn = knn_join(asked.where(F.col("__has") == p), "__q", known.where(F.col("__has") == m), "__tk", [f"__v{i}" for i in both], k, carry=[f"__v{i}" for i in wanted])
+        far = F.col("distance") * (len(columns) / len(both)) ** 0.5
+        value = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"__v{i}").alias("value")) for i in wanted])).alias("c")
+        return cut_lineage(nn.select("__q", "__tk", far.alias("distance"), "multiplicity", value).select("__q", "__tk", "distance", "multiplicity", "c.column", "c.value"))
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        found = list(pool.map(near, pairs))
+    means = known.agg(*[F.avg(f"__v{i}").alias(f"m{i}") for i in range(len(columns))]).first()
+    out = df
+    if found:
+        answers = found[0]
+        for f in found[1:]:
+            answers = answers.unionByName(f)
+        w = Window.partitionBy("__q", "column").orderBy("distance", "__tk")  # k rows a pattern
+        answers = answers.withColumn("before", F.sum("multiplicity").over(w) - F.col("multiplicity")).where(F.col("before") < k)
+        share = F.least(F.col("multiplicity"), k - F.col("before"))
+        fill = answers.groupBy("__q").agg(*[(F.sum(F.when(F.col("column") == i, share * F.col("value"))) / F.sum(F.when(F.col("column") == i, share))).alias(f"__f{i}") for i in range(len(columns))])
+        out = df.join(fill, q(key) == F.col("__q"), "left")
+    filled = {c: F.coalesce(F.nanvl(q(c).cast("double"), F.lit(None)), *([F.col(f"__f{i}")] if found else []), F.lit(means[f"m{i}"]).cast("double")) for i, c in enumerate(columns)}
+    return out.select(*[filled[c].alias(c) if c in filled else q(c) for c in df.columns])
+
+
 def smote(df: DataFrame, features: list[str], label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """PRE-11: synthetic minority rows x + u (neighbour - x) inside each
     minority class until it matches the largest class; neighbour and u come

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric_type, q, uniform
@@ -415,7 +416,6 @@ def mutual_info(df: DataFrame, features: list[str], target: str, bins: int = 10)
     for p in parts[1:]:
         u = u.unionByName(p)
     j = u.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("nxy"))
-    from pyspark.sql import Window
     w_f, w_x, w_y = (Window.partitionBy("feature"), Window.partitionBy("feature", "x"),
                      Window.partitionBy("feature", "y"))
     j = (j.withColumn("n", F.sum("nxy").over(w_f)).withColumn("nx", F.sum("nxy").over(w_x))
@@ -432,34 +432,28 @@ def word_tokens(text):
 
 
 def word_ngrams(df: DataFrame, key: str, text: str, n_max: int = 2, keep: list[str] | tuple = ()) -> DataFrame:
-    """(key, term[, keep...]) for every 1..n_max-gram occurrence of the whole text."""
+    """(key, term[, keep...]) for every 1..n_max-gram occurrence of the whole text, tokenised once."""
     toks = df.select(q(key).alias("doc"), *[q(c) for c in keep], word_tokens(q(text)).alias("t"))
-    parts = []
-    for n in range(1, n_max + 1):
-        grams = F.transform(F.sequence(F.lit(0), F.size("t") - n),
-                            lambda i: F.array_join(F.slice("t", i + 1, n), " "))
-        parts.append(toks.where(F.size("t") >= n).select("doc", *keep, F.explode(grams).alias("term")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def grams(n):
+        joined = F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.array_join(F.slice("t", i + 1, n), " "))
+        return F.when(F.size("t") >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return toks.select("doc", *keep, F.explode(F.concat(*[grams(n) for n in range(1, n_max + 1)])).alias("term"))
 
 
 def char_wb_ngrams(df: DataFrame, key: str, text: str, n_min: int = 3, n_max: int = 5) -> DataFrame:
-    """(key, term) for char n-grams inside space-padded words; a padded word
-    not longer than n yields itself once for that n."""
+    """(key, term) for char n-grams inside space-padded words; a padded word no longer than n
+    yields itself once, at the first such n, and nothing for larger ones."""
     words = df.select(q(key).alias("doc"), F.explode(F.split(F.trim(F.lower(F.coalesce(q(text), F.lit("")))),
                                                              r"\s+")).alias("w")).where(F.length("w") > 0)
     padded = words.select("doc", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
-    parts = []
-    for n in range(n_min, n_max + 1):
-        offs = F.sequence(F.lit(0), F.greatest(F.length("w") - n, F.lit(0)))
-        parts.append(padded.select("doc", F.explode(F.transform(offs, lambda o: F.substring(F.col("w"), o + 1, n)))
-                                   .alias("term")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def grams(n):
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length("w") - n, F.lit(0))), lambda o: F.substring(F.col("w"), o + 1, n))
+        return cut if n == n_min else F.when(F.length("w") >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    return padded.select("doc", F.explode(F.concat(*[grams(n) for n in range(n_min, n_max + 1)])).alias("term"))
 
 
 def term_counts(terms: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
@@ -479,20 +473,30 @@ def tfidf_transform(tf: DataFrame, idf: DataFrame) -> DataFrame:
     """(doc, term, weight): sublinear tf 1 + ln(tf) times idf, L2-normalised
     per document; terms unseen at fit time are dropped."""
     w = tf.join(idf, "term").select("doc", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))  # a document's distinct terms
+    return w.select("doc", "term", (F.col("w") / norm).alias("weight"))
 
 
 def pca(train: DataFrame, features: list[str], k: int | float = 2, scale: bool = False):
     """PRE-12: centred (optionally standardised) PCA fitted on TRAIN; k < 1 =
     smallest number of components reaching that explained-variance share.
     Returns (model state, transform function)."""
-    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
     st = _stage_stats(train, {f: {"mean", "sd"} for f in features})
-    cols = [((_num(f) - F.lit(st[f]["mean"])) / F.lit(st[f]["sd"] if scale and st[f]["sd"] else 1.0)).alias(f)
-            for f in features]
-    va = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip")
-    full = PCA(k=len(features), inputCol="__x", outputCol="__pc").fit(va.transform(train.select(*cols)))
+    numbers = lambda values: F.lit(np.array(list(values), float))  # noqa: E731 - one array literal
+    centre = numbers(st[f]["mean"] for f in features)
+    spread = numbers(st[f]["sd"] if scale and st[f]["sd"] else 1.0 for f in features)
+
+    def scaled(df):
+        """The standardised coordinates as one array, null where one is missing."""
+        x = F.array(*[_num(f) for f in features])
+        z = F.zip_with(F.zip_with(x, centre, lambda v, m: v - m), spread, lambda v, sd: v / sd)
+        return F.when(~F.exists(x, lambda v: v.isNull() | F.isnan(v)), z)
+
+    # components come from complete rows; other rows get null coordinates
+    whole = train.select(scaled(train).alias("__z")).where("__z is not null").select(array_to_vector("__z").alias("__x"))
+    full = PCA(k=len(features), inputCol="__x", outputCol="__pc").fit(whole)
     ev = list(full.explainedVariance)
     if k < 1:
         acc, n = 0.0, 0
@@ -506,14 +510,7 @@ def pca(train: DataFrame, features: list[str], k: int | float = 2, scale: bool =
     comps = full.pc.toArray()[:, :n]
 
     def apply(df: DataFrame) -> DataFrame:
-        z = [((_num(f) - F.lit(st[f]["mean"])) / F.lit(st[f]["sd"] if scale and st[f]["sd"] else 1.0))
-             for f in features]
-        pcs = []
-        for j in range(n):
-            e = F.lit(0.0)
-            for i, zi in enumerate(z):
-                e = e + zi * F.lit(float(comps[i, j]))
-            pcs.append(e.alias(f"pc{j + 1}"))
         rest = [q(c) for c in df.columns if c not in features]
-        return df.select(*rest, *pcs)
+        part = lambda j: F.aggregate(F.zip_with("__z", numbers(comps[:, j]), lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
+        return df.select(*rest, scaled(df).alias("__z")).select(*rest, *[part(j).alias(f"pc{j + 1}") for j in range(n)])
     return {"components": n, "explained_variance": ev[:n]}, apply

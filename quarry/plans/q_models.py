@@ -172,7 +172,7 @@ def q_sil(spark, sf):
 
 @register("cluster_pca_view")
 def q_pca_view(spark, sf):
-    return rounded(K.pca_view(vectors(spark, sf), XS, "vec_id", 2000))
+    return K.pca_view(vectors(spark, sf), XS, "vec_id", 2000)
 
 
 # ---- explanations and model utilities ---------------------------------------------------------

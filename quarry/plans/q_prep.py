@@ -215,14 +215,39 @@ def q_tfidf(spark, sf):
     return rounded(R.tfidf_transform(tf.drop("__split__"), idf))
 
 
-@register("prep_tfidf_char_wb")
+CHAR_WB_SQL = """
+with w as (select item_id as doc, unnest(string_split_regex(trim(lower(coalesce(text, ''))), '[ \\t\\n\\x0B\\f\\r]+')) as w from benchmark),
+p as (select doc, ' ' || w || ' ' as w from w where len(w) > 0),
+u as (select doc, unnest(list_transform(range(greatest(len(w) - n, 0) + 1), lambda o: substr(w, o + 1, n))) as term
+      from p, (select unnest([3, 4, 5]) as n) where len(w) >= n or n = 3),
+tf as (select doc, term, count(*) as tf from u group by all),
+idf as (select term, ln((1.0 + (select count(*) from benchmark)) / (1.0 + count(*))) + 1 as idf from tf group by term),
+w2 as (select doc, term, (1 + ln(tf)) * idf as w from tf join idf using (term))
+select doc, term, w / sqrt(sum(w * w) over (partition by doc)) as weight from w2"""
+
+
+@register("prep_tfidf_char_wb", sql_rounded(CHAR_WB_SQL, ["weight"]))
 def q_tfidf_char(spark, sf):
     docs = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     tf = R.term_counts(R.char_wb_ngrams(docs, "doc_id", "text", 3, 5))
     return rounded(R.tfidf_transform(tf, R.tfidf_fit(tf, docs.count())))
 
 
-@register("prep_mutual_info")
+MI_BINS = 10
+
+
+def _mi_sql(features):
+    probs = ", ".join(str(i / MI_BINS) for i in range(1, MI_BINS))
+    long = " union all ".join(f"select '{f}' as feature, cast({f} as double) as v, l_returnflag as y from lineitem where {f} is not null and l_returnflag is not null" for f in features)
+    return f"""with v as ({long}),
+cuts as (select feature, unnest(quantile_cont(v, [{probs}])) as cut from v group by feature),
+x as (select v.feature, v.v, v.y, (select count(*) from cuts c where c.feature = v.feature and v.v > c.cut) as x from v),
+j as (select feature, x, y, count(*) as nxy from x group by all),
+m as (select *, sum(nxy) over (partition by feature) as n, sum(nxy) over (partition by feature, x) as nx, sum(nxy) over (partition by feature, y) as ny from j)
+select feature, sum(nxy / n * ln(nxy * n / (nx * ny))) as mi from m group by feature"""
+
+
+@register("prep_mutual_info", sql_rounded(_mi_sql(FEATS), ["mi"]))
 def q_mi(spark, sf):
     return rounded(R.mutual_info(read_table(spark, sf, "lineitem"), FEATS, "l_returnflag"))
 
@@ -232,4 +257,66 @@ def q_pca(spark, sf):
     from .fixtures import DIMS, vectors
     v = vectors(spark, sf)
     _, apply = R.pca(v, [f"x{i}" for i in range(DIMS)], 0.9, scale=True)
-    return rounded(apply(v))
+    return apply(v)
+
+
+NUMBERS = ["n_chars", "n_words"]
+
+
+def _text_rows(spark, sf):
+    """documents with two numbers beside the text."""
+    from ..functions.text import word_count
+    return read_table(spark, sf, "documents").select("doc_id", "lang", "text", "n_chars", word_count(F.col("text")).alias("n_words"))
+
+
+@register("prep_assemble_blocks", sql_rounded(f"""
+with d as (select doc_id, n_chars, regexp_extract_all(lower(coalesce(text, '')), '({TOK})', 1) as t,
+  len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) as n_words,
+  row_number() over (order by {MD5.format(k='doc_id')}) <= round_even(count(*) over () * 0.2, 0) as test from documents),
+tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from d) group by all),
+idf as (select term, ln((1.0 + (select count(*) from d where not test)) / (1.0 + count(*))) + 1 as idf,
+  row_number() over (order by term) + 1 as place
+  from tf join d using (doc_id) where not test group by term),
+w as (select doc_id, place, (1 + ln(tf)) * idf as w from tf join idf using (term)),
+u as (select doc_id, place, w / sqrt(sum(w * w) over (partition by doc_id)) as w from w),
+g as (select doc_id, count(*) as n, sum(w * w) as sq, sum(w * place) as dot, min(place) as first from u group by doc_id)
+select d.doc_id, (select count(*) from idf) + 2 as size, coalesce(g.n, 0) + (n_chars <> 0)::int + (n_words <> 0)::int as entries,
+  coalesce(sq, 0) + n_chars * n_chars + n_words * n_words as squares, coalesce(dot, 0) + n_words as dot,
+  case when n_chars <> 0 then 0 when n_words <> 0 then 1 else first end as first_index
+from d left join g using (doc_id)""", ["squares", "dot"]))
+def q_assemble(spark, sf):
+    """Two numbers and a TF-IDF block fitted on training documents as one sparse vector: its
+    size, entries, squared length and its product with (0, 1, 2, ...)."""
+    from ..operators.assemble import TextBlock, assemble, stored_entries
+    docs = _text_rows(spark, sf)
+    train = docs.join(R.split(docs.select("doc_id"), "doc_id", 0.2, 42).where(F.col("__split__") == "train"), "doc_id", "left_semi")
+    v = stored_entries(assemble(docs.drop("lang"), "doc_id", NUMBERS, [TextBlock(train, "doc_id", "text", n_max=1)]).select("doc_id", "features"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return rounded(v.select("doc_id", F.col("size").cast("long").alias("size"), F.size("indices").cast("long").alias("entries"), total(F.transform("values", lambda x: x * x)).alias("squares"),
+                            total(F.zip_with("indices", "values", lambda i, x: i * x)).alias("dot"), F.col("indices")[0].cast("long").alias("first_index")))
+
+
+GAPS = ["a", "b", "c", "p"]
+GAPS_SQL = """select p_partkey as k, case when p_partkey % 7 = 0 then null else avg(l_quantity) end as a,
+  case when p_partkey % 5 = 0 then null else 100 * avg(l_discount) end as b, 100 * avg(l_tax) as c, any_value(p_retailprice) / 100 as p
+from lineitem join part on l_partkey = p_partkey group by p_partkey"""
+
+
+@register("prep_knn_impute_block", sql_rounded(f"""
+with g as ({GAPS_SQL}),
+cells as (select k, 'a' as col from g where a is null union all select k, 'b' from g where b is null),
+far as (select cells.k, cells.col, t.k as donor, case cells.col when 'a' then t.a else t.b end as v,
+  sqrt(4.0 / (2 + (x.a is not null and t.a is not null)::int + (x.b is not null and t.b is not null)::int) *
+    (coalesce(power(x.a - t.a, 2), 0) + coalesce(power(x.b - t.b, 2), 0) + power(x.c - t.c, 2) + power(x.p - t.p, 2))) as d
+  from cells join g x using (k) join g t on (case cells.col when 'a' then t.a else t.b end) is not null),
+top as (select *, row_number() over (partition by k, col order by d, donor) as r from far),
+fill as (select k, avg(v) filter (where col = 'a') as fa, avg(v) filter (where col = 'b') as fb from top where r <= 5 group by k)
+select g.k, coalesce(a, fa) as a, coalesce(b, fb) as b, c, p from g left join fill using (k)""", ["a", "b", "c", "p"]))
+def q_knn_block(spark, sf):
+    """Gaps in two of four columns, rows with both included, filled by nan-Euclidean neighbours."""
+    from ..operators.knn import knn_impute_block
+    li, part = read_table(spark, sf, "lineitem"), read_table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    g = li.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_quantity").alias("a"), (100 * F.avg("l_discount")).alias("b"), (100 * F.avg("l_tax")).alias("c")).join(part, "p_partkey")
+    k = F.col("p_partkey")
+    g = g.select(k.alias("k"), F.when(k % 7 != 0, F.col("a")).alias("a"), F.when(k % 5 != 0, F.col("b")).alias("b"), "c", (F.col("p_retailprice") / 100).alias("p"))
+    return rounded(knn_impute_block(g, g, GAPS, "k", 5))
