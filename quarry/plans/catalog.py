@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["q_profile", "q_quality", "q_clean", "q_stats", "q_biblio", "q_eval", "q_prep", "q_models", "q_cluster", "q_io", "q_misc"]
+MODULES = ["q_profile", "q_quality", "q_clean", "q_stats", "q_biblio", "q_eval", "q_prep", "q_models", "q_cluster", "q_predict", "q_io", "q_misc"]
 
 
 def _load():
