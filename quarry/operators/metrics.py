@@ -113,6 +113,25 @@ def average_precision(df: DataFrame, label: str, score: str, positive=1) -> Data
     return j.agg(F.sum(F.col("npos") / F.col("P") * F.col("cum_npos") / F.col("cum_n")).alias("pr_auc"))
 
 
+def one_vs_rest(df: DataFrame, label: str, probabilities: dict[str, str]) -> DataFrame:
+    """EVL-03 / EVL-04 for any number of classes: (class, positives, roc_auc, pr_auc) per class
+    against the rest and the macro row (class null), the mean over the classes that have
+    both positives and negatives. ``probabilities``: class -> its column. Rows become one (class,
+    score) each, ties collapse, and one ranked pass by class serves both measures."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("class"), q(p).cast("double").alias("s"), (q(label).cast("string") == F.lit(c)).cast("long").alias("y")) for c, p in probabilities.items()])
+    long = df.where(q(label).isNotNull()).select(F.explode(pairs).alias("e")).select("e.*").where(F.col("s").isNotNull())
+    t = long.groupBy("class", "s").agg(F.count("*").alias("n"), F.sum("y").alias("npos"))
+    c = prefix_sums(t, "s", ["n", "npos"], by=["class"], descending=True)
+    tot = t.groupBy("class").agg(F.sum("n").alias("T"), F.sum("npos").alias("P"))
+    rank = F.col("T") - F.col("cum_n") + (F.col("n") + 1) / 2  # ascending average rank of the ties
+    j = c.join(F.broadcast(tot), "class").groupBy("class", "T", "P").agg(  # one row per class
+        F.sum(F.col("npos") * rank).alias("R"), F.sum(F.col("npos") * F.col("cum_npos") / F.col("cum_n")).alias("A"))
+    both = (F.col("P") > 0) & (F.col("P") < F.col("T"))
+    per = j.select("class", F.col("P").alias("positives"),
+                   F.when(both, (F.col("R") - F.col("P") * (F.col("P") + 1) / 2) / (F.col("P") * (F.col("T") - F.col("P")))).alias("roc_auc"), F.when(both, F.col("A") / F.col("P")).alias("pr_auc"))
+    return per.unionByName(per.agg(F.lit(None).cast("string").alias("class"), F.sum("positives").alias("positives"), F.avg("roc_auc").alias("roc_auc"), F.avg("pr_auc").alias("pr_auc")))
+
+
 def curve_points(df: DataFrame, label: str, score: str, positive=1, cap: int = MAX_POINTS) -> DataFrame:
     """EVL-09 + WIN-07/09: ROC (fpr, tpr) and PR (recall, precision) at every
     distinct threshold (descending), kept at <= cap evenly spaced positions."""

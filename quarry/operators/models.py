@@ -138,8 +138,8 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], target:
         per = {r["label"]: r["count"] for r in tr.groupBy("label").count().collect()}
         weights = F.create_map(*[F.lit(x) for c, n in per.items() for x in (c, sum(per.values()) / (len(per) * n))])
         tr, est = tr.withColumn("__weight", F.element_at(weights, F.col("label"))), est.setWeightCol("__weight")
-    if name == "logistic" and "reg" not in params:  # a sum of losses there, a mean here
-        est = est.setRegParam(1.0 / (float(params.get("C", 1.0)) * max(tr.count(), 1)))
+    if name in ("logistic", "linear_svc") and "reg" not in params:  # a sum of losses there, a mean here
+        (est.getClassifier() if isinstance(est, OneVsRest) else est).setRegParam(1.0 / (float(params.get("C", 1.0)) * max(tr.count(), 1)))
     elif name in ("ridge", "elastic_net"):
         # Spark divides outcomes by their standard deviation s and so the squared penalty too
         size = tr.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("s")).first()

@@ -183,6 +183,32 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
         (F.col("q_2") - F.col("q_0")).alias("iqr"), "skew", "kurtosis")
 
 
+def describe_intervals(df: DataFrame, cols: list[str], confidence: float = 0.95) -> DataFrame:
+    """AGG-03 t interval of the mean: (column, n, mean, se, ci_low, ci_high); null below two values or
+    without spread. The quantile needs n alone, one number per column."""
+    from ..functions.dist import t_ppf
+    rows = []
+    for r in numeric_moments(df, cols).select("column", "n", "mean", "std").collect():
+        se = r["std"] / r["n"] ** 0.5 if r["n"] > 1 and r["std"] else None
+        half = t_ppf(0.5 + confidence / 2, r["n"] - 1) * se if se else None
+        rows.append((r["column"], r["n"], r["mean"], se, r["mean"] - half if se else None, r["mean"] + half if se else None))
+    return df.sparkSession.createDataFrame(rows, "column string, n long, mean double, se double, ci_low double, ci_high double")
+
+
+def describe_categories(df: DataFrame, cols: list[str]) -> DataFrame:
+    """AGG-03 other columns: (column, n, missing, distinct, mode, mode_percent); the mode is the most
+    frequent value as text, ties to the smallest, its percent that of the non-missing rows."""
+    total = df.count()
+    long = unpivot(df, cols, value_type="string").where(F.col("value").isNotNull())
+    freq = long.groupBy("column", "value").agg(F.count("*").alias("c"))
+    top = freq.groupBy("column").agg(F.sum("c").alias("n"), F.count("*").alias("distinct"), F.max("c").alias("top"))
+    mode = freq.join(top, "column").where(F.col("c") == F.col("top")).groupBy("column").agg(F.min("value").alias("mode"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(top, "column", "left").join(mode, "column", "left").select(
+        "column", F.coalesce("n", F.lit(0)).alias("n"), (F.lit(total) - F.coalesce("n", F.lit(0))).alias("missing"), F.coalesce("distinct", F.lit(0)).alias("distinct"), "mode",
+        F.bround(F.col("top") * 100.0 / F.col("n"), 2).alias("mode_percent"))
+
+
 def frequencies(df: DataFrame, col: str, max_values: int = 50) -> DataFrame:
     """AGG-04 + WIN-03: value, count, percent of all rows, valid percent,
     cumulative valid percent (order: count desc, value asc), top max_values.

@@ -59,7 +59,9 @@ def prefix_sums(d: DataFrame, value: str, measures: list[str], by: list[str] | t
     wo = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*by, "__bucket", *[F.coalesce(F.sum(f"__t_{m}").over(wo), F.lit(0)).alias(f"__o_{m}")
                                         for m in measures])
-    wi = Window.partitionBy(*by, "__bucket").orderBy(ordv).rowsBetween(Window.unboundedPreceding, 0)
+    # buckets may share a double, rows do not: whole numbers above 2^53 keep their own order
+    own = F.desc(value) if descending else F.asc(value)
+    wi = Window.partitionBy(*by, "__bucket").orderBy(own).rowsBetween(Window.unboundedPreceding, 0)
     j = d.join(tot, on=[*by, "__bucket"], how="inner")
     out = j.select(*[c for c in d.columns if c not in (ordv, "__bucket")],
                    *[(F.sum(m).over(wi) + F.col(f"__o_{m}")).alias(f"cum_{m}") for m in measures])
