@@ -218,9 +218,14 @@ def q_scatter(spark, sf):
     return C.sample_rows(o, "o_orderkey", 5000, 42)
 
 
-@register("chart_kde_price")
+@register("chart_kde_price", sql_rounded(f"""
+with v as (select cast(o_totalprice as double) as v from orders where o_totalprice is not null),
+s as (select count(*) as n, stddev_samp(v) * power(count(*), -0.2) as h, min(v) as lo, max(v) as hi from v),
+b as (select floor((v - lo) / (h / {C.KDE_STEPS})) as bin, count(*) as k, avg(v) as v from v, s group by 1),
+g as (select (lo - 3 * h) + ((hi + 3 * h) - (lo - 3 * h)) * i / {C.KDE_POINTS - 1} as x from s, range({C.KDE_POINTS}) r(i))
+select x, sum(k * exp(-0.5 * power((x - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())) as density from g, b, s group by x""", ["x", "density"], 8))
 def q_kde(spark, sf):
-    return rounded(C.kde(read_table(spark, sf, "orders"), "o_totalprice", "o_orderkey"))
+    return rounded(C.kde(read_table(spark, sf, "orders"), "o_totalprice", "o_orderkey"), 8)
 
 
 @register("chart_missing_map", f"""with src as ({DIRTY_ORDERS_SQL}),

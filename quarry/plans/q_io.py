@@ -125,6 +125,9 @@ def q_crossref(spark, sf):
     return _works(P.normalise_publications(P.read_works_json(spark, path, lines=True)), "affiliations")
 
 
+PAGE_WORKS = 100
+
+
 @register("src_openalex_json", WORKS_SQL.format("list_sort(list_distinct(countries))"))
 def q_openalex(spark, sf):
     """SRC-13: list responses, countries from the authorships."""
@@ -132,7 +135,9 @@ def q_openalex(spark, sf):
     ship = F.transform("authors", lambda a, i: F.struct(F.struct(a.alias("display_name")).alias("author"), F.when(i == 0, F.col("countries")).alias("countries")))
     work = F.struct(F.col("title"), F.col("year").alias("publication_year"), F.struct(F.struct(F.col("source").alias("display_name")).alias("source")).alias("primary_location"),
                     ship.alias("authorships"), F.col("citations").alias("cited_by_count"), F.concat(F.lit("https://doi.org/"), "doi").alias("doi"), F.col("refs").alias("referenced_works"))
-    (pubs(spark, sf).groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("page")).agg(F.collect_list(work).alias("results")).select("results").write.json(path))
+    works = pubs(spark, sf)
+    pages = max(1, works.count() // PAGE_WORKS)  # so many works a page, however many there are
+    (works.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(pages)).alias("page")).agg(F.collect_list(work).alias("results")).select("results").write.json(path))
     return _works(P.normalise_publications(P.read_works_json(spark, path, lines=True)), "countries")
 
 

@@ -11,7 +11,7 @@ from ..functions.text import DATE_RE, EMAIL_RE, PHONE_RE, YEAR_RE
 from ..operators import quality as Q
 from .fixtures import CONTACTS_SQL, DIRTY_ORDERS_SQL, contacts, dirty_orders
 from .q_profile import DIRTY_COLS
-from .registry import register as _register, rounded, sql_rounded
+from .registry import ORACLES, register as _register, rounded, sql_rounded
 
 
 def register(name, sql=None):
@@ -209,13 +209,46 @@ def q_dq_personal(spark, sf):
     return rounded(Q.detect_personal_data(Q.column_facts(contacts(spark, sf))))
 
 
-@register("dq_quality_score")
+def _found(name: str) -> str:
+    """Number of findings of a check on the dirty orders."""
+    return f"(select count(*) from ({ORACLES[name]}))"
+
+
+SCORE_SQL = f"""with {DIRTY_FACTS},
+f as (select max(rows) as n, count(*) as cols, sum(nulls + blanks) as miss, count_if(n_distinct <= 1) as const from facts),
+d as (select 100.0 * (count(*) - (select count(*) from (select distinct * from src))) / greatest(count(*), 1) as dup from src),
+b as (select count_if(numeric_stored_as_text is not null or whitespace_values is not null) as broken from ({ORACLES["dq_value_issues"]})),
+p as (select least(30.0, 100.0 * miss / (n * cols) * 1.5) as m, least(20.0, round_even(dup, 2) * 1.5) as d, least(15.0, 100.0 * const / cols) as c,
+  least(20.0, 100.0 * {_found("dq_inconsistent")} / cols) as i, least(15.0, 100.0 * broken / cols) as x from f, d, b),
+s as (select round_even(greatest(0.0, 100.0 - m - d - c - i - x), 1) as score, p.* from p)
+select score, case when score >= 85 then 'good' when score >= 70 then 'fair' when score >= 50 then 'poor' else 'very poor' end as grade,
+  round_even(m, 1) as missing_points, round_even(d, 1) as duplicate_points, round_even(c, 1) as constant_points,
+  round_even(i, 1) as inconsistent_points, round_even(x, 1) as malformed_points from s"""
+
+
+@register("dq_quality_score", sql_rounded(SCORE_SQL, ["score", "missing_points", "duplicate_points", "constant_points", "inconsistent_points", "malformed_points"]))
 def q_dq_score(spark, sf):
     d = dirty_orders(spark, sf)
     facts = Q.column_facts(d)
-    return Q.quality_score(d, facts, Q.detect_duplicates(d), Q.detect_inconsistent(d), Q.detect_value_issues(facts))
-
-
-@register("dq_quality_report")
+    return rounded(Q.quality_score(d, facts, Q.detect_duplicates(d), Q.detect_inconsistent(d), Q.detect_value_issues(facts)))
+
+
+REPORT_SQL = f"""with {DIRTY_FACTS},
+found as (
+  select 'duplicate_rows' as "check", count(*) - (select count(*) from (select distinct * from src)) as findings from src
+  union all select 'missing_values', {_found("dq_missing")}
+  union all select 'outliers', {_found("dq_outliers")}
+  union all select 'constant_columns', (select count_if(n_distinct <= 1) from facts)
+  union all select 'id_columns', {_found("dq_ids")}
+  union all select 'high_cardinality', (select count(*) from facts where kind <> 'numeric' and non_null > 0 and n_distinct >= 20
+    and n_distinct / rows >= 0.5 and not {LOOKS_DATE})
+  union all select 'value_issues', {_found("dq_value_issues")}
+  union all select 'consistency_issues', {_found("dq_inconsistent")}
+  union all select 'personal_data', (select count(*) from facts where kind = 'text' and nonblank > 0
+    and greatest(emails, phones) / nonblank >= {Q.PERSONAL_MIN_SHARE}))
+select "check", findings > 0 as issues_found, cast(findings as bigint) as findings from found"""
+
+
+@register("dq_quality_report", REPORT_SQL)
 def q_dq_report(spark, sf):
     return Q.quality_report(dirty_orders(spark, sf))

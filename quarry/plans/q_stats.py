@@ -245,7 +245,19 @@ def q_cronbach(spark, sf):
     return rounded(summ.select("alpha", "standardized_alpha", "n", "mean_inter_item_r"))
 
 
-@register("stat_cronbach_items")
+def _items_sql():
+    items = ["q1", "q2", "q3", "q4"]
+    parts = []
+    for c in items:
+        rest = [o for o in items if o != c]
+        total, spread = " + ".join(rest), " + ".join(f"var_samp({o})" for o in rest)
+        parts.append(f"select '{c}' as item, {str(c == 'q4').lower()} as reversed, avg({c}) as mean, stddev_samp({c}) as sd, "
+                     f"corr({c}, {total}) as item_total_r, 1.5 * (1 - ({spread}) / var_samp({total})) as alpha_if_deleted from it")
+    return f"""with {SV}, it as (select q1, q2, q3, 1 + 5 - q4 as q4 from sv
+where q1 is not null and q2 is not null and q3 is not null and q4 is not null) {' union all '.join(parts)}"""
+
+
+@register("stat_cronbach_items", sql_rounded(_items_sql(), ["mean", "sd", "item_total_r", "alpha_if_deleted"]))
 def q_cronbach_items(spark, sf):
     _, items = S.reliability(survey(spark, sf), ["q1", "q2", "q3", "q4"], reverse=["q4"])
     return rounded(items)
