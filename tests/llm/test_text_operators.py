@@ -295,6 +295,50 @@ def test_language(spark, docs, rows, nothing):
     assert language_table(docs).count() == len(rows) and language_table(nothing).collect() == []
 
 
+def test_language_is_the_naive_bayes_one(spark):
+    """Counts, priors and posteriors worked out n-gram by n-gram in plain Python, over languages that share letters and words."""
+    from collections import Counter
+
+    from quarry.llm import language as L
+
+    rng = random.Random(11)
+    vocabulary = ["ten tan ton net not", "ten tin ton nit rot", "ten tan tin rat not"]
+    data = [(i, " ".join(rng.choice(vocabulary[i % 3].split()) for _ in range(rng.randrange(1, 9))), f"l{i % 3}") for i in range(150)]
+    data += [(500, "ten", "l0"), (501, "TEN, ton!", "l1"), (502, None, "l2"), (503, "??", "l0"), (504, "not rot " * 3000, "l1"), (505, "no label", None)]
+
+    def buckets(text):
+        text = (text or "").lower()
+        codes = [32]
+        for c in text:
+            codes += [ord(c)] if c.isalpha() else [] if codes[-1] == 32 else [32]
+        codes += [] if codes[-1] == 32 else [32]
+        out = []
+        for n in (1, 2, 3) if len(codes) > 1 else ():
+            for i in range(len(codes) - n + 1):
+                h = 0
+                for c in codes[i:i + n]:
+                    h = (h * 0x100000001B3 + c) * 0x9E3779B97F4A7C15 % 2 ** 64
+                out.append(h >> 48)
+        return Counter(out)
+
+    counts, texts = {f"l{k}": Counter() for k in range(3)}, Counter()
+    for i, t, lang in data:
+        if lang and zlib.crc32(str(i).encode()) % 5 and buckets(t):
+            counts[lang].update(buckets(t))
+            texts[lang] += 1
+    got = {r["doc_id"]: r for r in L.language_table(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)).collect()}
+    sizes = {k: sum(c.values()) + L.SMOOTHING * L.BUCKETS for k, c in counts.items()}
+    for i, t, _ in data:
+        b = buckets(t)
+        score = {k: np.log(texts[k] / sum(texts.values())) + sum(n * np.log((c[x] + L.SMOOTHING) / sizes[k]) for x, n in b.items()) for k, c in counts.items()}
+        best = max(score, key=lambda k: score[k])
+        if not b:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        share = 1 / sum(np.exp(v - score[best]) for v in score.values())
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - share) < 1e-3 * (1 + sum(b.values()) / 1000), (i, got[i], best, share)
+
+
 def test_language_learns_only_from_training_rows(spark):
     from quarry.llm.language import language_table
 
