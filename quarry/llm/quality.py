@@ -3,8 +3,8 @@ statistics and metadata.
 
 score = 1 / (1 + exp(-(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j))); the pairwise sum is
 worked out in linear time as half of sum_f (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2, in
-training and in scoring (spark.ml's factorisation machine). The features are column
-expressions over the whole text: word presence in 2^14 hashed buckets, scaled to length
+training and in scoring (spark.ml's factorisation machine). The features come from the whole
+text: word presence in 2^14 hashed buckets, scaled to length
 ``WORD_WEIGHT`` per text; structure statistics; and the metadata column n_chars (its size, whether
 it is missing, whether it differs from the text's length). Statistics and metadata are centred
 and scaled by the sample's mean and deviation and cut to +-``CUT`` deviations.
@@ -20,7 +20,10 @@ features. Repeated rows are scored each; columns beside doc_id, text, n_chars ar
 from __future__ import annotations
 
 import math
+from operator import eq
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import ElementwiseProduct, HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.classification import FMClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -28,8 +31,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-from .spans import let
+from .common import checkpointed, use_small_batches
 
 SAMPLE = 20_000  # distinct texts used for fitting at most
 BUCKETS = 1 << 14
@@ -48,35 +50,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _statistics(text: Column, words: Column, n_chars: Column) -> Column:
-    """Array of structure statistics and metadata, all in 0 to 1."""
-    size = F.greatest(F.length(text), F.lit(1)).cast("double")
+#: Characters counted together, as shares of the text.
+CLASSES = (str.isupper, str.isalpha, str.isnumeric, str.isspace, "#$%&*".__contains__, "|\\/<>{}[]".__contains__, "^~=_+@".__contains__, "!".__contains__, "?".__contains__, ".,;:".__contains__)
+_CLASS_OF: list[np.ndarray] = []
 
-    def share(chars: str) -> Column:
-        return F.sqrt((F.length(text) - F.length(F.regexp_replace(text, f"{chars}+", ""))) / size)  # small shares stand apart
 
-    def of(v):
-        n = F.greatest(F.size(v["w"]), F.lit(1)).cast("double")
-        again = F.size(F.filter(F.arrays_zip(F.slice(v["w"], F.lit(1), F.greatest(F.size(v["w"]) - 1, F.lit(0))).alias("a"), F.slice(v["w"], F.lit(2), F.size(v["w"])).alias("b")),
-                                lambda p: p["a"] == p["b"]))
-        return F.array(
-            F.size(F.array_distinct(v["w"])) / n, again / n, F.least(F.lit(1.0), size / n / 30), _scale(F.size(v["w"])),
-            F.size(F.array_distinct(v["lines"])) / F.greatest(F.size(v["lines"]), F.lit(1)).cast("double"), _scale(F.size(v["lines"])))
+def class_of() -> np.ndarray:
+    """The class of every code point: the first that holds, else one more."""
+    if not _CLASS_OF:
+        _CLASS_OF.append(np.fromiter((next((i for i, c in enumerate(CLASSES) if c(chr(p))), len(CLASSES)) for p in range(0x110000)), np.uint8, 0x110000))
+    return _CLASS_OF[0]
 
-    shares = [share(c) for c in (r"\p{Lu}", r"\p{L}", r"\p{N}", r"\s", "[#$%&*]", r"[|\\/<>{}\[\]]", "[\\^~=_+@]", "!", r"\?", "[.,;:]")]
-    meta = [_scale(F.coalesce(n_chars, F.lit(0))), n_chars.isNull().cast("double"), F.coalesce(n_chars != F.length(text), F.lit(False)).cast("double")]
-    rest = let(F.struct(words.alias("w"), F.split(text, "\n+").alias("lines")), of)
-    return F.concat(F.array(_scale(F.length(text)), *shares, *meta), rest)
 
+def scale(n: float) -> float:
+    return min(1.0, math.log1p(max(n, 0)) / math.log(1e8))
 
-def _scale(n: Column) -> Column:
-    return F.least(F.lit(1.0), F.log1p(F.greatest(n.cast("double"), F.lit(0.0))) / math.log(1e8))
+
+def text_statistics(text: str | None, n_chars: int | None) -> list[float]:
+    """Structure statistics and metadata of one text, all in 0 to 1."""
+    text = text or ""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    shares = np.sqrt(np.bincount(class_of()[codes], minlength=len(CLASSES) + 1) / max(len(codes), 1))  # small shares stand apart
+    words, lines = text.split(), text.split("\n")
+    n = max(len(words), 1)
+    return [scale(len(codes)), *shares.tolist(), scale(n_chars or 0), float(n_chars is None), float(n_chars is not None and n_chars != len(codes)),
+            len(set(words)) / n, sum(map(eq, words, words[1:])) / n, min(1.0, len(codes) / n / 30), scale(len(words)), len(set(lines)) / len(lines), scale(len(lines))]
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` (text, n_chars and others) with the array ``stats``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("stats", _statistics(text, F.array_remove(F.split(text, r"\s+"), ""), F.col("n_chars")))
+    @F.pandas_udf("array<double>")
+    def stats(text: pd.Series, n_chars: pd.Series) -> pd.Series:
+        return pd.Series([text_statistics(t, None if pd.isna(n) else int(n)) for t, n in zip(text, n_chars)])
+
+    use_small_batches(docs.sparkSession)
+    return docs.withColumn("stats", stats("text", "n_chars"))
 
 
 def features(docs: DataFrame, centre: list[float], spread: list[float]) -> DataFrame:
