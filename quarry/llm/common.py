@@ -74,6 +74,22 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def release_memory() -> None:
+    """Gives memory freed by this Python worker back: workers wait for the next stage, beside a JVM
+    that may need the room."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it keeps
+        pass
+
+
 def local_path(uri: str) -> str:
     """The path of a ``file:`` URI or a plain path."""
     return uri[len("file://"):] if uri.startswith("file://") else uri[len("file:"):] if uri.startswith("file:") else uri

@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes, use_small_batches
+from .common import release_memory, text_bytes, use_small_batches
 
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd: 2^64 over the golden ratio, and one independent of it
-BYTES = (np.arange(1, 257, dtype=np.uint64), np.random.default_rng(181).integers(0, 1 << 64, 256, np.uint64))
+BYTES = np.random.default_rng(181).integers(0, 1 << 64, 256, np.uint64)  # stand for the bytes in second names
 SEGMENT = 1 << 20  # bytes fingerprinted at once
 NAMES_IN_BUCKET = 1 << 21
 SALTS = 32
@@ -78,7 +78,9 @@ class Prefixes:
 
     def __init__(self, data: np.ndarray, kind: int = 0):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTES[kind][data] * _powers(MULTIPLIERS[kind], len(data)), out=self.sums[1:])
+        values = BYTES[data] if kind else data.astype(np.uint64) + np.uint64(1)
+        values *= _powers(MULTIPLIERS[kind], len(data))
+        np.cumsum(values, out=self.sums[1:])
         self.down = _powers(pow(MULTIPLIERS[kind], -1, 1 << 64), len(data))
 
     def names(self, at: np.ndarray, width: int) -> np.ndarray:
@@ -189,6 +191,18 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def tidy(fn):
+    """``fn`` over one group, leaving nothing in the worker that the next stage would carry."""
+    def run(key, docs, notes=None):
+        try:
+            return fn(key, docs) if notes is None else fn(key, docs, notes)
+        finally:
+            _POWERS.clear()
+            release_memory()
+
+    return (lambda key, notes: run(key, notes)) if fn.__code__.co_argcount == 2 else (lambda key, docs, notes: run(key, docs, notes))
+
+
 NOTE = "bucket long, pid long, kind int, payload binary"
 TWIN, SAMPLE, WINDOW, SECOND = 0, 1, 2, 3  # kinds of notes
 
@@ -212,16 +226,21 @@ def _read(docs: pa.Table, notes: pa.Table):
     return taking, [texts[i].as_py() for i in taking], told, twins
 
 
+def _distinct(sorted_names: np.ndarray) -> np.ndarray:
+    return sorted_names[np.concatenate([[True], sorted_names[1:] != sorted_names[:-1]])] if len(sorted_names) else sorted_names
+
+
 def _tally(arrays) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct names, sorted, and those met more than once; one array at a time."""
-    seen = twice = np.zeros(0, np.uint64)
+    """The distinct names, sorted, and those met more than once; arrays are folded one at a time."""
+    none = np.zeros(0, np.uint64)
+    seen, twice = [none], [none]
     for names in arrays:
         names = np.sort(names)
-        twice = np.union1d(twice, repeats(names))
-        names = names[np.concatenate([[True], names[1:] != names[:-1]])] if len(names) else names
-        twice = np.union1d(twice, names[among(names, seen)])
-        seen = np.union1d(seen, names) if len(seen) else names
-    return seen, twice
+        twice.append(repeats(names))
+        seen.append(_distinct(names))
+    both = np.sort(np.concatenate(seen))
+    twice.append(repeats(both))
+    return _distinct(both), np.unique(np.concatenate(twice))
 
 
 def _shift(kind: int, buckets: int) -> int:
@@ -264,9 +283,11 @@ def _send_suffixes(min_bytes: int, buckets: int):
         _, texts, told, twins = _read(docs, notes)
         chunk = Chunk(texts, min_bytes)
         repeated = _answered(_tally(x[-1] for x in chunk.sample()), told, SAMPLE, buckets)
-        first = second = np.zeros(0, np.uint64)
-        for _, _, a, b in chunk.suffixes(repeated):
-            first, second = np.union1d(first, a), np.union1d(second, b)
+        names = ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
+        for _, _, *both in chunk.suffixes(repeated):
+            for held, new in zip(names, both):
+                held.append(_distinct(np.sort(new)))
+        first, second = (np.unique(np.concatenate(held)) for held in names)
         kept = [(-1 - pid, pid, TWIN, t.encode()) for t in sorted(twins)]
         kept += [(-1 - pid, pid, SAMPLE, np.int64(b).tobytes() + p) for (_, b), p in told.items()]  # the third pass needs them
         return _notes(kept + _sent(first, pid, WINDOW, buckets) + _sent(second, pid, SECOND, buckets))
@@ -349,8 +370,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400, chunk_bytes: int = 4 <
                         F.concat(F.when(F.col("is_first"), F.lit("+")).otherwise(F.lit("")), "key").cast("binary").alias("payload"))
 
     keyed = long.withColumn("pid", pid)
-    passes = lambda notes, fn, schema: keyed.groupBy("pid").cogroup(notes.groupBy("pid")).applyInArrow(fn, schema)
-    sorted_ = lambda sent: sent.groupBy("bucket").applyInArrow(_sort_bucket, NOTE)
+    passes = lambda notes, fn, schema: keyed.groupBy("pid").cogroup(notes.groupBy("pid")).applyInArrow(tidy(fn), schema)
+    sorted_ = lambda sent: sent.groupBy("bucket").applyInArrow(tidy(_sort_bucket), NOTE)
     samples = sorted_(passes(told, _send_samples(min_bytes, buckets), NOTE))
     windows = sorted_(passes(samples, _send_suffixes(min_bytes, buckets), NOTE))
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), *T.StructType.fromDDL(f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")])
