@@ -249,6 +249,18 @@ def test_pii_sample_takes_each_text_once(spark, monkeypatch):
     assert 0 < len(want) <= 60 * 4 and rows(hot) == want
 
 
+def test_pii_learns_from_every_distinct_text(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.llm import pii
+
+    docs = spark.range(0, 41_000, 1, 4).select(F.format_string("mail u%d@mail.example.com", F.pmod("id", F.lit(40_500))).alias("text"))
+    rows = pii.training_rows(docs)
+    held = {r["held"]: r["n"] for r in rows.where("label = 1").groupBy("held").agg(F.sum("n").alias("n")).collect()}
+    assert sum(held.values()) == 40_500 and 12_000 < held[True] < 15_000  # all distinct texts, copies once
+    assert rows.count() < 100  # equal rows of features are one row
+
+
 def test_secret_tests_and_discovery_control(spark):
     from quarry.llm.secrets import alphabet, find_secrets, randomness
 
