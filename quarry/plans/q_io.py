@@ -126,6 +126,7 @@ def q_crossref(spark, sf):
 
 
 PAGE_WORKS = 100
+EXPORT_ROWS = 100_000  # about as many rows in a file of an export
 
 
 @register("src_openalex_json", WORKS_SQL.format("list_sort(list_distinct(countries))"))
@@ -149,9 +150,11 @@ def q_dimensions(spark, sf):
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
     row = F.concat_ws(",", *[quoted(c) for c in (F.col("title"), F.col("year"), names, F.col("doi"))])
     rows = pubs(spark, sf).select(row.alias("value"))
-    head = spark.createDataFrame([('"About the data: Exported on Jan 1"\nTitle,PubYear,Authors,DOI',)], "value string")
-    (head.withColumn("o", F.lit(0)).union(rows.withColumn("o", F.lit(1))).repartition(1).sortWithinPartitions("o")
-     .select("value").write.text(path))  # one file, as exports come
+    files = 1 + read_table(spark, sf, "orders").count() // EXPORT_ROWS
+    head = spark.range(files).select(F.lit('"About the data: Exported on Jan 1"\nTitle,PubYear,Authors,DOI').alias("value"), F.lit(0).alias("o"), F.col("id").alias("file"))
+    rows = rows.select("value", F.lit(1).alias("o"), F.pmod(F.xxhash64("value"), F.lit(files)).alias("file"))
+    # as exports come: files of a bounded size, each with its note and header
+    head.union(rows).repartition(files, "file").sortWithinPartitions("o").select("value").write.text(path)
     t = P.read_publications(spark, path)
     return t.select("title", "year", F.array_join("authors", "|").alias("authors"), "doi")
 
