@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q, uniform
+from ..session import cut_lineage
 from .models import class_codes
 from .ranks import exact_quantiles
 
@@ -113,13 +114,14 @@ def adaboost(train: DataFrame, features: list[str], label: str, n_estimators: in
     m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
     d = VectorAssembler(inputCols=features, outputCol="features").transform(train).withColumn(
         "__y", F.element_at(m, q(label).cast("string"))).select("features", F.col("__y").alias("label"))
+    d = cut_lineage(d)  # the joins behind ``train`` run once
     n = d.count()
     d = d.withColumn("w", F.lit(1.0 / n)).select("features", "label", "w").persist()
     ensemble = []
     for it in range(n_estimators):
         if it and it % 10 == 0:  # reliable checkpoint in spark.checkpoint.dir keeps lineage short
-            from ..session import cut_lineage
-            d = cut_lineage(d)
+            old, d = d, cut_lineage(d)
+            old.unpersist()
         stump = DecisionTreeClassifier(maxDepth=1, weightCol="w").fit(d)
         p = stump.transform(d).select("features", "label", "w", "prediction")
         err = p.agg((F.sum(F.when(F.col("prediction") != F.col("label"), F.col("w")).otherwise(0.0))
@@ -128,14 +130,15 @@ def adaboost(train: DataFrame, features: list[str], label: str, n_estimators: in
             break
         alpha = math.log((1 - err) / max(err, 1e-12)) + math.log(k - 1)
         ensemble.append((stump, alpha))
+        if err <= 0 or len(ensemble) == n_estimators:  # no further round reads the weights
+            break
         nd = p.select("features", "label", (F.col("w") * F.when(F.col("prediction") != F.col("label"),
                                                                 F.lit(math.exp(alpha))).otherwise(1.0)).alias("w"))
         tot = nd.agg(F.sum("w")).first()[0]
         d2 = nd.select("features", "label", (F.col("w") / F.lit(tot)).alias("w")).persist()
+        d2.count()  # stored before the weights it comes from are let go, else every round starts from the first one
         d.unpersist()
         d = d2
-        if err <= 0:
-            break
     d.unpersist()
     return ensemble, classes
 
