@@ -36,7 +36,7 @@ def _prepare(df: DataFrame, features: list[str], target: str, task: str, codes:
 def fit_model(train: DataFrame, features: list[str], target: str, name: str, task: str = "classification"):
     """A fitted model and its classes as a table (value, label); None for regression."""
     codes = class_codes(train, target) if task == "classification" else None
-    tr = _prepare(train, features, target, task, codes)
+    tr = cut_lineage(_prepare(train, features, target, task, codes).select("features", "label"))  # a fit reads it several times
     return estimator(name, task, len(features), codes.count() if codes is not None else 0).fit(tr), codes
 
 
@@ -121,7 +121,7 @@ def grid_search(df: DataFrame, features: list[str], target: str, name: str, grid
     """MDL-19: every parameter set on the same md5 folds; mean metric per set."""
     if len(grid) > 500:
         raise ValueError("at most 500 parameter sets")
-    folded = assign_folds(df, key, k, seed, target if task == "classification" else None).persist()
+    folded = cut_lineage(assign_folds(df, key, k, seed, target if task == "classification" else None)).persist()  # in as many parts as its size asks for
     rows = []
     for i, params in enumerate(grid):
         vals = []
@@ -141,7 +141,7 @@ def learning_curve(df: DataFrame, features: list[str], target: str, name: str, k
                    sizes=(0.1, 0.325, 0.55, 0.775, 1.0), seed: int = 42) -> DataFrame:
     """MDL-20: nested training subsets (the rows with the smallest md5 keys)
     scored on one locked test split."""
-    s = split(df, key, 0.2, seed, target)
+    s = cut_lineage(split(df.select(*[q(c) for c in dict.fromkeys([key, target, *features])]), key, 0.2, seed, target))  # ranked once, read by every size
     tr, te = s.where(F.col("__split__") == "train"), s.where(F.col("__split__") == "test")
     tr = tr.withColumn("__u2", uniform(seed + 7, q(key)))
     rows = []

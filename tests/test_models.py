@@ -102,3 +102,55 @@ def test_entries_run_the_operators_own_rounds(spark, monkeypatch):
     for entry in (Q.q_bag, Q.q_ada, Q.q_perm, Q.q_boost):
         entry(spark, "nowhere")
     assert (seen["bagging"]["n"], seen["adaboost"]["n_estimators"], seen["permutation_importance"]["repeats"], seen["cross_validate"]["k"]) == (10, 50, 5, 5)
+
+
+def test_splits_and_labels_keep_rows_spread(spark):
+    """Two classes must not leave the whole table in two tasks."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators.models import _labelled, class_codes
+    from quarry.operators.prep import split
+
+    df = spark.range(0, 4000, 1, 4).select("id", F.when(F.col("id") % 4 == 0, "yes").otherwise("no").alias("y"))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        s = split(df, "id", 0.2, 42, "y")
+        filled = lambda d: d.groupBy(F.spark_partition_id()).count().count()
+        assert filled(s) > 4 and filled(split(df, "id", 0.2, 42)) > 4
+        assert filled(_labelled(s, "y", "classification", class_codes(s, "y"))) > 4
+    finally:
+        spark.conf.set(name, was)
+    assert {tuple(r) for r in s.groupBy("y", "__split__").count().collect()} == {
+        ("yes", "test", 200), ("yes", "train", 800), ("no", "test", 600), ("no", "train", 2400)}
+
+
+def test_boosting_does_not_repeat_earlier_rounds(spark):
+    """Each round reads the weights stored by the round before."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators.advanced import adaboost, adaboost_predict
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x)
+
+    rows = spark.range(0, 200, 1, 2).select("id", (F.col("id") % 17).alias("a"), F.when((F.col("id") % 17 > 8) != (F.col("id") % 23 > 20), "u").otherwise("v").alias("y"))
+    ens, classes = adaboost(rows.withColumn("x", counted("a")), ["x"], "y", 6)
+    assert len(ens) == 6 and seen.value <= 800  # the table is computed for its classes and once for all rounds
+    out = adaboost_predict(ens, classes, rows.withColumn("x", F.col("a").cast("double")), ["x"])
+    assert out.where(F.col("prediction") == F.col("y")).count() > 150
+
+
+def test_an_export_in_several_files_reads_as_one(spark, sf, monkeypatch):
+    """Each file has its note and header; no file holds the whole table."""
+    from quarry.plans import q_io
+
+    want = sorted(map(tuple, q_io.q_dimensions(spark, sf).collect()), key=str)
+    monkeypatch.setattr(q_io, "EXPORT_ROWS", 300)
+    got = q_io.q_dimensions(spark, sf)
+    assert len(got.inputFiles()) > 3 and sorted(map(tuple, got.collect()), key=str) == want and len(want) > 1000
