@@ -112,16 +112,19 @@ def test_splits_and_labels_keep_rows_spread(spark):
     from quarry.operators.prep import split
 
     df = spark.range(0, 4000, 1, 4).select("id", F.when(F.col("id") % 4 == 0, "yes").otherwise("no").alias("y"))
-    name = "spark.sql.adaptive.coalescePartitions.enabled"
-    was = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    # a large table by Spark's estimate, most of whose partitions by class are empty: joins by class stay sort-merge joins
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {name: spark.conf.get(name) for name in conf}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
     try:
         s = split(df, "id", 0.2, 42, "y")
         filled = lambda d: d.groupBy(F.spark_partition_id()).count().count()
         assert filled(s) > 4 and filled(split(df, "id", 0.2, 42)) > 4
         assert filled(_labelled(s, "y", "classification", class_codes(s, "y"))) > 4
     finally:
-        spark.conf.set(name, was)
+        for name, value in was.items():
+            spark.conf.set(name, value)
     assert {tuple(r) for r in s.groupBy("y", "__split__").count().collect()} == {
         ("yes", "test", 200), ("yes", "train", 800), ("no", "test", 600), ("no", "train", 2400)}
 
