@@ -176,3 +176,29 @@ def test_knn_join_exact_with_hot_duplicate(spark):
             tot += m
         mine = [r["rid"] for r in sorted((r for r in got if r["qid"] == qi), key=lambda r: r["rank"])]
         assert mine == want
+
+
+@pytest.mark.parametrize("dims, tile", [(2, (16, 64)), (12, (16, 64)), (12, (10_000, 10_000))])
+def test_knn_join_in_tiles_is_the_brute_force_one(spark, monkeypatch, dims, tile):
+    """Tiles smaller than a block, multiplicities, ties, a hot point with many carried values; points with NaN ask nothing."""
+    from quarry.operators import knn as N
+    monkeypatch.setattr(N, "FIRST_ROUND", 16)
+    rng = np.random.default_rng(dims)
+    x = np.concatenate([rng.normal(1000, 1, (150, dims)).round(1), rng.normal(1003, 0.2, (100, dims)).round(1), np.full((70, dims), 1000.0), np.full((3, dims), np.nan)])
+    rows = [(i, v.tolist(), i % 90) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k long, x array<double>, w int").repartition(4)
+    got = {}
+    for r in N.knn_join(df, "k", df.withColumnRenamed("k", "n"), "n", ["x"], 5, leaf_rows=8, carry=["w"], tile=tile).collect():
+        got.setdefault(r["k"], []).append((r["rank"], r["n"], r["multiplicity"], r["w"]))
+    groups = {}
+    for i, v, w in rows:
+        g = groups.setdefault((str(v), w), [i, 0])
+        g[1] += 1
+    for i, v, _ in rows:
+        order = sorted((bool(np.isnan(d)), 0.0 if np.isnan(d) else d, n, m, w) for (_, w), (n, m) in groups.items() for d in [np.sqrt(((x[i] - x[n]) ** 2).sum())])
+        want, total = [], 0
+        for _, _, n, m, w in order:
+            if total < 5:
+                want.append((len(want) + 1, n, m, w))
+            total += m
+        assert sorted(got.get(i, [])) == (want if np.isfinite(x[i]).all() else [])
