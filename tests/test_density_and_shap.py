@@ -159,3 +159,22 @@ def test_classes_are_numbered_in_order_however_many(spark):
     for table, n in ((df, 1500), (df.where("t < 13"), 13), (df.limit(0), 0)):
         got = class_codes(table, "t").orderBy("label").collect()
         assert [(r["value"], r["label"]) for r in got] == [(v, float(i)) for i, v in enumerate(sorted(str(k) for k in range(n)))]
+
+
+@pytest.mark.parametrize("bridge, chunk", [(0.0, 2048), (0.999, 16), (1.001, 16)])
+def test_dbscan_with_crowded_cells_is_the_brute_force_one(spark, bridge, chunk):
+    """Rings and a pair of crowds that touch, or not, by two inner points alone; most points lie in dense fine cells."""
+    from quarry.operators.density import dbscan
+
+    rng = np.random.default_rng(4)
+    angle = rng.uniform(0, 2 * np.pi, 500)
+    rings = np.concatenate([np.stack([np.cos(angle) * r, np.sin(angle) * r], 1) for r in (3.0, 4.4)])
+    crowds = np.concatenate([rng.uniform(0, 0.6, (200, 2)) * [1, 3] + [20, 0], rng.uniform(0, 0.6, (200, 2)) * [1, 3] + [21.55, 0], [[20.6, 0.9], [20.6 + bridge, 0.9]]])
+    # two crowds, one fine cell each, linked by a point that is no outermost one
+    apart = np.array([[0.6, 0.01], [0.6, 0.69], [0.1, 0.01], [0.1, 0.69], [0.3, 0.3], [1.58 - max(bridge, 1.001 - bridge), 0.35],
+                      [1.57, 0.35], [2.0, 0.1], [2.0, 0.6], [1.9, 0.35], [2.1, 0.35]]) + [0, -20 * 2 ** -0.5 * (1 - 1e-6)]
+    x = np.concatenate([rings, crowds, rng.uniform(-6, 25, (60, 2)), apart])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, x array<double>").repartition(5)
+    got = {r["k"]: (r["cluster"], r["kind"]) for r in dbscan(df, "k", ["x"], 1.0, 5, chunk).collect()}
+    labels, core = brute_dbscan(x, 1.0, 5)
+    assert got == {i: (int(c), "core" if k else "border" if c >= 0 else "noise") for i, (c, k) in enumerate(zip(labels, core))}
