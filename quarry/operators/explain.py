@@ -23,6 +23,7 @@ from .ranks import exact_quantiles
 
 PDP_POINTS = 20
 PERM_REPEATS = 5
+FIT_ROWS = 500_000  # training rows of a task, as expected at most
 
 
 def _prepare(df: DataFrame, features: list[str], target: str, task: str, codes: DataFrame | None) -> DataFrame:
@@ -33,10 +34,17 @@ def _prepare(df: DataFrame, features: list[str], target: str, task: str, codes:
     return VectorAssembler(inputCols=features, outputCol="features").transform(labelled)
 
 
+def fit_parts(stored: DataFrame) -> DataFrame:
+    """A stored table in parts of at most about ``FIT_ROWS`` rows: a forest keeps a count per tree
+    with every row, so a task reads several times what is stored."""
+    parts = -(-stored.count() // FIT_ROWS)
+    return cut_lineage(stored.repartition(parts)) if stored.rdd.getNumPartitions() < parts else stored
+
+
 def fit_model(train: DataFrame, features: list[str], target: str, name: str, task: str = "classification"):
     """A fitted model and its classes as a table (value, label); None for regression."""
     codes = class_codes(train, target) if task == "classification" else None
-    tr = cut_lineage(_prepare(train, features, target, task, codes).select("features", "label"))  # a fit reads it several times
+    tr = fit_parts(cut_lineage(_prepare(train, features, target, task, codes).select("features", "label")))  # a fit reads it several times
     return estimator(name, task, len(features), codes.count() if codes is not None else 0).fit(tr), codes
 
 
