@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import md5key, q
-from .ranks import percent_rank_rows
+from ..session import cut_lineage
+from .ranks import average_ranks
 
 ROWS = 2048  # scored at once
 TOP_COLUMNS = 10
@@ -150,11 +151,25 @@ def shap_summary(shap: DataFrame, features: list[str]) -> DataFrame:
 def shap_dots(shap: DataFrame, df: DataFrame, features: list[str], key: str, rows: int = 1000, seed: int = 42, top: int = TOP_COLUMNS) -> DataFrame:
     """EXP-05: (feature, key, phi, value, position) for a seeded sample of rows and the ``top``
     features by mean |phi|; position is the value's percent rank among all rows, for colouring."""
+    shap = cut_lineage(shap)
+    table = cut_lineage(df.select(q(key).alias("key"), F.array(*[q(f).cast("double") for f in features]).alias("x")))
     first = [r["feature"] for r in shap_summary(shap, features).where(F.col("place") <= top).orderBy("place").collect()]
     sample = shap.where("phi is not null").withColumn("__h", md5key(seed, q(key))).orderBy("__h").limit(rows).drop("__h")
+    sample = cut_lineage(sample.select(q(key).alias("key"), "phi"))
+    shown = cut_lineage(table.join(F.broadcast(sample), "key"))  # ``rows`` rows, more where a key repeats
+
+    def dots(f):
+        i = features.index(f)
+        values = table.select(F.col("x")[i].alias("value"))
+        n = values.where("value is not null").count()
+        ranks = average_ranks(values, "value").select(F.col("value").alias("__v"), "avg_rank")
+        part = shown.select(q("key").alias(key), F.col("phi")[i].alias("phi"), F.col("x")[i].alias("value"))
+        part = F.broadcast(part.select("value").distinct()).join(ranks, F.col("value") == F.col("__v")).select("__v", "avg_rank").join(F.broadcast(part), F.col("value") == F.col("__v"), "right")
+        position = F.coalesce(F.col("avg_rank") / F.lit(float(max(n, 1))), F.lit(-1.0))
+        return part.select(F.lit(f).alias("feature"), q(key), "phi", "value", position.alias("position"))
+
     out = None
     for f in first:
-        ranked = percent_rank_rows(df.select(q(key), q(f).cast("double").alias("value")), "value", out="position")
-        part = sample.join(ranked, key).select(F.lit(f).alias("feature"), q(key), F.col("phi")[features.index(f)].alias("phi"), "value", "position")
+        part = cut_lineage(dots(f))
         out = part if out is None else out.unionByName(part)
     return out

@@ -178,3 +178,25 @@ def test_dbscan_with_crowded_cells_is_the_brute_force_one(spark, bridge, chunk):
     got = {r["k"]: (r["cluster"], r["kind"]) for r in dbscan(df, "k", ["x"], 1.0, 5, chunk).collect()}
     labels, core = brute_dbscan(x, 1.0, 5)
     assert got == {i: (int(c), "core" if k else "border" if c >= 0 else "noise") for i, (c, k) in enumerate(zip(labels, core))}
+
+
+def test_dots_are_ranked_among_all_rows_and_fits_have_bounded_parts(spark, monkeypatch):
+    from quarry.operators import explain as X
+    from quarry.operators.ranks import percent_rank_rows
+    from quarry.operators.treeshap import shap_dots
+
+    df = spark.createDataFrame([(i, float(i * 7 % 40), float(i % 3), None if i == 5 else 1.0) for i in range(90)] + [(5, 9.5, 2.0, 2.0)], "k long, a double, b double, c double").repartition(3)
+    shap = df.select("k", F.array(F.col("a") / 9, F.col("b"), F.col("a") * 0).alias("phi"))
+    reads = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda v: reads.add(1) or v, "double").asNondeterministic()
+    got = shap_dots(shap.withColumn("phi", F.transform("phi", lambda v: v)), df.withColumn("c", seen("c")), ["a", "b", "c"], "k", rows=100)
+    rows = {(r["feature"], r["k"], r["phi"], r["value"], r["position"]) for r in got.collect()}
+    assert reads.value == 91  # the table is worked out once, not once a feature
+    want = set()
+    for i, f in enumerate(["a", "b", "c"]):
+        ranked = percent_rank_rows(df.select("k", F.col(f).alias("value")), "value", out="position")
+        want |= {(f, r["k"], r["phi"][i], r["value"], r["position"]) for r in shap.join(ranked, "k").collect()}
+    assert rows == want
+    monkeypatch.setattr(X, "FIT_ROWS", 10)
+    spread = X.fit_parts(spark.range(0, 95, 1, 2))
+    assert spread.count() == 95 and max(r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()) <= 12
