@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric_type, q, uniform
+from ..session import cut_lineage
 from .ranks import exact_quantiles, prefix_sums, unpivot
 
 ZSCORE_THRESHOLD = 3.0
@@ -200,13 +201,14 @@ def _apply_one(op, c, st, df: DataFrame) -> DataFrame:
 def fit_prep(train: DataFrame, plan: dict, key: str | None = None) -> dict:
     """plan: {column: [op, ...]} -> state {column: [(op, learned), ...]}.
     Stage i fits the i-th op of every column from the train rows as the
-    earlier stages left them (same order as applying them)."""
+    earlier stages left them (same order as applying them). The columns that matter are stored
+    first: each statistic is a pass, and none repeats the work behind ``train``."""
     for c in plan:
         if c not in train.columns:
             raise ValueError(f"'{c}' is not a column")
     state = {c: [] for c in plan}
     depth = max((len(v) for v in plan.values()), default=0)
-    cur = train
+    cur = cut_lineage(train.select(*[q(c) for c in train.columns if c in plan or c == key])) if depth else train
     for i in range(depth):
         stage = {c: ops[i] for c, ops in plan.items() if len(ops) > i}
         needs = {c: _needs(op) for c, op in stage.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import prep as R
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from .q_clean import CLEAN_CHAIN_SQL, cleaned_orders
 from .registry import register, rounded, sql_rounded
@@ -89,8 +90,8 @@ from s, st1, st2"""
 @register("prep_fit_transform", sql_rounded(_prep_sql(), ["balance", "price"]))
 def q_prep(spark, sf):
     df, _ = cleaned_orders(spark, sf)
-    df = df.withColumn("day_text", F.col("day_text").cast("string"))
-    s = R.split(df, "row_id", 0.2, 42)
+    df = cut_lineage(df.withColumn("day_text", F.col("day_text").cast("string")))  # the split reads it several times
+    s = cut_lineage(R.split(df, "row_id", 0.2, 42))
     state = R.fit_prep(s.where(F.col("__split__") == "train"), PLAN, key="row_id")
     return rounded(R.transform(state, s))
 

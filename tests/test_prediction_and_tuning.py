@@ -94,6 +94,21 @@ def test_assembled_vectors(spark):
         assemble(df, "k", ["t"], [])
 
 
+def test_fitting_works_the_rows_out_once(spark):
+    from quarry.operators.prep import fit_prep, transform
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([(i, float(i % 7) if i % 5 else None) for i in range(40)], "k int, x double")
+    train = rows.withColumn("x", F.udf(count, "double").asNondeterministic()("x"))
+    state = fit_prep(train, {"x": [{"op": "impute", "strategy": "median"}, {"op": "scale"}]}, "k")
+    assert seen.value == 40 and transform(state, rows).count() == 40
+
+
 def test_short_words_count_once(spark):
     from quarry.operators.prep import char_wb_ngrams
 
