@@ -94,6 +94,37 @@ def test_assembled_vectors(spark):
         assemble(df, "k", ["t"], [])
 
 
+def test_terms_of_marked_rows_are_counted_once(spark):
+    from quarry.operators.assemble import TextBlock, assemble, stored_entries
+    from quarry.operators.prep import word_ngrams
+
+    made = []
+
+    def ngrams(*a, **k):
+        made.append(1)
+        return word_ngrams(*a, **k)
+
+    df = spark.createDataFrame([(1, 2.0, True, "the cat sat"), (2, 1.0, True, "dog dog"), (3, 0.0, False, None), (4, 1.0, False, "cat dog unseen the the")], "k int, a double, m boolean, t string")
+    block = TextBlock(df, "k", "t", ngrams, taught="m", n_max=1)
+    plain = TextBlock(df.where("m"), "k", "t", n_max=1)
+    rows = lambda b: sorted((r["k"], tuple(r["indices"]), tuple(round(v, 12) for v in r["values"])) for r in stored_entries(assemble(df, "k", ["a"], [b], keep=["k"])).collect())
+    assert block.size == 4 and rows(block) == rows(plain) and made == [1]
+    assert assemble(df, "k", ["a"], [block], keep=["k"]).columns == ["k", "features"]
+    assert sorted(rows(block))[3][1] == (0, 1, 2, 4)  # rows given to be assembled, not those of the training
+    part = df.where("k = 4")  # other rows than the marked ones: counted anew
+    assert assemble(part, "k", ["a"], [block], keep=["k"]).count() == 1 and made == [1, 1]
+
+
+def test_words_are_cut_once_and_pairs_are_right(spark):
+    from quarry.operators.prep import word_ngrams
+
+    df = spark.createDataFrame([(1, "Ab cd  ab-x ef"), (2, "gh"), (3, ""), (4, None)], "d int, t string")
+    got = word_ngrams(df, "d", "t", 3)
+    assert sorted((r["doc"], r["term"]) for r in got.collect()) == sorted([(1, w) for w in ["ab", "cd", "ab", "ef", "ab cd", "cd ab", "ab ef", "ab cd ab", "cd ab ef"]] + [(2, "gh")])
+    plan = word_ngrams(df, "d", "t", 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_fitting_works_the_rows_out_once(spark):
     from quarry.operators.prep import fit_prep, transform
 
