@@ -110,12 +110,12 @@ def _same(x: Column, b: Column) -> Column:
 def training_rows(docs: DataFrame) -> DataFrame:
     """(k, f, label, held, n): proposals of all distinct texts and spoilt base spans, equal rows as one with their number."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = with_spans(docs.select(text.alias("text")), F.col("text")).where("size(__all) > 0")
+    found = with_spans(docs.select(text.alias("text")), F.col("text"))
     m = F.col("m")
     keeps = F.lit(False)
     for k, kind in enumerate(KINDS):
         keeps = F.when(F.col("k") == k, _valid(kind, m)).otherwise(keeps)
-    each = (found.select(F.xxhash64("text").alias("h"), "__base", F.explode("__all").alias("x"))
+    each = (found.select(F.xxhash64("text").alias("h"), "__base", F.explode_outer("__all").alias("x")).where("x is not null")
             .select("h", F.exists("__base", lambda b: _same(F.col("x"), b)).alias("label"), "x.*").where(F.col("label") | ~keeps)
             .distinct())  # copies of a text count once; no text moves
     spoilt = {  # what no rule of the kind lets pass
@@ -124,11 +124,13 @@ def training_rows(docs: DataFrame) -> DataFrame:
         "card": F.concat(F.expr("left(m, length(m) - 1)"), ((F.expr("right(m, 1)").cast("int") + 1) % 10).cast("string")),
         "phone": F.regexp_replace(m, r"^\+[0-9]+[\x20(]*", ""),
     }
-    worse = None
+    worse = F.lit(None)
     for k, kind in enumerate(KINDS):
-        part = each.where(F.col("label") & (F.col("k") == k)).withColumn("m", spoilt[kind]).withColumn("label", F.lit(False))
-        worse = part if worse is None else worse.union(part)
-    rows = each.union(worse)
+        worse = F.when(F.col("k") == k, spoilt[kind]).otherwise(worse)
+    # a base span gives two rows, as found and spoilt: the texts are searched once
+    both = F.when(F.col("label"), F.array(F.struct(m, F.lit(True).alias("label")), F.struct(worse.alias("m"), F.lit(False).alias("label"))))
+    rows = (each.select("k", "before", "after", F.explode_outer(both.otherwise(F.array(F.struct(m, F.lit(False).alias("label"))))).alias("y"))
+            .select("k", "before", "after", "y.*"))
     features = F.lit(None)
     for k in range(len(KINDS)):
         features = F.when(F.col("k") == k, _features(k, m, F.col("before"), F.col("after"))).otherwise(features)

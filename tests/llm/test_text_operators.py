@@ -504,3 +504,21 @@ def test_ids_by_parts_equal_whole_texts(name):
     want = [e.ids for e in ids.library.encode_batch(texts, add_special_tokens=False)]
     got = [np.frombuffer(b, "<u4").tolist() for i in range(0, len(texts), 50) for b in ids.encode(texts[i:i + 50])]
     assert got == want
+
+
+def test_pii_training_searches_the_texts_once(spark):
+    from quarry.llm.pii import KINDS, training_rows
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    texts = ["mail ann@example.org now", "host 10.1.2.3 up", "pay 4111 1111 1111 1111 please", "call +44 20 7946 0958 today", "no data", None, "mail ann@example.org now"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = training_rows(docs.withColumn("text", F.udf(count, "string").asNondeterministic()("text"))).collect()
+    assert seen.value == len(texts)
+    got = {k: sorted((r["label"], r["n"]) for r in rows if r["k"] == k) for k in range(len(KINDS))}
+    for k in range(3):  # each base span as found and spoilt, a copied text once
+        assert got[k] == [(0.0, 1), (1.0, 1)], got
