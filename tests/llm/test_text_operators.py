@@ -506,6 +506,22 @@ def test_ids_by_parts_equal_whole_texts(name):
     assert got == want
 
 
+def test_one_encoding_for_all_cases_and_marks_of_a_word(monkeypatch):
+    import public_tokenizers
+
+    from quarry.llm.libtokens import WordIds
+
+    ids = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    met, own = [], ids._met
+    monkeypatch.setattr(ids, "_met", lambda *words: met.extend(w for part in words for w in part) or own(*words))
+    texts = ["Stone stone STONE stone*** Stone, \u2019 \u0130stone", "stone### Stone; \u2019Stone Stone___", "\u00c9t\u00e9 \u00c9T\u00c9! \u2014 \u00c9t\u00e9 STONE\u0301 stone's <|endoftext|>"]
+    texts += ["".join(map(chr, range(256))), " ".join(f"a{chr(c)}B{chr(c)}" for c in range(256))]
+    for t in texts:
+        assert np.frombuffer(ids.encode([t])[0], "<u4").tolist() == ids.library.encode(t, add_special_tokens=False).ids
+    assert met.count("stone") == 1 and met.count("\u00e9t\u00e9") == 1
+    assert not {"Stone", "STONE", "stone***", "Stone,", "stone###", "Stone;", "\u00c9T\u00c9!"} & set(met)
+
+
 def test_pii_training_searches_the_texts_once(spark):
     from quarry.llm.pii import KINDS, training_rows
 
