@@ -506,6 +506,29 @@ def test_ids_by_parts_equal_whole_texts(name):
     assert got == want
 
 
+def test_sample_names_take_six_bytes_and_find_all_repeats(monkeypatch):
+    from quarry.llm import suffixes as S
+
+    rng = random.Random(20)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).encode()
+    shared = letters(700)
+    texts = [letters(20_000), letters(3000) + shared + letters(50), letters(11) + shared[100:620] + letters(900), shared[:399]]
+    for min_bytes in (200, 400):
+        found = []
+        for bits in (S.SAMPLE_BITS, ~np.uint64(0)):
+            monkeypatch.setattr(S, "SAMPLE_BITS", bits)
+            chunk = S.Chunk(texts, min_bytes)
+            names, twice = S._tally(x[-1] for x in chunk.sample())
+            suffixes = list(chunk.suffixes(twice))
+            first, second = (S._tally(x[k] for x in suffixes)[1] for k in (2, 3))
+            found.append([(m > 0).tolist() for m in chunk.covered(suffixes, first, second)])
+            planes = np.frombuffer(S.packed(names), np.uint8).reshape(8, -1)
+            assert np.array_equal(S.unpacked(S.packed(names)), names)
+            assert planes[:2].any() == (bits == ~np.uint64(0))
+        assert found[0] == found[1] and sum(found[0][2]) == 520
+        monkeypatch.undo()
+
+
 def test_one_encoding_for_all_cases_and_marks_of_a_word(monkeypatch):
     import public_tokenizers
 
