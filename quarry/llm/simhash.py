@@ -185,7 +185,8 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, chunk: int = 4096)
     own = F.pmod(F.xxhash64("fp"), parts)
     # chunk pairs of an anchor: chunk c takes part in the cells (min(c, j), max(c, j)) for every j
     cells = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j))
-    dealt = (sent.join(met, sent.anchor == met.k)
+    # "merge": Spark takes the exploded rows to be as small as what they come from and would broadcast them
+    dealt = (sent.join(met.hint("merge"), sent.anchor == met.k)
              .select("anchor", F.explode(F.when(F.col("n") <= chunk, F.array(F.lit(0).cast("long"))).otherwise(cells)).alias("cell"), "fp"))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = dealt.repartition(n, "anchor", "cell").sortWithinPartitions("anchor", "cell", "fp").mapInArrow(_linked(max_bits), "a long, b long")
@@ -209,10 +210,10 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Data
     named = checkpointed(distinct.join(roots, distinct.fp == roots.node, "left").select(F.col("fp").alias("key"), "low", "root"))
     alone = named.where("root is null").select("key", F.col("key").alias("component"), F.col("low").alias("component_id"))
     linked = named.where("root is not null")
-    # a component may hold very many fingerprints: its answer goes to SALTS places
+    # a component may hold very many fingerprints: its answer goes to SALTS places, never by a broadcast
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id")).select(F.col("root").alias("component"), "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("place"))
     salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
-    linked = linked.join(lows, (F.col("root") == F.col("component")) & (salt == F.col("place"))).select("key", "component", "component_id")
+    linked = linked.join(lows.hint("merge"), (F.col("root") == F.col("component")) & (salt == F.col("place"))).select("key", "component", "component_id")
     known = alone.union(linked)
     return (marked.join(known, marked.fp == known.key)
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", "text_hash"))

@@ -561,3 +561,29 @@ def test_pii_training_searches_the_texts_once(spark):
     got = {k: sorted((r["label"], r["n"]) for r in rows if r["k"] == k) for k in range(len(KINDS))}
     for k in range(3):  # each base span as found and spoilt, a copied text once
         assert got[k] == [(0.0, 1), (1.0, 1)], got
+
+
+def broadcast_explosions(df):
+    """Exploded tables below a broadcast in the plan that ``df`` ran by."""
+    df.collect()
+    lines, found = str(df._jdf.queryExecution().executedPlan().toString()).split("== Initial Plan ==")[0].splitlines(), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    for i, line in enumerate(lines):
+        if line.lstrip(" :+-*()0123456789").startswith("BroadcastExchange"):
+            for below in lines[i + 1:]:
+                if depth(below) <= depth(line):
+                    break
+                if "Generate explode" in below:
+                    found.append(below)
+    return found
+
+
+def test_exploded_rows_are_never_broadcast(spark, docs):
+    from quarry.llm.simhash import fingerprint_links, simhash_groups
+    from quarry.llm.suffixes import remove_repeats
+
+    assert broadcast_explosions(spark.range(9).join(F.broadcast(spark.range(3).select(F.explode(F.sequence(F.lit(0), "id")).alias("x"))), F.col("id") == F.col("x")))
+    # few fingerprints, 34 anchors each: Spark takes them to be as small as the fingerprints
+    assert not broadcast_explosions(fingerprint_links(spark.range(300).select(F.xxhash64("id").alias("fp")).distinct()))
+    assert not broadcast_explosions(simhash_groups(docs))
+    assert not broadcast_explosions(remove_repeats(docs, 200))
