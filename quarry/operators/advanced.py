@@ -195,6 +195,19 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
     return {"feat": feat, "thr": thr, "left": left, "right": right, "size": size}
 
 
+def _flat(tree: dict):
+    """(feature, threshold, children, path length, depth) of a tree's nodes: node i leads to
+    ``children[2 i + 1]`` below its threshold, else to ``children[2 i]``; a leaf leads to itself."""
+    feat, thr, left, right = (np.asarray(tree[k]) for k in ("feat", "thr", "left", "right"))
+    at = np.arange(len(feat))
+    child = np.stack([np.where(feat < 0, at, right), np.where(feat < 0, at, left)], axis=1).ravel()
+    depth = np.zeros(len(feat))
+    for i in at[feat >= 0].tolist():  # a node comes before its children
+        depth[[left[i], right[i]]] = depth[i] + 1
+    length = depth + np.array([_c(int(n)) for n in tree["size"]])
+    return np.maximum(feat, 0), thr, child, length, int(depth.max())
+
+
 def isolation_scores(train: DataFrame, df: DataFrame, features: list[str], key: str, n_trees: int = N_TREES,
                      sample: int = TREE_SAMPLE, seed: int = 42) -> DataFrame:
     """Anomaly score 2^(-E[h(x)] / c(sample)) for every row of ``df`` from a
@@ -227,26 +240,16 @@ def isolation_scores(train: DataFrame, df: DataFrame, features: list[str], key:
     cn = _c(psi)
 
     def score(batches):
-        forest = [{k: np.asarray(v) for k, v in t.items()} for t in bc.value]
-        csize = {}
+        forest = [_flat(t) for t in bc.value]
         for pdf in batches:
-            x = pdf[features].to_numpy(dtype=float)
-            rows = np.arange(len(x))
-            h = np.zeros(len(x))
-            for t in forest:
-                idx = np.zeros(len(x), dtype=np.int64)
-                depth = np.zeros(len(x))
-                for _ in range(limit + 1):
-                    f = t["feat"][idx]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    go_left = x[rows, np.where(inner, f, 0)] < t["thr"][idx]
-                    nxt = np.where(go_left, t["left"][idx], t["right"][idx])
-                    idx = np.where(inner, nxt, idx)
-                    depth += inner
-                sizes = t["size"][idx]
-                h += depth + np.array([csize.setdefault(int(z), _c(int(z))) for z in sizes])
+            n = len(pdf)
+            x, rows = np.concatenate([pdf[f].to_numpy(dtype=float) for f in features]), np.arange(n)
+            h = np.zeros(n)
+            for feat, thr, child, length, depth in forest:
+                idx = np.zeros(n, dtype=np.int64)
+                for _ in range(depth):
+                    idx = child[2 * idx + (x[feat[idx] * n + rows] < thr[idx])]
+                h += length[idx]
             h = h / max(len(forest), 1)
             yield pd.DataFrame({key: pdf[key], "anomaly_score": np.power(2.0, -h / cn) if cn else 0.5})
     kt = df.schema[key].dataType.simpleString()
@@ -258,7 +261,7 @@ def remove_isolated(train: DataFrame, features: list[str], key: str, contaminati
                     seed: int = 42) -> DataFrame:
     """PRE-03: drop the TRAIN rows whose score is above the (1 - contamination)
     quantile of the train scores."""
-    s = isolation_scores(train, train, features, key, seed=seed)
+    s = cut_lineage(isolation_scores(train, train, features, key, seed=seed))  # the quantile is found in several passes
     cut = exact_quantiles(s.select(F.col("anomaly_score").alias("value")), [1 - contamination]).first()["q_0"]
     keep = s.where(F.col("anomaly_score") <= F.lit(cut)).select(key)
     return train.join(keep, key, "left_semi")

@@ -157,3 +157,33 @@ def test_an_export_in_several_files_reads_as_one(spark, sf, monkeypatch):
     monkeypatch.setattr(q_io, "EXPORT_ROWS", 300)
     got = q_io.q_dimensions(spark, sf)
     assert len(got.inputFiles()) > 3 and sorted(map(tuple, got.collect()), key=str) == want and len(want) > 1000
+
+
+def test_rows_are_scored_once_by_the_isolation_forest(spark, monkeypatch):
+    from quarry.operators import advanced
+
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal())) for i in range(300)] + [(300, 50.0, 50.0)], "k long, a double, b double")
+    seen, own = spark.sparkContext.accumulator(0), advanced.isolation_scores
+
+    def counted(*a, **b):
+        def count(batches):
+            for x in batches:
+                seen.add(len(x))
+                yield x
+        return own(*a, **b).mapInPandas(count, "k long, anomaly_score double")
+
+    monkeypatch.setattr(advanced, "isolation_scores", counted)
+    kept = {r["k"] for r in advanced.remove_isolated(rows, ["a", "b"], "k", 0.05).collect()}
+    assert seen.value == 301 and 300 not in kept and len(kept) == 286
+
+
+def test_ranks_by_md5_look_for_no_bounds(spark, monkeypatch):
+    from quarry.operators import ranks
+    from quarry.operators.prep import class_ranks
+
+    monkeypatch.setattr(ranks, "_bucket_bounds", None)
+    rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(200)], "k long, c string")
+    for group in ("a", "b"):
+        found = sorted((r["__u"], r["__rank"]) for r in class_ranks(rows, "k", 42, ["c"]).where(F.col("c") == group).collect())
+        assert [r for _, r in found] == list(range(1, 101))
