@@ -191,6 +191,16 @@ def learnable(spark, n=240):
     return spark.createDataFrame(rows, "k long, a double, b double, c double, y string")
 
 
+def test_one_aggregate_needs_no_stored_copy(spark, monkeypatch):
+    from quarry.operators import prep
+
+    stored, own = [], prep.cut_lineage
+    monkeypatch.setattr(prep, "cut_lineage", lambda df: stored.append(1) or own(df))
+    rows = spark.createDataFrame([(i, float(i)) for i in range(5)], "k int, x double")
+    state = prep.fit_prep(rows, {"x": [{"op": "scale"}]}, "k")
+    assert not stored and state["x"][0][1] == {"center": 2.0, "scale": 2.0 ** 0.5}
+
+
 def test_search_and_validation_curve(spark):
     from quarry.operators.prep import split
     from quarry.operators.tuning import search, validation_curve
@@ -205,6 +215,19 @@ def test_search_and_validation_curve(spark):
     assert curve[1]["train_mean"] > curve[0]["train_mean"] and curve[1]["train_mean"] >= curve[1]["val_mean"]
 
 
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_one_tree_a_fold_answers_for_all_depths(spark, monkeypatch, task):
+    from quarry.operators import tuning
+
+    d = learnable(spark).withColumn("y", F.hash("k", "y") % 7 if task == "regression" else F.col("y")).withColumn("a", F.when(F.col("k") % 11 > 0, F.col("a")))
+    sets, fits, own = [{"max_depth": n} for n in (3, 1, 6, 2)], [], tuning.fit_predict
+    monkeypatch.setattr(tuning, "fit_predict", lambda *a, **b: fits.append(a[6]) or own(*a, **b))
+    got = tuning._fold_scores(d, ["a", "b", "c"], "y", "decision_tree", sets, "k", 3, task, 42, with_train=True)
+    assert fits == [{"max_depth": 6}] * 3  # one fit a fold
+    alone = [tuning._fold_scores(d, ["a", "b", "c"], "y", "decision_tree", [{**s, "own": 1}], "k", 3, task, 42, with_train=True) for s in sets]
+    assert len(got) == 24 and all(abs(got[i, f, part] - alone[i][0, f, part]) < 1e-12 for i, f, part in got)
+
+
 def test_early_stop_on_noise(spark):
     from quarry.operators.tuning import boosted
 
